@@ -31,6 +31,16 @@ def _prime_vertical(sin_lat: Column) -> Column:
     return F.lit(WGS84_A) / F.sqrt(1 - E_SQ * sin_lat * sin_lat)
 
 
+def evaluate_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add long expressions so that they are computed once per row.
+
+    A filter or join condition on a plain projected column is pushed below the projection and repeats the whole
+    expression there; a generator's output is not.
+    """
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.withColumn("_once", made).select(*df.columns, "_once.*")
+
+
 def geodetic_to_ecef(lat, lon, h) -> Triple:
     """Geodetic degrees and metres to Earth-centred metres."""
     phi, lam, h = F.radians(col(lat)), F.radians(col(lon)), col(h)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark import cloudpickle
+from pyspark.sql import functions as F, types as T
 
-_LANCZOS_LOGGAMMA = np.vectorize(math.lgamma, otypes=[float])
+_LOG_GAMMA = np.vectorize(math.lgamma, otypes=[float])
 
 
 def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
@@ -40,7 +42,7 @@ def regularised_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     inside = (x > 0) & (x < 1)
     a, b, x = a[inside], b[inside], x[inside]
     front = (
-        _LANCZOS_LOGGAMMA(a + b) - _LANCZOS_LOGGAMMA(a) - _LANCZOS_LOGGAMMA(b) + a * np.log(x) + b * np.log1p(-x)
+        _LOG_GAMMA(a + b) - _LOG_GAMMA(a) - _LOG_GAMMA(b) + a * np.log(x) + b * np.log1p(-x)
         if x.size
         else np.zeros(0)
     )
@@ -63,8 +65,12 @@ def two_sided_p(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_test_p(t: pd.Series, dof: pd.Series) -> pd.Series:
     """Column form of `two_sided_p`; NULL where the test is undefined."""
     p = two_sided_p(t.to_numpy(dtype=float, na_value=np.nan), dof.to_numpy(dtype=float, na_value=np.nan))
     return pd.Series(p).astype(object).where(~np.isnan(p), None)
+
+
+# Ship this module's code with the function, so that workers need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

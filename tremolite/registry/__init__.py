@@ -36,6 +36,12 @@ def r(c: str | Column, digits: int = 6, name: str | None = None) -> Column:
     return out.alias(label) if label else out
 
 
+def steady(c: str | Column, digits: int, name: str | None = None) -> Column:
+    """Rounded output whose exact halves cannot fall to different sides in two engines; see `sqltext.steady`."""
+    label = name or c
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1.3e-7, digits).alias(label)
+
+
 def load() -> None:
     """Import every group of queries."""
     from . import catalogue, grids, inversion, measures, nodes, storage  # noqa: F401

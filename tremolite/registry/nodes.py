@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from ..functions.scalars import json_path, nan_as_text
 from ..operators import catalogue as cat, nodes as nd, ranking as rk
 from ..plans import experiment as ex
-from . import r, register
+from . import r, register, steady
 from .catalogue import REGION_INPUTS, REGION_PAIRS
-from .sqltext import haversine
+from .sqltext import haversine, steady as st
 
 GRID = nd.NodeGrid(50.0, 57.0, 156.0, 166.0, 29, 36, "1995-01-01", "2001-08-01", 49)
 # The same axes for the checking engine; one node row per combination.
 LATS = "select i as ix, 50 + i*(7.0e0/28) as lat from range(29) t(i)"
 LONS = "select i as iy, 156 + i*(10.0e0/35) as lon from range(36) t(i)"
 SPAN_US = 207705600000000
-TIMES = f"select i as it, 788918400000000 + i*({SPAN_US}.0e0/48) as us from range(49) t(i)"
+TIMES = f"select i as it, 788918400000000 + i*{SPAN_US}.0e0/48 as us from range(49) t(i)"
 WINDOW_US = 150 * 86400 * 1000000
 
 
@@ -32,15 +32,15 @@ NODES = f"(select * from ({LATS}) a cross join ({LONS}) b)"
 
 @register(
     "make_grid",
-    f"""select q.day, n.ix, n.iy, n.lat, n.lon from (select distinct cast(event_dttm as date) as day from in_quakes) q
+    f"""select q.month, n.ix, n.iy, n.lat, n.lon from (select distinct cast(date_trunc('month', event_dttm) as date) as month from in_quakes) q
     cross join {NODES} n""",
     "quakes",
 )
 def make_grid(tb):
-    """The spatial nodes of a daily frame series, one frame per day with a quake."""
+    """The spatial nodes of a frame series, one frame per month with a quake."""
     plane = nd.NodeGrid(50.0, 57.0, 156.0, 166.0, 29, 36, "1995-01-01", "2001-08-01", 2).time_slice(tb.spark, 0)
-    days = tb.quakes.select(F.col("event_dttm").cast("date").alias("day")).distinct()
-    return days.join(F.broadcast(plane.select("ix", "iy", "lat", "lon")), F.lit(True))
+    months = tb.quakes.select(F.trunc(F.col("event_dttm").cast("date"), "month").alias("month")).distinct()
+    return months.join(F.broadcast(plane.select("ix", "iy", "lat", "lon")), F.lit(True))
 
 
 @register(
@@ -158,7 +158,7 @@ SPREAD = f"""with pairs as ({REGION_PAIRS}),
   g as (select region_nm, min(x1) lon_min, max(x1) lon_max, min(y1) lat_min, max(y1) lat_max from in_region_edges group by 1),
   n as (select g.region_nm, a.i as ix, b.i as iy, g.lat_min + a.i*((g.lat_max-g.lat_min)/26) as lat,
           g.lon_min + b.i*((g.lon_max-g.lon_min)/35) as lon from g cross join range(27) a(i) cross join range(36) b(i)),
-  t as (select i as it, 825638400000000 + i*(144633600000000.0e0/47) as us from range(48) z(i)),
+  t as (select i as it, 825638400000000 + round_even(i*144633600000000.0e0/47, 0) as us from range(48) z(i)),
   en as (select distinct q.region_nm, q.event_id, n.ix, n.iy, n.lat, n.lon from (select distinct region_nm, event_id, e_lon, e_lat from pairs) q
          join n on n.region_nm = q.region_nm and {near('q.e_lat', 'q.e_lon', 70)}),
   sn as (select distinct q.region_nm, q.station_nm, q.network_nm, n.ix, n.iy from (select distinct region_nm, station_nm, network_nm, s_lon, s_lat from pairs) q
@@ -178,26 +178,26 @@ def _moments(tb):
 @register(
     "spread_to_nodes",
     SPREAD
-    + """select region_nm, ix, iy, it, count(*) n, round(sum(delta_t_p - 25), 4) sx, round(sum(delta_t_s - 40), 4) sy,
-    min(delta_t_p) p_min, max(delta_t_s) s_max from m group by all""",
+    + f"""select region_nm, ix, iy, it, count(*) n, {st('sum(delta_t_p - 25)', 4)} sx, {st('sum(delta_t_s - 40)', 4)} sy,
+    min(delta_t_p) p_min, max(delta_t_s) s_max from m group by region_nm, ix, iy, it""",
     REGION_INPUTS,
 )
 def spread_to_nodes(tb):
-    return _moments(tb).select("region_nm", "ix", "iy", "it", "n", r("sx", 4), r("sy", 4), "p_min", "s_max")
+    return _moments(tb).select("region_nm", "ix", "iy", "it", "n", steady("sx", 4), steady("sy", 4), "p_min", "s_max")
 
 
 @register(
     "node_stats",
     SPREAD
-    + """select region_nm, ix, iy, it, count(*) n_measurements, round(avg(delta_t_s),5) s_mean, round(stddev_pop(delta_t_s),5) s_std,
-    min(delta_t_s) s_min, max(delta_t_s) s_max, round(avg(delta_t_p),5) p_mean, round(stddev_pop(delta_t_p),5) p_std,
+    + f"""select region_nm, ix, iy, it, count(*) n_measurements, {st('avg(delta_t_s)', 5)} s_mean, {st('stddev_pop(delta_t_s)', 5)} s_std,
+    min(delta_t_s) s_min, max(delta_t_s) s_max, {st('avg(delta_t_p)', 5)} p_mean, {st('stddev_pop(delta_t_p)', 5)} p_std,
     min(delta_t_p) p_min, max(delta_t_p) p_max from m group by region_nm, ix, iy, it""",
     REGION_INPUTS,
 )
 def node_stats(tb):
     return nd.node_stats(_moments(tb)).select(
-        "region_nm", "ix", "iy", "it", "n_measurements", r("s_mean", 5), r("s_std", 5), "s_min", "s_max",
-        r("p_mean", 5), r("p_std", 5), "p_min", "p_max",
+        "region_nm", "ix", "iy", "it", "n_measurements", steady("s_mean", 5), steady("s_std", 5), "s_min", "s_max",
+        steady("p_mean", 5), steady("p_std", 5), "p_min", "p_max",
     )
 
 
@@ -210,16 +210,16 @@ FIT = """select *, slope*slope*sxx/nullif(syy,0) r2, my - slope*mx icpt from (se
 @register(
     "node_regression",
     SPREAD
-    + f"""select region_nm, ix, iy, it, n as n_measurements, round(slope,5) slope, round(icpt,4) intercept, round(r2,5) r_squared,
-    case when slope is null then null when n = 2 then 0.0e0 else round(sqrt(greatest(1-r2,0)*syy/sxx/(n-2)),5) end stderr,
+    + f"""select region_nm, ix, iy, it, n as n_measurements, {st('slope', 5)} slope, {st('icpt', 4)} intercept, {st('r2', 5)} r_squared,
+    case when slope is null then null when n = 2 then 0.0e0 else {st('sqrt(greatest(1-r2,0)*syy/sxx/(n-2))', 5)} end stderr,
     case when n < 2 then 'insufficient_data' when slope is null then 'identical_p_times' end error from ({FIT}) f""",
     REGION_INPUTS,
 )
 def node_regression(tb):
     fit = nd.node_regression(nd.node_stats(_moments(tb)))
     return fit.select(
-        "region_nm", "ix", "iy", "it", "n_measurements", r("slope", 5), r("intercept", 4), r("r_squared", 5),
-        r("stderr", 5), "error",
+        "region_nm", "ix", "iy", "it", "n_measurements", steady("slope", 5), steady("intercept", 4), steady("r_squared", 5),
+        steady("stderr", 5), "error",
     )
 
 
@@ -233,7 +233,7 @@ def node_regression_pvalue(tb):
     "vp_vs_experiment",
     SPREAD
     + f"""select region_nm, ix, iy, it, round(lat,6) lat, round(lon,6) lon, make_timestamp(cast(round_even(us,0) as bigint)) dttm,
-    n as n_measurements, round(my,5) s_mean, round(mx,5) p_mean, round(slope,5) slope, round(icpt,4) intercept from ({FIT}) f""",
+    n as n_measurements, {st('my', 5)} s_mean, {st('mx', 5)} p_mean, {st('slope', 5)} slope, {st('icpt', 4)} intercept from ({FIT}) f""",
     REGION_INPUTS,
 )
 def vp_vs_experiment(tb):
@@ -243,8 +243,8 @@ def vp_vs_experiment(tb):
         EXPERIMENT.grid()
         .locate(fit)
         .select(
-            "region_nm", "ix", "iy", "it", r("lat"), r("lon"), "dttm", "n_measurements", r("s_mean", 5),
-            r("p_mean", 5), r("slope", 5), r("intercept", 4),
+            "region_nm", "ix", "iy", "it", r("lat"), r("lon"), "dttm", "n_measurements", steady("s_mean", 5),
+            steady("p_mean", 5), steady("slope", 5), steady("intercept", 4),
         )
         .orderBy("region_nm", "it", "ix", "iy")
     )

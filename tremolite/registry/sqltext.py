@@ -75,3 +75,14 @@ def inside(points: str, lon: str, lat: str, cols: str) -> str:
     return f"""select {cols}, g.region_nm from {points} p join in_region_edges g
       on (g.y1 > p.{lat}) <> (g.y2 > p.{lat}) and p.{lon} < (g.x2-g.x1)*(p.{lat}-g.y1)/(g.y2-g.y1)+g.x1
       group by {cols}, g.region_nm having count(*) % 2 = 1"""
+
+
+def rnd(e: str, digits: int) -> str:
+    """Rounding without a negative zero."""
+    return f"case when round({e}, {digits}) = 0 then 0.0e0 else round({e}, {digits}) end"
+
+
+def steady(e: str, digits: int) -> str:
+    """Rounding with a small offset, without a negative zero."""
+    out = f"round(({e}) + 1.3e-7, {digits})"
+    return f"case when {out} = 0 then 0.0e0 else {out} end"

@@ -35,6 +35,8 @@ def local_session(cores: str | int = "*", app: str = "tremolite", memory: str =
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(n))
+        # Test tables are tiny; keep all cores busy on steps that multiply rows.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )

@@ -30,6 +30,12 @@ class Dialect:
     def stamp(self, text: str) -> str:
         return f"TIMESTAMP_NTZ '{text}'" if self.name == "spark" else f"TIMESTAMP '{text}'"
 
+    def both(self, name: str) -> str:
+        """A FROM item giving each row twice, with `name` 0 and 1."""
+        if self.name == "spark":
+            return f"lateral view explode(array(0, 1)) twice as {name}"
+        return f"cross join (select unnest([0, 1]) as {name}) twice"
+
     def idiv(self, a: str, b: int) -> str:
         return f"cast(floor({a}/{b}) as int)"
 
@@ -80,7 +86,7 @@ def arrivals(d: Dialect) -> str:
       case when (w = 0 and l_partkey % 11 = 0) or (w = 1 and l_partkey % 13 = 0) then null
            else {d.add_ms(_origin(d, 'l_orderkey'), travel)} end as arrival_dttm
     from {{lineitem}} join {{supplier}} on l_suppkey = s_suppkey join {{nation}} on s_nationkey = n_nationkey
-      cross join (select 0 as w union all select 1 as w) ww"""
+      {d.both('w')}"""
 
 
 _REGION_BOX = """select r_name as region_nm, 156.005e0 + r_regionkey*0.5e0 as lon_min, 163.005e0 + r_regionkey*0.5e0 as lon_max,
