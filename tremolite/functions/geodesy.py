@@ -181,8 +181,8 @@ def utm_forward(df: DataFrame, lon, lat, zone: int, easting="easting", northing=
         }
     )
     d_xi, d_eta = _series_sums(series_terms(FORWARD_SERIES), F.col("_xi"), F.col("_eta"))
-    return staged.withColumns(
-        {easting: k * (F.col("_eta") + d_eta) + UTM_FALSE_EASTING, northing: k * (F.col("_xi") + d_xi)}
+    return evaluate_once(
+        staged, {easting: k * (F.col("_eta") + d_eta) + UTM_FALSE_EASTING, northing: k * (F.col("_xi") + d_xi)}
     ).drop("_tau", "_lam", "_xi", "_eta")
 
 
@@ -205,9 +205,10 @@ def utm_inverse(df: DataFrame, easting, northing, zone: int, lon="lon", lat="lat
             * (1 + (1 - E_SQ) * tau * tau)
             / ((1 - E_SQ) * F.sqrt(1 + tau * tau)),
         )
-    return staged.withColumns(
+    return evaluate_once(
+        staged,
         {
             lat: F.degrees(F.atan(tau)),
             lon: F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + central_meridian(zone),
-        }
+        },
     ).drop("_xi", "_eta", "_tau", "_goal", "_now")

@@ -1 +1,451 @@
-"""Queries."""
+"""Location, rays and inversion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import catalogue as cat, cells as ce, fronts as fr, inversion as inv, location as lo, measures as ms, rays as ry
+from ..plans import deviation as dv, straight_ray as sr, tomography as tg
+from . import r, register, steady
+from .catalogue import RAW, STAR, TRAVEL
+from .grids import AXES, CELL_OF, LATTICE, VALUES_SQL, ZONE, _interp_sql, _nearest_sql
+from . import sqltext as q
+from .sqltext import steady as st
+
+MISFIT_SQL = """b as (select event_id, avg(t_obs) base, count(*) n from in_observed group by 1 having count(*) > 1),
+    ms as (select event_id, i, j, k, round(greatest(count(*)*sum(x*x) - sum(x)*sum(x), 0), 9) misfit from
+      (select o.event_id, f.i, f.j, f.k, o.t_obs - b.base - f.t as x from in_observed o join b using (event_id) join in_lattice_times f on f.station_id = o.station_id) z group by 1,2,3,4)"""
+OBS = "observed lattice_times"
+
+
+def misfit(tb):
+    """Misfit to 9 decimals, so that equal cells are equal in both engines."""
+    return lo.pairwise_misfit(tb.observed, tb.lattice_times).withColumn("misfit", F.round("misfit", 9))
+
+
+@register(
+    "pairwise_misfit",
+    f"with {MISFIT_SQL} select event_id, count(*) n_cells, round(min(misfit),6) lo, round(max(misfit),6) hi, round(sum(misfit),5) total, round(sum(misfit*(i*25+j*5+k)),4) moment from ms group by 1",
+    OBS,
+)
+def pairwise_misfit(tb):
+    """Every quake's misfit over all cells, summed up per quake for comparison."""
+    number = F.col("i") * 25 + F.col("j") * 5 + F.col("k")
+    out = misfit(tb).groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("n_cells"), F.min("misfit").alias("lo"), F.max("misfit").alias("hi"),
+        F.sum("misfit").alias("total"), F.sum(F.col("misfit") * number).alias("moment"),
+    )
+    return out.select("event_id", "n_cells", r("lo"), r("hi"), r("total", 5), r("moment", 4))
+
+
+@register(
+    "best_cell",
+    f"with {MISFIT_SQL} select event_id, i, j, k, misfit from (select *, row_number() over (partition by event_id order by misfit, i, j, k) rn from ms) z where rn = 1",
+    OBS,
+)
+def best_cell(tb):
+    return lo.best_cell(misfit(tb)).select("event_id", "i", "j", "k", "misfit")
+
+
+WEIGHT_SQL = (
+    MISFIT_SQL
+    + """, dl as (select *, misfit - min(misfit) over (partition by event_id) d from ms),
+    sc as (select event_id, greatest(coalesce(quantile_cont(case when d > 0 then d end, 0.5), 1), 1e-12) s from dl group by 1),
+    w as (select dl.*, exp(-d/(0.05*s))/sum(exp(-d/(0.05*s))) over (partition by event_id) weight from dl join sc using (event_id)),
+    tn as (select *, row_number() over (partition by event_id order by round(weight, 9) desc, i, j, k) rn from w)"""
+)
+
+
+def weights(tb):
+    return lo.softmin_weights(misfit(tb), 0.05)
+
+
+@register(
+    "softmin_weights",
+    f"with {WEIGHT_SQL} select event_id, round(max(weight),6) top, round(sum(weight),6) total, round(sum(weight*(i*25+j*5+k)),4) centre from w group by 1",
+    OBS,
+)
+def softmin_weights(tb):
+    number = F.col("i") * 25 + F.col("j") * 5 + F.col("k")
+    out = weights(tb).groupBy("event_id").agg(
+        F.max("weight").alias("top"), F.sum("weight").alias("total"), F.sum(F.col("weight") * number).alias("centre")
+    )
+    return out.select("event_id", r("top"), r("total"), r("centre", 4))
+
+
+@register(
+    "softmin_threshold",
+    f"""with {MISFIT_SQL}, mk as (select *, misfit <= 0.001 as ok from ms),
+    one as (select event_id, i, j, k, 1.0e0 weight from (select *, row_number() over (partition by event_id order by misfit, i, j, k) rn,
+      bool_or(ok) over (partition by event_id) any_ok from mk) z where rn = 1 and not any_ok),
+    dl as (select *, misfit - min(misfit) over (partition by event_id) d from mk where ok),
+    sc as (select event_id, greatest(coalesce(quantile_cont(case when d > 0 then d end, 0.5), 1), 1e-12) s from dl group by 1),
+    w as (select event_id, i, j, k, exp(-d/s)/sum(exp(-d/s)) over (partition by event_id) weight from dl join sc using (event_id))
+    select event_id, i, j, k, round(weight, 6) weight from (select * from w union all select * from one) u where weight > 1e-7""",
+    OBS,
+)
+def softmin_threshold(tb):
+    out = lo.softmin_weights(misfit(tb), 1.0, threshold=0.001)
+    return out.filter("weight > 1e-7").select("event_id", "i", "j", "k", r("weight"))
+
+
+TOP_SQL = f"with {WEIGHT_SQL} select event_id, i, j, k, round(weight/sum(weight) over (partition by event_id), 6) weight from tn where rn <= 3"
+
+
+@register("top_n_weights", TOP_SQL, OBS)
+def top_n_weights(tb):
+    rounded = weights(tb).withColumn("_full", F.col("weight")).withColumn("weight", F.round("weight", 9))
+    kept = lo.top_weights(rounded, 3).drop("weight").withColumnRenamed("_full", "weight")
+    return lo.top_weights(kept, 3, normalise=True).select("event_id", "i", "j", "k", r("weight"))
+
+
+@register(
+    "locate_events",
+    f"with {MISFIT_SQL} select event_id, i, j, k, 1.0e0 as weight from (select *, row_number() over (partition by event_id order by misfit, i, j, k) rn from ms) z where rn = 1",
+    OBS,
+)
+def locate_events(tb):
+    """Composition of misfit, weights and selection, one cell per quake."""
+    field, observed = tb.lattice_times, tb.observed
+    w = lo.softmin_weights(lo.pairwise_misfit(observed, field).withColumn("misfit", F.round("misfit", 9)), 1.0)
+    return lo.top_weights(w, 1, normalise=True).select("event_id", "i", "j", "k", "weight")
+
+
+RESIDUAL_SQL = (
+    MISFIT_SQL
+    + """, bc as (select * from (select *, row_number() over (partition by event_id order by misfit, i, j, k) rn from ms) z where rn = 1),
+    rs as (select bc.event_id, bc.i, bc.j, bc.k, o.station_id, o.t_obs - f.t as r from bc join in_observed o using (event_id)
+      join in_lattice_times f on f.station_id = o.station_id and f.i = bc.i and f.j = bc.j and f.k = bc.k)"""
+)
+
+
+def residuals(tb):
+    return lo.residuals_at(lo.best_cell(misfit(tb)).drop("misfit"), tb.observed, tb.lattice_times)
+
+
+@register(
+    "pair_residuals",
+    f"with {RESIDUAL_SQL} select a.event_id, a.station_id, b.station_id as station_0, {st('a.r - b.r', 6)} d from rs a join (select *, row_number() over (partition by event_id order by station_id) n from rs) b on b.event_id = a.event_id and b.n = 1",
+    OBS,
+)
+def pair_residuals(tb):
+    """Differences to each quake's first station, from which every pair difference follows."""
+    out = lo.basis_differences(residuals(tb).select("event_id", "station_id", "r"), ["event_id"])
+    return out.select("event_id", "station_id", "station_0", steady("d", 6))
+
+
+# --- rays through cells ------------------------------------------------------------------------------------------
+
+# Straight rays from the quake's best cell to the station's own cell of the location lattice, in cell units.
+STATION_AT = "(select station_id, min_by(struct_pack(i := i, j := j, k := k), t*1000000 + i*25 + j*5 + k) c from in_lattice_times group by 1)"
+SEG_SQL = (
+    RESIDUAL_SQL
+    + f""", sg as (select rs.event_id, rs.station_id, rs.r, rs.i*1.0e0 a0, rs.j*1.0e0 a1, rs.k*1.0e0 a2, c.i*1.0e0 + 0.25e0 b0, c.j*1.0e0 + 0.5e0 b1, c.k*1.0e0 b2
+      from rs join (select station_id, i, j, k from (select *, row_number() over (partition by station_id order by t, i, j, k) rn from in_lattice_times) z where rn = 1) c using (station_id))"""
+)
+PLANES = "case when abs(b{x}-a{x}) >= 1e-12 then list_transform(range(cast(ceil(least(a{x},b{x})) as bigint), cast(floor(greatest(a{x},b{x})) as bigint)+1), lambda m: (m - a{x})/(b{x}-a{x})) else [] end"
+LENGTH_SQL = (
+    SEG_SQL
+    + f""", cl as (select distinct station_id, a0, a1, a2, b0, b1, b2, greatest(0, {', '.join(f'case when abs(b{x}-a{x}) < 1e-12 then 0 else least((0-a{x})/(b{x}-a{x}), (5-1e-9-a{x})/(b{x}-a{x})) end' for x in range(3))}) t0,
+      least(1, {', '.join(f'case when abs(b{x}-a{x}) < 1e-12 then 1 else greatest((0-a{x})/(b{x}-a{x}), (5-1e-9-a{x})/(b{x}-a{x})) end' for x in range(3))}) t1 from sg),
+    mk as (select *, list_sort(list_concat([t0, t1], list_filter(list_concat({PLANES.format(x=0)}, list_concat({PLANES.format(x=1)}, {PLANES.format(x=2)})), lambda t: t > t0 and t < t1))) m from cl where t0 < t1),
+    pc as (select station_id, a0, a1, a2, b0, b1, b2, unnest(m[1:len(m)-1]) lo, unnest(m[2:len(m)]) hi from mk),
+    ln as (select station_id, cast(a0*25+a1*5+a2 as bigint) ray, cast(floor(a0 + (lo+hi)/2*(b0-a0)) as int) i, cast(floor(a1 + (lo+hi)/2*(b1-a1)) as int) j,
+      cast(floor(a2 + (lo+hi)/2*(b2-a2)) as int) k, sum((hi-lo)*sqrt(pow(b0-a0,2)+pow(b1-a1,2)+pow(b2-a2,2))) length from pc where hi > lo group by all)"""
+)
+
+
+def segments(tb):
+    """Distinct straight rays (station, quake cell) and the residual rows that use them."""
+    from ..operators.fields import source_cell
+
+    own = source_cell(tb.lattice_times, "station_id").select(
+        "station_id", (F.col("i") + 0.25).alias("b0"), (F.col("j") + 0.5).alias("b1"), F.col("k").cast("double").alias("b2")
+    )
+    rows = residuals(tb).withColumn("ray", (F.col("i") * 25 + F.col("j") * 5 + F.col("k")).cast("long"))
+    ends = rows.select("station_id", "ray", *[F.col(c).cast("double").alias(f"a{x}") for x, c in enumerate(ce.CELL)]).distinct()
+    return rows, ends.join(own, "station_id")
+
+
+def lengths(tb):
+    rows, rays = segments(tb)
+    return rows, ry.cell_lengths(rays, ["station_id", "ray"], (5, 5, 5))
+
+
+@register(
+    "ray_cell_lengths",
+    f"with {LENGTH_SQL} select station_id, ray, i, j, k, round(length, 6) length from ln where length > 1e-7",
+    OBS,
+)
+def ray_cell_lengths(tb):
+    return lengths(tb)[1].filter("length > 1e-7").select("station_id", "ray", "i", "j", "k", r("length"))
+
+
+@register(
+    "ray_count",
+    f"with {LENGTH_SQL} select i, j, k, count(*) rays from sg join ln on ln.station_id = sg.station_id and ln.ray = cast(a0*25+a1*5+a2 as bigint) where length > 1e-7 group by 1,2,3",
+    OBS,
+)
+def ray_count(tb):
+    """Rays per cell over all quakes: distinct rays counted as often as quakes use them."""
+    rows, per_cell = lengths(tb)
+    uses = rows.groupBy("station_id", "ray").agg(F.count(F.lit(1)).alias("n"))
+    hit = per_cell.filter("length > 1e-7").join(uses, ["station_id", "ray"])
+    return hit.groupBy("i", "j", "k").agg(F.sum("n").alias("rays"))
+
+
+SUMS_SQL = (
+    LENGTH_SQL
+    + """, wt as (select *, 0.5e0 + (event_id % 4)*0.25e0 weight from sg),
+    s as (select wt.station_id, (ln.i*25+ln.j*5+ln.k)::bigint cell, sum(weight*length) s from wt join ln on ln.station_id = wt.station_id and ln.ray = cast(a0*25+a1*5+a2 as bigint) group by 1,2),
+    rr as (select station_id, sum(weight*r) r from wt group by 1)"""
+)
+
+
+def sums(tb):
+    rows, per_cell = lengths(tb)
+    weighted = rows.withColumn("weight", 0.5 + (F.col("event_id") % 4) * 0.25)
+    numbered = per_cell.select("station_id", "ray", (F.col("i") * 25 + F.col("j") * 5 + F.col("k")).cast("long").alias("cell"), "length")
+    s = inv.station_sums(weighted.select("station_id", "ray", "weight"), numbered)
+    right = weighted.groupBy("station_id").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
+    return s, right
+
+
+@register(
+    "station_sums",
+    f"with {SUMS_SQL} select s.station_id, s.cell, round(s.s, 5) s, {st('rr.r', 5)} r from s join rr using (station_id) where s.s > 1e-6",
+    OBS,
+)
+def station_sums(tb):
+    s, right = sums(tb)
+    return s.join(right, "station_id").filter("s > 1e-6").select("station_id", "cell", r("s", 5), steady("r", 5))
+
+
+@register(
+    "normal_equations",
+    f"""with {SUMS_SQL}, n as (select count(*) n from rr), full_s as (select rr.station_id, c.cell, coalesce(s.s, 0) s from rr cross join (select distinct cell from s) c
+      left join s on s.station_id = rr.station_id and s.cell = c.cell),
+    tot as (select cell, sum(s) t from full_s group by 1),
+    aa as (select x.cell c1, y.cell c2, (select n from n)*sum(x.s*y.s) a from full_s x join full_s y on y.station_id = x.station_id and x.cell <= y.cell group by 1,2),
+    ab as (select c1, c2, a - p.t*q.t a from aa join tot p on p.cell = c1 join tot q on q.cell = c2),
+    tr as (select sum(a) tr from ab where c1 = c2)
+    select c1, c2, {st('(a + case when c1 = c2 then 0.01*tr/125 else 0 end)/1e6', 4)} a from ab cross join tr where abs(a) > 1""",
+    OBS,
+)
+def normal_equations(tb):
+    """Upper triangle of the pair-form normal matrix, in millions."""
+    s, right = sums(tb)
+    n = right.count()
+    a, _ = inv.pair_system(s, right, n, 125, 0.01)
+    base = F.col("a")
+    return a.filter(F.abs(base) > 1).select("c1", "c2", steady(base / 1e6, 4, "a"))
+
+
+@register("damped_solve")
+def damped_solve(tb):
+    """Conjugate gradients on the pair form; the matrix is never made."""
+    from ..session import materialise
+
+    s, right = sums(tb)
+    s, right = materialise(s, "sums"), materialise(right, "right")
+    n = right.count()
+    trace = tg.pair_trace(s, n).first()[0]
+    x = inv.damped_solve(
+        s, inv.pair_right_side(s, right, n), ["station_id"], "cell", "s", 0.1 * trace / 125, pairs_of=n, tolerance=1e-8
+    )
+    return x.select("cell", r(F.col("x") * 1000, 6, "x"))
+
+
+# --- straight rays in geographic coordinates ---------------------------------------------------------------------
+
+RAY_DAYS = ("1998-01-01", "1998-06-30")
+VALUES = "v as (select i % 5 i, j % 4 j, k % 3 k, round(avg(vp),3) v from in_cells group by 1,2,3)"
+
+
+def rays(tb):
+    """One ray per P pick of half a year of quakes."""
+    raw = cat.raw_arrivals(tb.quakes, tb.arrivals.filter(F.col("arrival_type").startswith("P")), tb.stations, *RAY_DAYS)
+    return raw.groupBy("event_id", *cat.STATION_KEY, "event_lon", "event_lat", "event_depth", "station_lon", "station_lat").agg(
+        F.max("travel_time").alias("travel_time")
+    ).withColumn("ray", F.concat_ws(" ", F.col("event_id").cast("string"), *cat.STATION_KEY))
+
+
+def node_values(tb):
+    return tb.cells.groupBy((F.col("i") % 5).alias("i"), (F.col("j") % 4).alias("j"), (F.col("k") % 3).alias("k")).agg(
+        F.round(F.avg("vp"), 3).alias("v")
+    )
+
+
+def points(tb):
+    return sr.traced(rays(tb), node_values(tb), AXES, ZONE)
+
+
+@register("straight_ray_samples")
+def straight_ray_samples(tb):
+    out = ry.straight_ray_samples(rays(tb), ZONE)
+    return out.groupBy("ray").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.min("depth"), 3).alias("depth_lo"), F.round(F.max("depth"), 3).alias("depth_hi"),
+        F.round(F.sum("ds"), 2).alias("length_m"), F.round(F.avg("lon"), 6).alias("lon_mid"), F.round(F.avg("lat"), 6).alias("lat_mid"),
+    )
+
+
+@register("ray_time")
+def ray_time(tb):
+    return sr.delays(rays(tb), points(tb)).select("ray", r("dt"))
+
+
+@register("ray_sensitivity")
+def ray_sensitivity(tb):
+    return sr.sensitivity(points(tb), AXES).select("ray", "cell", r("g", 9))
+
+
+@register("normal_equations_sparse")
+def normal_equations_sparse(tb):
+    """Upper triangle of G^T G + damping."""
+    from ..session import materialise
+
+    at = materialise(points(tb), "points")
+    a, _ = inv.sparse_system(sr.sensitivity(at, AXES), sr.delays(rays(tb), at), ["ray"], 60, 0.1)
+    return a.select("c1", "c2", r("a"))
+
+
+# --- deviations --------------------------------------------------------------------------------------------------
+
+
+@register(
+    "events_in_model",
+    f"""select e.event_id, e.depth, count(distinct s.station_nm) as n_stations from {STAR}
+    where e.depth < 5*150000*0.9 and e.event_type_certainty = 'known'
+      and e.event_id in (select event_id from in_magnitudes where mag_value >= 1.2)
+      and {q.mercator_distance('161.0e0', '53.5e0', 'e.lon', 'e.lat')} < 300000 and {q.mercator_distance('161.0e0', '53.5e0', 's.lon', 's.lat')} < 300000
+    group by all""",
+    "quakes magnitudes arrivals stations",
+)
+def events_in_model(tb):
+    out = dv.quakes_in_model(LATTICE, tb.quakes, tb.magnitudes, tb.arrivals, tb.stations, 1.2, 1)
+    return out.select("event_id", "depth", "n_stations")
+
+
+DEVIATION_SQL = (
+    CELL_OF
+    + """, im as (select event_id, pick_id, model_s, arrival_dttm, epoch_us(arrival_dttm) - cast(round_even(model_s*1e6, 0) as bigint) us from df
+      where event_id in (select event_id from in_magnitudes where mag_value >= 1.2)),
+    of as (select *, us - min(us) over (partition by event_id) o from im)"""
+)
+
+
+def deviations(tb):
+    chosen = cat.with_magnitude(tb.quakes.dropna(subset=["lon", "lat"]), tb.magnitudes, 1.2)
+    key = F.expr("cast(substr(station_nm, 3) as bigint)")
+    return dv.deviation_table(LATTICE, chosen, tb.arrivals, tb.stations, tb.lattice_times, key)
+
+
+@register(
+    "travel_deviation",
+    f"with {DEVIATION_SQL} select event_id, pick_id, model_s, {st('(o - avg(o) over (partition by event_id))/1e6', 5)} deviation_s from of",
+    "quakes stations arrivals lattice_times magnitudes",
+)
+def travel_deviation(tb):
+    return deviations(tb).select("event_id", "pick_id", "model_s", steady("deviation_s", 5))
+
+
+@register(
+    "model_arrival_deviation",
+    f"""with {CELL_OF}, raw as ({RAW}) select a.event_id, a.pick_id, {st(f"t.t*(case when a.arrival_type like 'P%' then 1 else 1.73e0 end) - {TRAVEL}", 5)} deviation_s
+    from in_arrivals a join in_quakes e on e.event_id = a.event_id join ec on ec.event_id = a.event_id
+      join in_stations s on s.station_nm = a.station_nm and s.network_nm = a.network_nm and s.lon is not null
+      join in_lattice_times t on 'ST'||cast(t.station_id as varchar) = a.station_nm and t.i = ex and t.j = ey and t.k = ez
+    where a.arrival_dttm is not null and cast(e.event_dttm as date) between date '1996-03-01' and date '2000-09-30'""",
+    "quakes stations arrivals lattice_times",
+)
+def model_arrival_deviation(tb):
+    from .catalogue import DAYS
+
+    q_ = cat.located_quakes(tb.quakes).filter(cat.in_days("event_dttm", *DAYS))
+    a = tb.arrivals.filter(F.col("arrival_dttm").isNotNull())
+    picks = cat.star_join(q_, a, cat.located_stations(tb.stations)).select(
+        "event_id", "pick_id", *cat.STATION_KEY, "arrival_type", F.col("e_lat").alias("event_lat"), F.col("e_lon").alias("event_lon"),
+        F.col("depth").alias("event_depth"), cat.travel_seconds("event_dttm", "arrival_dttm").alias("travel_time"),
+    )
+    names = tb.stations.select(*cat.STATION_KEY).withColumn("station_id", F.expr("cast(substr(station_nm, 3) as bigint)"))
+    f = tb.lattice_times.join(names, "station_id").withColumn("phase", F.explode(F.array(F.lit("vp"), F.lit("vs"))))
+    f = f.withColumn("t", F.when(F.col("phase") == "vp", F.col("t")).otherwise(F.col("t") * 1.73))
+    return dv.arrival_deviation(LATTICE, picks, tb.stations, f).select("event_id", "pick_id", steady("deviation_s", 5))
+
+
+# --- fields and the full cycle -----------------------------------------------------------------------------------
+
+
+def _sources(tb):
+    """Twenty stations per velocity box, each at a surface cell."""
+    s = F.col("s_suppkey")
+    return tb.table("supplier").select(
+        s.alias("source"), F.floor(s / 20).cast("int").alias("model"), (s % 10).cast("int").alias("i"),
+        ((s * 3) % 10).cast("int").alias("j"), F.lit(0).alias("k"),
+    )
+
+
+def _boxes(tb):
+    return tb.cells.withColumnRenamed("model_id", "model")
+
+
+def _fields(tb):
+    return fr.travel_fields(_boxes(tb), _sources(tb), 1000.0 / F.col("vp"), block=8)
+
+
+@register("travel_field")
+def travel_field(tb):
+    return _fields(tb).select("source", "model", "i", "j", "k", r("t"))
+
+
+@register("custom_field")
+def custom_field(tb):
+    """A caller's own cost: slower with depth, closed where vp is low."""
+    cost = F.when(F.col("vp") >= 2020, 1000.0 / F.col("vp") * (1 + 0.1 * F.col("k")))
+    return fr.travel_fields(_boxes(tb), _sources(tb), cost, block=8).select("source", "model", "i", "j", "k", r("t"))
+
+
+@register("trace_back_paths")
+def trace_back_paths(tb):
+    """Paths from the far bottom corner cells of each box back to every station of the box."""
+    from ..session import materialise
+
+    fields = materialise(_fields(tb), "fields")
+    ends = fields.filter("i in (0, 9) and j in (0, 9)").select("source", "model", "i", "j", "k", (F.col("i") * 100 + F.col("j") * 10 + F.col("k")).alias("ray"))
+    return fr.trace_back(ends, fields).select("source", "ray", "step", "i", "j", "k")
+
+
+def lattice_model(tb):
+    """Velocities of the location lattice, one cell per nation and region, from the boxes' mean."""
+    mean = tb.cells.groupBy((F.col("i") % 5).alias("i"), (F.col("j") % 5).alias("j"), "k").agg(F.avg("vp").alias("_v"))
+    n, g = tb.table("nation"), tb.table("region")
+    at = n.crossJoin(g).select(
+        (F.col("n_nationkey") % 5).cast("int").alias("i"), F.floor(F.col("n_nationkey") / 5).cast("int").alias("j"),
+        F.col("r_regionkey").cast("int").alias("k"),
+    )
+    return at.join(mean, ce.CELL, "left").select(*ce.CELL, F.coalesce("_v", F.lit(5000.0)).alias("vp"))
+
+
+@register("em_iteration")
+def em_iteration(tb):
+    """One cycle on the location lattice with all quakes: locate, trace, solve, correct."""
+    from ..session import materialise
+
+    s = F.col("s_suppkey")
+    stations = tb.table("supplier").select(
+        s.alias("station_id"), ((s * 7) % 50 * 50.0).alias("x"), ((s * 13) % 50 * 50.0).alias("y"), F.lit(0.0).alias("z")
+    )
+    settings = tg.Settings(500.0, 5, 5, 5, lambda_reg=0.1, v_bounds=(1500.0, 8000.0), v_strength=2.0, tolerance=1e-6)
+    model = materialise(lattice_model(tb), "model")
+    observed = materialise(tb.observed, "observed")
+    return tg.run(model, observed, stations, settings, 1).select("i", "j", "k", r("vp", 4))
+
+
+@register(
+    "rms_of_delays",
+    """select cast(floor(event_id/1000) as int) as batch, round(sqrt(avg(delta_t_p*delta_t_p)), 6) rms from in_travel_times group by 1""",
+    "travel_times",
+)
+def rms_of_delays(tb):
+    batch = F.floor(F.col("event_id") / 1000).cast("int").alias("batch")
+    return ms.rms(tb.travel_times.withColumn("batch", batch), ["batch"], "delta_t_p").select("batch", r("rms"))
