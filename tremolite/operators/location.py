@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import broadcast_if_small
 from .cells import CELL
 
 
@@ -11,14 +12,19 @@ def pairwise_misfit(observed: DataFrame, field: DataFrame, station: str = "stati
     """Sum of squared pair differences of residuals per quake and cell, without forming pairs.
 
     `observed` has one t_obs per quake and station; quakes with fewer than two stations drop out. Observations are
-    centred per quake first (the misfit does not depend on the origin time). They are spread by quake before they
-    meet the cells, so that the sums over (quake, cell) need no second exchange where the field is small enough for
-    Spark to broadcast.
+    centred per quake first (the misfit does not depend on the origin time). The only exchange puts each quake's
+    observations, at most one per station, together; with a broadcast field the sums over (quake, cell) and whatever
+    follows per quake stay in that partitioning.
     """
-    base = observed.groupBy(event).agg(F.avg("t_obs").alias("_base"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    centred = observed.join(base, event).select(event, station, (F.col("t_obs") - F.col("_base")).alias("_o"))
+    w = W.partitionBy(event)
+    centred = (
+        observed.select(event, station, "t_obs", F.avg("t_obs").over(w).alias("_base"), F.count(F.lit(1)).over(w).alias("_n"))
+        .filter("_n > 1")
+        .select(event, station, (F.col("t_obs") - F.col("_base")).alias("_o"))
+    )
     r = F.col("_o") - F.col("t")
-    sums = centred.join(field.select(station, *CELL, "t"), station).groupBy(event, *CELL).agg(
+    times = broadcast_if_small(field.select(station, *CELL, "t"))
+    sums = centred.join(times, station).groupBy(event, *CELL).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(r).alias("_s"), F.sum(r * r).alias("_q")
     )
     misfit = F.greatest(F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s"), F.lit(0.0))

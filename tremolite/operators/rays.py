@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geodesy import utm_forward, utm_inverse
-from .cells import CELL, bracket, interpolate_points, nearest_index  # noqa: F401
+from ..functions.geodesy import evaluate_once, utm_forward, utm_inverse
+from .cells import CELL, nearest_index
 
 
 def straight_ray_samples(rays: DataFrame, zone: int, n: int = 100) -> DataFrame:
@@ -63,13 +63,14 @@ def cell_lengths(
     d = [F.col(f"_d{x}") for x in range(3)]
     cut = segments.withColumns({f"_d{x}": F.col(f"b{x}") - F.col(f"a{x}") for x in range(3)})
     clips = [_clip(a[x], d[x], shape[x] - 1e-9) for x in range(3)]
-    cut = cut.withColumns(
+    cut = evaluate_once(
+        cut,
         {
             "_t0": F.greatest(F.lit(0.0), *[c[0] for c in clips]),
             "_t1": F.least(F.lit(1.0), *[c[1] for c in clips]),
             "_off": clips[0][2] | clips[1][2] | clips[2][2],
             "_len": F.sqrt(sum((d[x] * size[x]) * (d[x] * size[x]) for x in range(3))),
-        }
+        },
     ).filter(~F.col("_off") & (F.col("_t0") < F.col("_t1")))
     marks = [F.array("_t0", "_t1")]
     for x in range(3):
@@ -79,7 +80,7 @@ def cell_lengths(
             F.array().cast("array<bigint>")
         )
         marks.append(F.filter(_crossings(planes, a[x], d[x]), lambda t: (t > F.col("_t0")) & (t < F.col("_t1"))))
-    cut = cut.withColumn("_marks", F.array_sort(F.concat(*marks)))
+    cut = evaluate_once(cut, {"_marks": F.sort_array(F.concat(*marks))})
     pieces = F.zip_with(
         F.slice("_marks", F.lit(1), F.size("_marks") - 1),
         F.slice("_marks", F.lit(2), F.size("_marks") - 1),
