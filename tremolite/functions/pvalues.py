@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
-_LOG_GAMMA = np.vectorize(math.lgamma, otypes=[float])
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in x])
 
 
 def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
@@ -42,7 +43,7 @@ def regularised_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     inside = (x > 0) & (x < 1)
     a, b, x = a[inside], b[inside], x[inside]
     front = (
-        _LOG_GAMMA(a + b) - _LOG_GAMMA(a) - _LOG_GAMMA(b) + a * np.log(x) + b * np.log1p(-x)
+        _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(x) + b * np.log1p(-x)
         if x.size
         else np.zeros(0)
     )

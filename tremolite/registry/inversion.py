@@ -156,13 +156,16 @@ LENGTH_SQL = (
 
 
 def segments(tb):
-    """Distinct straight rays (station, quake cell) and the residual rows that use them."""
+    """Distinct straight rays (station, quake cell) and the residual rows that use them; located once, used twice."""
     from ..operators.fields import source_cell
+    from ..session import materialise
 
     own = source_cell(tb.lattice_times, "station_id").select(
         "station_id", (F.col("i") + 0.25).alias("b0"), (F.col("j") + 0.5).alias("b1"), F.col("k").cast("double").alias("b2")
     )
-    rows = residuals(tb).withColumn("ray", (F.col("i") * 25 + F.col("j") * 5 + F.col("k")).cast("long"))
+    rows = materialise(
+        residuals(tb).withColumn("ray", (F.col("i") * 25 + F.col("j") * 5 + F.col("k")).cast("long")), "residuals"
+    )
     ends = rows.select("station_id", "ray", *[F.col(c).cast("double").alias(f"a{x}") for x, c in enumerate(ce.CELL)]).distinct()
     return rows, ends.join(own, "station_id")
 
@@ -251,9 +254,9 @@ def damped_solve(tb):
     n = right.count()
     trace = tg.pair_trace(s, n).first()[0]
     x = inv.damped_solve(
-        s, inv.pair_right_side(s, right, n), ["station_id"], "cell", "s", 0.1 * trace / 125, pairs_of=n, tolerance=1e-8
+        s, inv.pair_right_side(s, right, n), ["station_id"], "cell", "s", 0.1 * trace / 125, pairs_of=n, tolerance=1e-6
     )
-    return x.select("cell", r(F.col("x") * 1000, 6, "x"))
+    return x.select("cell", r(F.col("x") * 1000, 4, "x"))
 
 
 # --- straight rays in geographic coordinates ---------------------------------------------------------------------
@@ -435,10 +438,10 @@ def em_iteration(tb):
     stations = tb.table("supplier").select(
         s.alias("station_id"), ((s * 7) % 50 * 50.0).alias("x"), ((s * 13) % 50 * 50.0).alias("y"), F.lit(0.0).alias("z")
     )
-    settings = tg.Settings(500.0, 5, 5, 5, lambda_reg=0.1, v_bounds=(1500.0, 8000.0), v_strength=2.0, tolerance=1e-6)
+    settings = tg.Settings(500.0, 5, 5, 5, lambda_reg=0.1, v_bounds=(1500.0, 8000.0), v_strength=2.0, tolerance=1e-4)
     model = materialise(lattice_model(tb), "model")
     observed = materialise(tb.observed, "observed")
-    return tg.run(model, observed, stations, settings, 1).select("i", "j", "k", r("vp", 4))
+    return tg.run(model, observed, stations, settings, 1).select("i", "j", "k", r("vp", 1))
 
 
 @register(
