@@ -58,7 +58,7 @@ def _round(n: int):
     def run(batches):
         faces = [(s, *_face(s, n)) for s in STEPS]
         for batch in batches:
-            times, news = [], []
+            times, news, tops = [], [], []
             for row in batch.itertuples(index=False):
                 cost = np.full(n**3, np.inf)
                 cost[np.asarray(row.cell_at)] = row.cell_cost
@@ -74,10 +74,12 @@ def _round(n: int):
                     if better.any():
                         out.append({"bi": row.bi + di, "bj": row.bj + dj, "bk": row.bk + dk,
                                     "at": there[better].tolist(), "t": t[here][better].tolist()})
+                # Latest arrival at an open cell: once every wave still under way is later, the block is final.
+                tops.append(float(np.max(np.where(np.isfinite(cost), t, 0.0))))
                 times.append(t.tolist())
                 news.append(out)
             yield pd.DataFrame({"source": batch["source"], "model": batch["model"], "bi": batch["bi"], "bj": batch["bj"],
-                                "bk": batch["bk"], "t": times, "out": news})
+                                "bk": batch["bk"], "t": times, "top": tops, "out": news})
 
     return run
 
@@ -88,11 +90,13 @@ def travel_fields(
     edge_cost: Column,
     block: int = 16,
     max_rounds: int | None = None,
+    compact_every: int = 4,
 ) -> DataFrame:
     """Travel time from every source to every cell of its model: (source, model, i, j, k, t).
 
     `cells` has model, i, j, k and whatever `edge_cost` reads; `sources` has source, model, i, j, k. Cells with a
     missing or infinite cost are impassable; unreached cells are left out. `max_rounds` raises when it is exceeded.
+    Every few rounds blocks behind the front are set aside, so a round reads the blocks near the front only.
     """
     b, n = block, block
     local = ((F.col("i") % b) * b + F.col("j") % b) * b + F.col("k") % b
@@ -112,12 +116,15 @@ def travel_fields(
     )
     key = ["source", "model", *BLOCK]
     types = dict(sources.dtypes)
-    schema = f"source {types['source']}, model {types['model']}, bi int, bj int, bk int, t array<double>, out {_NEWS.simpleString()}"
-    news, history, rounds = first, None, 0
+    schema = f"source {types['source']}, model {types['model']}, bi int, bj int, bk int, t array<double>, top double, out {_NEWS.simpleString()}"
+    news, history, settled, closed, rounds = first, None, [], None, 0
     while True:
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"fields not settled after {max_rounds} rounds")
         # Best value per entered cell first, then one short list per (source, block): at most six faces.
+        if closed is not None:
+            # A final block cannot improve; what still arrives for it is an echo from its neighbours.
+            news = news.join(closed, key, "left_anti")
         best = news.groupBy(*key, "_at", "_src").agg(F.min("_t").alias("_t"))
         inbox = best.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_at", "_t", "_src"))).alias("_m"))
         work = inbox.select(
@@ -129,7 +136,7 @@ def travel_fields(
             latest = history.groupBy(*key).agg(F.max_by("t", "_round").alias("t"))
             work = work.join(latest, key, "left")
         done = materialise(work.mapInPandas(_round(n), schema), "front")
-        stamped = done.select(*key, F.lit(rounds).alias("_round"), "t")
+        stamped = done.select(*key, F.lit(rounds).alias("_round"), "t", "top")
         history = stamped if history is None else history.unionByName(stamped)
         sent = done.select("source", "model", F.explode("out").alias("o")).select(
             "source", "model", *[F.col(f"o.{c}").alias(c) for c in BLOCK], F.explode(F.arrays_zip("o.at", "o.t")).alias("z")
@@ -140,7 +147,23 @@ def travel_fields(
         rounds += 1
         if done.filter(F.size("out") > 0).isEmpty() or news.isEmpty():
             break
+        if rounds % compact_every == 0:
+            # No later value can be below the earliest one still to be delivered for the source.
+            edge = news.groupBy("source", "model").agg(F.min("_t").alias("_edge"))
+            latest = F.max_by(F.struct("_round", "t", "top"), "_round").alias("_l")
+            current = history.groupBy(*key).agg(latest).select(*key, "_l.*")
+            tagged = materialise(
+                current.join(edge, ["source", "model"], "left").select(
+                    "*", F.coalesce(F.col("top") <= F.col("_edge"), F.lit(True)).alias("_final")
+                ),
+                "state",
+            )
+            settled.append(tagged.filter("_final").select(*key, "t"))
+            history = tagged.filter("not _final").select(*key, "_round", "t", "top")
+            closed = tagged.filter("_final").select(*key) if closed is None else closed.unionByName(tagged.filter("_final").select(*key))
     final = history.groupBy(*key).agg(F.max_by("t", "_round").alias("t"))
+    for part in settled:
+        final = final.unionByName(part)
     rows = final.select("source", "model", *BLOCK, F.posexplode("t").alias("_pos", "t")).filter(F.col("t") < float("inf"))
     pos = F.col("_pos")
     return rows.select(

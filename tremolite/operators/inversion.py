@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialise
 
 # The largest number of unknowns for which a full matrix is formed; beyond it use `damped_solve`.
-MAX_DENSE = 4096
+MAX_DENSE = 2048
 
 
 def _gram_batches(n: int):
@@ -22,10 +22,12 @@ def _gram_batches(n: int):
     def run(batches):
         total = np.zeros((n, n))
         for batch in batches:
-            rows = np.zeros((len(batch), n))
-            for x, (at, value) in enumerate(zip(batch["at"], batch["value"])):
-                np.add.at(rows[x], np.asarray(at, dtype=int), np.asarray(value, dtype=float))
-            total += (rows * batch["weight"].to_numpy()[:, None]).T @ rows
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                rows = np.zeros((len(part), n))
+                for x, (cells, values) in enumerate(zip(part["at"], part["value"])):
+                    rows[x, np.asarray(cells, dtype=int)] = values
+                total += (rows * part["weight"].to_numpy()[:, None]).T @ rows
         a, b = np.nonzero(np.triu(total))
         yield pd.DataFrame({"c1": a, "c2": b, "a": total[a, b]})
 

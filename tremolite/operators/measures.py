@@ -124,35 +124,35 @@ def sector(c: str, lo: float, hi: float, n: int) -> Column:
     return F.when((F.col(c) < hi) & b.between(0, n - 1), b)
 
 
-def dense_fill(counts: DataFrame, left: DataFrame, right: DataFrame, value: str) -> DataFrame:
-    """Every left x right combination with a count, 0 where none was seen. Both sides are short lists of labels."""
-    full = left.join(right, F.lit(True))
-    return full.join(counts, [*left.columns, *right.columns], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+def dense_fill(counts: DataFrame, labels: DataFrame, value: str) -> DataFrame:
+    """A count for every wanted combination of labels, 0 where none was seen."""
+    return labels.join(counts, labels.columns, "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
 def sector_year_counts(
     quakes: DataFrame, lon: tuple[float, float], lat: tuple[float, float], n: int, years: tuple[int, int]
 ) -> DataFrame:
     """Quakes per sector and year for all n x n sectors and all years, zeros included."""
-    spark = quakes.sparkSession
     binned = quakes.select(
         sector("lon", *lon, n).alias("sx"), sector("lat", *lat, n).alias("sy"), F.year("event_dttm").alias("year")
     ).filter(F.col("sx").isNotNull() & F.col("sy").isNotNull() & F.col("year").between(*years))
     counts = binned.groupBy("sx", "sy", "year").agg(F.count(F.lit(1)).alias("cnt"))
-    cells = spark.range(n * n).select(
-        F.floor(F.col("id") / n).cast("int").alias("sx"), (F.col("id") % n).cast("int").alias("sy")
+    span, at = years[1] - years[0] + 1, F.col("id")
+    labels = quakes.sparkSession.range(n * n * span).select(
+        F.floor(at / (n * span)).cast("int").alias("sx"),
+        (F.floor(at / span) % n).cast("int").alias("sy"),
+        (at % span + years[0]).cast("int").alias("year"),
     )
-    all_years = spark.range(years[0], years[1] + 1).select(F.col("id").cast("int").alias("year"))
-    return dense_fill(counts, cells, all_years, "cnt")
+    return dense_fill(counts, labels, "cnt")
 
 
 def sector_extremes(counts: DataFrame) -> DataFrame:
     return counts.groupBy("sx", "sy").agg(F.min("cnt").alias("min_events"), F.max("cnt").alias("max_events"))
 
 
-def sector_centres(stats: DataFrame, spark_df: DataFrame) -> DataFrame:
+def sector_centres(stats: DataFrame, centres: DataFrame) -> DataFrame:
     """Statistics left-joined to the sector centres."""
-    return stats.join(spark_df, ["sx", "sy"], "left")
+    return stats.join(centres, ["sx", "sy"], "left")
 
 
 def timing_summary(rows: DataFrame) -> DataFrame:

@@ -38,9 +38,11 @@ NODES = f"(select * from ({LATS}) a cross join ({LONS}) b)"
 )
 def make_grid(tb):
     """The spatial nodes of a frame series, one frame per month with a quake."""
-    plane = nd.NodeGrid(50.0, 57.0, 156.0, 166.0, 29, 36, "1995-01-01", "2001-08-01", 2).time_slice(tb.spark, 0)
     months = tb.quakes.select(F.trunc(F.col("event_dttm").cast("date"), "month").alias("month")).distinct()
-    return months.join(F.broadcast(plane.select("ix", "iy", "lat", "lon")), F.lit(True))
+    nodes = months.withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(GRID.n_lat - 1)))).withColumn(
+        "iy", F.explode(F.sequence(F.lit(0), F.lit(GRID.n_lon - 1)))
+    )
+    return nodes.select("month", "ix", "iy", GRID.lat().alias("lat"), GRID.lon().alias("lon"))
 
 
 @register(

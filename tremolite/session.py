@@ -72,7 +72,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Hint a broadcast only after counting: beyond `max_rows` the join is left to Spark's shuffled strategies."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ for the checking engine; only time and array syntax differ. Coordinates and time
 both engines see the same bits.
 
 orders -> quakes, lineitem -> picks, supplier -> stations, nation -> networks, region -> regions, part -> velocity
-cells (boxes of 10 x 10 x 4 cells, one box per 400 parts), nation x region -> location lattice (5 x 5 x 5).
+cells (boxes of 10 x 10 x 4 cells, one box per 400 parts). Quakes are located on a lattice of 5 x 5 x 5 cells.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ class Dialect:
     def stamp(self, text: str) -> str:
         return f"TIMESTAMP_NTZ '{text}'" if self.name == "spark" else f"TIMESTAMP '{text}'"
 
-    def both(self, name: str) -> str:
-        """A FROM item giving each row twice, with `name` 0 and 1."""
+    def each(self, name: str, n: int) -> str:
+        """A FROM item repeating each row n times, with `name` from 0 to n - 1."""
         if self.name == "spark":
-            return f"lateral view explode(array(0, 1)) twice as {name}"
-        return f"cross join (select unnest([0, 1]) as {name}) twice"
+            return f"lateral view explode(sequence(0, {n - 1})) num as {name}"
+        return f"cross join (select cast(unnest(range({n})) as int) as {name}) num"
 
     def idiv(self, a: str, b: int) -> str:
         return f"cast(floor({a}/{b}) as int)"
@@ -86,7 +86,7 @@ def arrivals(d: Dialect) -> str:
       case when (w = 0 and l_partkey % 11 = 0) or (w = 1 and l_partkey % 13 = 0) then null
            else {d.add_ms(_origin(d, 'l_orderkey'), travel)} end as arrival_dttm
     from {{lineitem}} join {{supplier}} on l_suppkey = s_suppkey join {{nation}} on s_nationkey = n_nationkey
-      {d.both('w')}"""
+      {d.each('w', 2)}"""
 
 
 _REGION_BOX = """select r_name as region_nm, 156.005e0 + r_regionkey*0.5e0 as lon_min, 163.005e0 + r_regionkey*0.5e0 as lon_max,
@@ -132,11 +132,10 @@ def true_cells(d: Dialect) -> str:
 
 def lattice_times(d: Dialect) -> str:
     """Travel time from every station to every cell of the location lattice."""
-    i, j = "n_nationkey % 5", d.idiv("n_nationkey", 5)
-    dx, dy = f"(10*({i}) - (s_suppkey*7) % 50)", f"(10*{j} - (s_suppkey*13) % 50)"
-    return f"""select s_suppkey as station_id, cast({i} as int) as i, {j} as j, r_regionkey as k,
-      0.02e0*sqrt({dx}*{dx} + {dy}*{dy} + 100*r_regionkey*r_regionkey) as t
-    from {{supplier}} cross join {{nation}} cross join {{region}}"""
+    i, j, k = "(c % 5)", f"({d.idiv('c', 5)} % 5)", d.idiv("c", 25)
+    dx, dy = f"(10*{i} - (s_suppkey*7) % 50)", f"(10*{j} - (s_suppkey*13) % 50)"
+    return f"""select s_suppkey as station_id, {i} as i, {j} as j, {k} as k,
+      0.02e0*sqrt({dx}*{dx} + {dy}*{dy} + 100*{k}*{k}) as t from {{supplier}} {d.each('c', 125)}"""
 
 
 def observed(d: Dialect) -> str:
@@ -170,9 +169,9 @@ def travel_times(d: Dialect) -> str:
 
 
 def run_residuals(d: Dialect) -> str:
-    return """select 'run_'||cast(event_id % 3 as varchar(20)) as run_id, r_regionkey as iter, event_id, station_id,
-      (((event_id*13 + station_id*29 + r_regionkey*5) % 101) - 50)*0.01e0/(r_regionkey + 1) as r
-    from ({observed}) o cross join {region}"""
+    return f"""select 'run_'||cast(event_id % 3 as varchar(20)) as run_id, c as iter, event_id, station_id,
+      (((event_id*13 + station_id*29 + c*5) % 101) - 50)*0.01e0/(c + 1) as r
+    from ({{observed}}) o {d.each('c', 5)}"""
 
 
 def run_iterations(d: Dialect) -> str:
