@@ -427,7 +427,7 @@ AXES = {"lon": [156.0, 157.5, 160.0, 161.0, 164.5], "lat": [50.5, 52.0, 53.0, 56
 
 def _node_values(tb):
     """Mean velocity over all models at the nodes of the irregular grid."""
-    return tb.cells.groupBy((F.col("i") % 5).alias("i"), (F.col("j") % 4).alias("j"), (F.col("k") % 3).alias("k")).agg(
+    return tb.cells.groupBy((F.col("i") % 5).alias("i"), (F.col("j") % 4).alias("j"), ((F.col("i") + F.col("j")) % 3).alias("k")).agg(
         F.round(F.avg("vp"), 3).alias("vp")
     )
 
@@ -441,27 +441,26 @@ def _at(axis: list[float], idx: str) -> str:
     return f"(case {idx} " + " ".join(f"when {n} then {a}e0" for n, a in enumerate(axis)) + " end)"
 
 
-VALUES_SQL = "v as (select i % 5 i, j % 4 j, k % 3 k, round(avg(vp),3) vp from in_cells group by 1,2,3)"
+VALUES_SQL = "v as (select i % 5 i, j % 4 j, (i + j) % 3 k, round(avg(vp),3) vp from in_cells group by 1,2,3)"
 BRACKETS = ", ".join(f"{_bracket_sql(n, a)} b{c}" for (n, a), c in zip(AXES.items(), "ijk"))
 FRACTIONS = ", ".join(
     f"({n} - {_at(a, 'b' + c)})/({_at(a, f'(b{c}+1)')} - {_at(a, 'b' + c)}) f{c}" for (n, a), c in zip(AXES.items(), "ijk")
 )
 
 
-def _interp_sql(source: str, key: str) -> tuple[str, str]:
-    """CTEs giving `ip(key columns, bi, bj, bk, val)` for a relation with lon, lat, depth."""
+def _interp_sql(source: str) -> str:
+    """CTEs giving `ip(source columns, bi, bj, bk, val)` for a relation with lon, lat, depth."""
     joins = " ".join(
         f"join v c{a}{b}{c} on c{a}{b}{c}.i = p.bi+{a} and c{a}{b}{c}.j = p.bj+{b} and c{a}{b}{c}.k = p.bk+{c}"
         for a, b, c in ce.CORNERS
     )
-    ctes = f"""{VALUES_SQL}, pb as (select *, {BRACKETS} from {source}), p as (select *, {FRACTIONS} from pb),
+    return f"""{VALUES_SQL}, pb as (select *, {BRACKETS} from {source}), p as (select *, {FRACTIONS} from pb),
     ip as (select p.*, {_lerp('p.fi', 'p.fj', 'p.fk')} as val from p {joins})"""
-    return ctes, key
 
 
 @register(
     "interpolate_points",
-    f"with {_interp_sql('(select event_id, lon, lat, depth from in_quakes where lon is not null)', '')[0]} select event_id, {st('val', 4)} as vp from ip",
+    f"with {_interp_sql('(select event_id, lon, lat, depth from in_quakes where lon is not null)')} select event_id, {st('val', 4)} as vp from ip",
     "quakes cells",
 )
 def interpolate_points(tb):

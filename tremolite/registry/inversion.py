@@ -8,7 +8,7 @@ from ..operators import catalogue as cat, cells as ce, fronts as fr, inversion a
 from ..plans import deviation as dv, straight_ray as sr, tomography as tg
 from . import r, register, steady
 from .catalogue import RAW, STAR, TRAVEL
-from .grids import AXES, CELL_OF, LATTICE, VALUES_SQL, ZONE, _interp_sql, _nearest_sql
+from .grids import AXES, CELL_OF, LATTICE, ZONE
 from . import sqltext as q
 from .sqltext import steady as st
 
@@ -25,7 +25,7 @@ def misfit(tb):
 
 @register(
     "pairwise_misfit",
-    f"with {MISFIT_SQL} select event_id, count(*) n_cells, round(min(misfit),6) lo, round(max(misfit),6) hi, round(sum(misfit),5) total, round(sum(misfit*(i*25+j*5+k)),4) moment from ms group by 1",
+    f"with {MISFIT_SQL} select event_id, count(*) n_cells, {st('min(misfit)', 5)} lo, {st('max(misfit)', 5)} hi, {st('sum(misfit)', 5)} total, {st('sum(misfit*(i*25+j*5+k))', 4)} moment from ms group by 1",
     OBS,
 )
 def pairwise_misfit(tb):
@@ -35,7 +35,7 @@ def pairwise_misfit(tb):
         F.count(F.lit(1)).alias("n_cells"), F.min("misfit").alias("lo"), F.max("misfit").alias("hi"),
         F.sum("misfit").alias("total"), F.sum(F.col("misfit") * number).alias("moment"),
     )
-    return out.select("event_id", "n_cells", r("lo"), r("hi"), r("total", 5), r("moment", 4))
+    return out.select("event_id", "n_cells", steady("lo", 5), steady("hi", 5), steady("total", 5), steady("moment", 4))
 
 
 @register(
@@ -137,7 +137,6 @@ def pair_residuals(tb):
 # --- rays through cells ------------------------------------------------------------------------------------------
 
 # Straight rays from the quake's best cell to the station's own cell of the location lattice, in cell units.
-STATION_AT = "(select station_id, min_by(struct_pack(i := i, j := j, k := k), t*1000000 + i*25 + j*5 + k) c from in_lattice_times group by 1)"
 SEG_SQL = (
     RESIDUAL_SQL
     + f""", sg as (select rs.event_id, rs.station_id, rs.r, rs.i*1.0e0 a0, rs.j*1.0e0 a1, rs.k*1.0e0 a2, c.i*1.0e0 + 0.25e0 b0, c.j*1.0e0 + 0.5e0 b1, c.k*1.0e0 b2
@@ -262,7 +261,6 @@ def damped_solve(tb):
 # --- straight rays in geographic coordinates ---------------------------------------------------------------------
 
 RAY_DAYS = ("1998-01-01", "1998-06-30")
-VALUES = "v as (select i % 5 i, j % 4 j, k % 3 k, round(avg(vp),3) v from in_cells group by 1,2,3)"
 
 
 def rays(tb):
@@ -274,7 +272,7 @@ def rays(tb):
 
 
 def node_values(tb):
-    return tb.cells.groupBy((F.col("i") % 5).alias("i"), (F.col("j") % 4).alias("j"), (F.col("k") % 3).alias("k")).agg(
+    return tb.cells.groupBy((F.col("i") % 5).alias("i"), (F.col("j") % 4).alias("j"), ((F.col("i") + F.col("j")) % 3).alias("k")).agg(
         F.round(F.avg("vp"), 3).alias("v")
     )
 
