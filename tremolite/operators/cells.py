@@ -297,7 +297,7 @@ def interpolate_points(
 ) -> DataFrame:
     """Trilinear value at points on irregular axes (`column -> nodes`, in order i, j, k); linear beyond the edges."""
     names = list(axes)
-    staged = points.withColumns({c: bracket(n, axes[n]) for c, n in zip(CELL, names)})
+    staged = evaluate_once(points, {c: bracket(n, axes[n]) for c, n in zip(CELL, names)})
     parts = {}
     for c, n in zip(CELL, names):
         lo, hi = _axis_at(axes[n], F.col(c)), _axis_at(axes[n], F.col(c) + 1)
