@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
 from .common import read
 from .jaccard import jaccard_join
+from .packing import pack_documents
 from .secrets import scan_secrets
 from .sharding import shard_documents
 
@@ -34,3 +36,8 @@ def op4_secret_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=8)
+
+
+@query
+def op9_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
