@@ -12,6 +12,7 @@ from .common import read
 from .decontamination import find_contamination
 from .jaccard import jaccard_join
 from .packing import pack_documents
+from .pii import scan_pii
 from .secrets import scan_secrets
 from .sharding import shard_documents
 
@@ -44,6 +45,11 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=8)
 
 
+@query
+def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_pii(read(spark, sf_dir, "documents"))
+
+
 @query
 def op9_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
