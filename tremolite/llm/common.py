@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # White space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\v\f\r"
@@ -111,3 +112,22 @@ def bounded(frames: Iterator[pd.DataFrame], column: str = "text", chars: int = 2
         for a, b in zip([0, *cuts], [*cuts, len(frame)], strict=True):
             if b > a:
                 yield frame.iloc[a:b]
+
+
+def map_texts(docs: DataFrame, scan: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], columns: str, *more) -> DataFrame:
+    """mapInPandas over doc_id, text and `more`. The id passes through as text: pandas would round a large one beside a null."""
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", *more)
+    out = rows.mapInPandas(lambda frames: scan(bounded(frames)), f"doc_id string, {columns}")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def keep_rows(docs: DataFrame, good: Callable[[list], list]) -> DataFrame:
+    """The rows of `docs` whose text passes, all columns unchanged. `good` takes texts and gives a flag for each; no shuffle."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                yield part.filter(pa.array(good(part.column(part.schema.get_field_index("text")).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(scan, docs.schema)

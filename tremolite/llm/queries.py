@@ -13,8 +13,10 @@ from .decontamination import find_contamination
 from .jaccard import jaccard_join
 from .packing import pack_documents
 from .pii import scan_pii
+from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .sharding import shard_documents
+from .weak_labels import classify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +52,16 @@ def op6_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_pii(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_hashed_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op9_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
