@@ -11,11 +11,13 @@ from ..session import tune
 from .common import read
 from .decontamination import find_contamination
 from .jaccard import jaccard_join
+from .langid import identify
 from .packing import pack_documents
 from .pii import scan_pii
 from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .sharding import shard_documents
+from .toxicity import score_toxicity
 from .weak_labels import classify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +29,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op2_qgram_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -65,3 +72,8 @@ def op8_hashed_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
