@@ -107,3 +107,14 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["v"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_one_of_each_stays(spark, sf):
+    docs = read(spark, sf, "documents")
+    want = {c for _, c, _ in brute([(r["doc_id"], r["text"]) for r in docs.collect()]).values()}
+    kept = jc.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+    t = " ".join(f"v{i}" for i in range(30))
+    rows = [(None, t, 1), (7, t, 2), (7, t, 2), (9, t + " z", 3), (None, "one two", 4), (None, "one two", 4), (None, None, 5), (3, "", 6)]
+    got = jc.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted(r["n"] for r in got) == [2, 4, 5, 6]

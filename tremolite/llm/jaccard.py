@@ -21,7 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import materialise
 from .common import bounded, mix, shingle_set
@@ -325,7 +327,17 @@ def jaccard_join(docs: DataFrame, width: int = 5) -> DataFrame:
     fewer words than `width` is one shingle. Repeated rows are copies of each other. Ids may be null; a component takes the
     smallest id that isn't. An empty table gives no rows; other columns are ignored.
     """
-    docs = docs.select("doc_id", "text")
+    rows, grouped = _grouped(docs.select("doc_id", "text"), width)
+    lowest = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    answer = grouped.join(lowest, "label").select("fp", "component_id", "n_links")
+    return rows.join(answer, "fp", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
+
+
+def _grouped(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The profile of every row, and (fp, doc_id, label, n_links) of every class: its smallest id and its component."""
     rows = materialise(profile(docs, width), "profile")
     classes = rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     edges = materialise(candidates(docs, width), "candidates")
@@ -334,9 +346,28 @@ def jaccard_join(docs: DataFrame, width: int = 5) -> DataFrame:
     counts = links.groupBy(F.col("v").alias("fp")).agg(F.sum("links").alias("n_links"))
     known = labels.select(F.col("v").alias("fp"), "label").join(counts, "fp", "left")
     grouped = classes.join(known, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    lowest = grouped.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    answer = grouped.join(lowest, "label").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.join(answer, "fp", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-    )
+    return rows, grouped.withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+
+
+def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of `docs` that stay when one row of each component does, all columns unchanged.
+
+    The row with the smallest id stays, one of them where it is repeated; ids that are null come last. Rows without words stay.
+    """
+    _, grouped = _grouped(docs.select("doc_id", "text"), width)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
+    mark = F.xxhash64("_fp", "doc_id")
+    keep = grouped.groupBy("label").agg(first).select(F.col("first.fp").alias("_fp"), F.col("first.doc_id").alias("doc_id"))
+    keep = keep.select("_fp", mark.alias("_row"))
+
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                sets = [shingle_set(t, width) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+                fps = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, fps], names=[*part.schema.names, "_fp"])
+
+    tagged = docs.mapInArrow(tag, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    kept = tagged.where("_fp is not null").withColumn("_row", mark).join(keep, ["_fp", "_row"]).dropDuplicates(["_fp", "_row"])
+    return kept.select(docs.columns).union(tagged.where("_fp is null").select(docs.columns))

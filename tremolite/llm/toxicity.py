@@ -23,7 +23,7 @@ from .linear import sigmoid, smallest
 #: The most labelled texts that the grammar is learned from.
 SAMPLE = 8000
 #: Stems of these lengths are tried; an insult needs so many different contexts, log-odds and evidence (count times log-odds).
-STEMS, CONTEXTS, ODDS, EVIDENCE = (4, 5, 6), 5, 2.5, 14.0
+STEMS, CONTEXTS, ODDS, EVIDENCE = (4, 5, 6, 7, 8), 5, 2.5, 14.0
 
 # Word lists of the grammar's classes in four languages.
 INSULTS = ("idiot idiots idiotic moron morons stupid scum loser losers pathetic worthless disgusting trash clown imbecile dumb "
