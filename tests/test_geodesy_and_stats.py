@@ -180,7 +180,7 @@ def test_pair_rms_identity(spark):
 def test_scalars(spark):
     row = spark.range(1).select(
         sc.ratio_diff(F.lit(0.0), F.lit(0.0)), sc.ratio_diff(F.lit(2.0), F.lit(0.0)), sc.relative_diff(F.lit(0.0), F.lit(0.0)),
-        sc.relative_diff(F.lit(1.0), F.lit(3.0)), sc.bound_velocity(F.lit(10.0), 5.0, 2.0, 1.0), sc.apply_slowness(F.lit(2.0), F.lit(-9.0)),
+        sc.relative_diff(F.lit(1.0), F.lit(3.0)), sc.bound_velocity(F.lit(10.0), 5.0, 2.0, sc.SoftLimit(sc.power(2.0), 1.0), sc.SoftLimit(sc.power(2.0), 1.0)), sc.apply_slowness(F.lit(2.0), F.lit(-9.0)),
         sc.snap_surface_depth(F.lit(-5.0), 10.0), sc.json_number(F.lit("Nan")), sc.biased_depth(F.lit(1.0), 100.0, 2.0),
     ).first()
     assert list(row) == [0.0, float("inf"), 0.0, 1.0, 10.0, 1e12, 0.0, None, pytest.approx(100.0)]

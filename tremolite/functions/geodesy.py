@@ -117,6 +117,14 @@ def mercator_distance(lon1, lat1, lon2, lat2) -> Column:
     return F.sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2))
 
 
+def mercator_box(lon: float, lat: float, radius: float) -> tuple[float, float, float, float]:
+    """West, east, south and north border of a circle of projected metres, a hair wider than exact."""
+    y = math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))
+    south, north = (math.degrees(2 * math.atan(math.exp(y + d / WGS84_A)) - math.pi / 2) for d in (-radius, radius))
+    reach = math.degrees(radius / WGS84_A)
+    return lon - reach - 1e-9, lon + reach + 1e-9, south - 1e-9, north + 1e-9
+
+
 def degrees_per_metre(lat) -> tuple[Column, Column]:
     """Degrees of latitude and of longitude covered by one metre."""
     return F.lit(1 / METRES_PER_DEGREE), 1 / (METRES_PER_DEGREE * F.cos(F.radians(col(lat))))

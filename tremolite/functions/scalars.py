@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, functions as F
 
 from .geodesy import col
@@ -86,36 +89,33 @@ def ratio_diff(a, b) -> Column:
     )
 
 
-def _squeeze_weight(dist: Column, mode: str, rate: float, power: float) -> Column:
-    if mode == "exp":
-        return F.expm1(F.least(rate * dist, F.lit(50.0)))
-    return F.pow(dist, F.lit(power))
-
-
-def bound_velocity(
-    v,
-    v_min: float,
-    v_max: float,
-    strength: float,
-    left_mode: str = "exp",
-    right_mode: str = "poly",
-    left_rate: float = 6.0,
-    right_rate: float = 2.0,
-    left_power: float = 2.0,
-    right_power: float = 2.0,
-) -> Column:
-    """Pull velocities outside [v_min, v_max] back towards the nearer bound."""
+@dataclass(frozen=True)
+class SoftLimit:
+    """How far beyond a bound a value may stay: an excess shrinks by 1 + strength * growth(excess / bound)."""
+
+    growth: Callable[[Column], Column]
+    strength: float
+
+    def rest(self, excess: Column, bound: float) -> Column:
+        return excess / (1.0 + self.strength * self.growth(excess / max(bound, 1e-12)))
+
+
+def exponential(rate: float) -> Callable[[Column], Column]:
+    return lambda x: F.expm1(F.least(rate * x, F.lit(50.0)))
+
+
+def power(exponent: float) -> Callable[[Column], Column]:
+    return lambda x: F.pow(x, F.lit(exponent))
+
+
+def bound_velocity(v, v_min: float, v_max: float, below: SoftLimit, above: SoftLimit) -> Column:
+    """Pull velocities outside [v_min, v_max] back towards the nearer bound; an empty interval changes nothing."""
     v = col(v)
     if v_min >= v_max:
         return v
-    below, above = v_min - v, v - v_max
-    w_left = _squeeze_weight(below / max(v_min, 1e-12), left_mode, left_rate, left_power)
-    w_right = _squeeze_weight(above / max(v_max, 1e-12), right_mode, right_rate, right_power)
-    return (
-        F.when(v < v_min, v_min - below / (1.0 + strength * w_left))
-        .when(v > v_max, v_max + above / (1.0 + strength * w_right))
-        .otherwise(v)
-    )
+    nearest = F.least(F.greatest(v, F.lit(float(v_min))), F.lit(float(v_max)))
+    excess = F.abs(v - nearest)
+    return F.when(v == nearest, v).when(v < nearest, nearest - below.rest(excess, v_min)).otherwise(nearest + above.rest(excess, v_max))
 
 
 def apply_slowness(v, delta_s) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.geodesy import mercator_distance
+from ..functions.geodesy import mercator_box, mercator_distance
 from ..functions.scalars import BOX_TYPES, PAIRED_TYPES, json_number, travel_seconds, wave_subtype
 from .predicates import DEFAULT_BOX, Box, in_days, inside_edges, positive_travel, ring_edges, since_year
 
@@ -13,18 +13,18 @@ STATION_KEY = ["station_nm", "network_nm"]
 
 def located_stations(stations: DataFrame) -> DataFrame:
     """Stations with a position, coordinates renamed."""
-    return stations.dropna(subset=["lon", "lat"]).select(
+    return stations.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).select(
         *STATION_KEY, F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat")
     )
 
 
 def located_quakes(quakes: DataFrame) -> DataFrame:
-    return quakes.dropna(subset=["lon", "lat"]).withColumnsRenamed({"lon": "e_lon", "lat": "e_lat"})
+    return quakes.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull()).withColumnsRenamed({"lon": "e_lon", "lat": "e_lat"})
 
 
 def star_join(quakes: DataFrame, arrivals: DataFrame, stations: DataFrame) -> DataFrame:
-    """Picks with their quake and station columns; station identity is (name, network)."""
-    return arrivals.join(quakes, "event_id").join(stations, STATION_KEY)
+    """Picks with their quake and station columns; station identity is (name, network). The small station side comes first."""
+    return arrivals.join(stations, STATION_KEY).join(quakes, "event_id")
 
 
 def arrivals_in_box(
@@ -88,8 +88,10 @@ def with_magnitude(quakes: DataFrame, magnitudes: DataFrame, min_mag: float) ->
 
 
 def near_point(lon, lat, at_lon: float, at_lat: float, radius: float) -> Column:
-    """Closer than `radius` projected metres to a fixed point."""
-    return mercator_distance(lon, lat, at_lon, at_lat) < radius
+    """Closer than `radius` projected metres to a fixed point; the circle's own lon/lat box goes along as plain ranges."""
+    west, east, south, north = mercator_box(at_lon, at_lat, radius)
+    inside = F.col(lon).between(west, east) & F.col(lat).between(south, north)
+    return inside & (mercator_distance(lon, lat, at_lon, at_lat) < radius)
 
 
 def quakes_in_cylinder(
@@ -115,7 +117,8 @@ def quakes_in_cylinder(
     q = with_magnitude(q, magnitudes, min_mag)
     s = located_stations(stations).filter(near_point("s_lon", "s_lat", lon, lat, radius)).select(*STATION_KEY)
     # Reduce picks to (quake, station name) before meeting the quakes: a hot quake shrinks to its stations.
-    recorded = arrivals.join(s, STATION_KEY).select("event_id", "station_nm").distinct()
+    picks = arrivals.join(q.select("event_id"), "event_id", "left_semi")
+    recorded = picks.join(s, STATION_KEY).select("event_id", "station_nm").distinct()
     counts = recorded.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_stations"))
     return (
         q.join(counts.filter(F.col("n_stations") >= min_stations), "event_id")

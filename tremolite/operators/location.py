@@ -4,29 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import broadcast_if_small
 from .cells import CELL
+from .ranking import exact_quantiles
 
 
 def pairwise_misfit(observed: DataFrame, field: DataFrame, station: str = "station_id", event: str = "event_id") -> DataFrame:
     """Sum of squared pair differences of residuals per quake and cell, without forming pairs.
 
-    `observed` has one t_obs per quake and station; quakes with fewer than two stations drop out. Observations are
-    centred per quake first (the misfit does not depend on the origin time). The only exchange puts each quake's
-    observations, at most one per station, together; with a broadcast field the sums over (quake, cell) and whatever
-    follows per quake stay in that partitioning.
+    `observed` has one t_obs per quake and station; rows without a time don't count, and quakes with fewer than two
+    stations drop out. Observations are centred per quake first (the misfit does not depend on the origin time). A cell
+    counts only where every station of the quake has a time: sums over fewer stations would not compare.
     """
-    w = W.partitionBy(event)
-    centred = (
-        observed.select(event, station, "t_obs", F.avg("t_obs").over(w).alias("_base"), F.count(F.lit(1)).over(w).alias("_n"))
-        .filter("_n > 1")
-        .select(event, station, (F.col("t_obs") - F.col("_base")).alias("_o"))
-    )
+    timed = observed.filter(F.col("t_obs").isNotNull()).select(event, station, "t_obs")
+    base = timed.groupBy(event).agg(F.avg("t_obs").alias("_base"), F.count(F.lit(1)).alias("_all")).filter("_all > 1")
+    centred = timed.join(base, event).select(event, station, "_all", (F.col("t_obs") - F.col("_base")).alias("_o"))
     r = F.col("_o") - F.col("t")
-    times = broadcast_if_small(field.select(station, *CELL, "t"))
+    times = field.filter(F.col("t").isNotNull()).select(station, *CELL, "t")
     sums = centred.join(times, station).groupBy(event, *CELL).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(r).alias("_s"), F.sum(r * r).alias("_q")
-    )
+        F.count(F.lit(1)).alias("_n"), F.max("_all").alias("_all"), F.sum(r).alias("_s"), F.sum(r * r).alias("_q")
+    ).filter("_n = _all")
     misfit = F.greatest(F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s"), F.lit(0.0))
     return sums.select(event, *CELL, misfit.alias("misfit"))
 
@@ -42,33 +38,27 @@ def softmin_weights(
 ) -> DataFrame:
     """Weights exp(-(m - min)/(T * scale)) summing to 1 per quake; scale is the median positive excess.
 
-    With a threshold only cells up to it take part; a quake with none gets all its weight at its best cell. A
-    quake's group holds the lattice cells, whose number is a model parameter and the same for every quake.
+    With a threshold only cells up to it take part; a quake with none gets all its weight at its best cell. Everything
+    per quake is an aggregate joined back, the median included, so a quake's lattice is never held by one task.
     """
     if temperature <= 0 or (threshold is not None and threshold < 0):
         raise ValueError("temperature must be positive and the threshold not negative")
-    w = W.partitionBy(event)
     m = F.col("misfit")
-    masked = misfit.withColumn("_in", F.lit(True) if threshold is None else F.abs(m) <= threshold)
-    masked = masked.withColumn("_min", F.min(F.when(F.col("_in"), m)).over(w))
-    if threshold is not None:
-        best = F.min(F.struct(m, *CELL)).over(w)
-        masked = masked.withColumn("_best", best)
-    delta = F.when(F.col("_in"), m - F.col("_min"))
-    scaled = masked.withColumn("_d", delta).withColumn(
-        "_scale",
-        F.greatest(
-            F.coalesce(F.percentile(F.when(F.col("_d") > 0, F.col("_d")), F.lit(0.5)).over(w), F.lit(1.0)),
-            F.lit(1e-12),
-        ),
+    inside = F.lit(True) if threshold is None else F.abs(m) <= threshold
+    ends = misfit.groupBy(event).agg(
+        F.min(F.when(inside, m)).alias("_min"), F.min(F.struct(m, *CELL)).alias("_best")
     )
-    raw = F.coalesce(F.exp(-F.col("_d") / (temperature * F.col("_scale"))), F.lit(0.0))
-    weighted = scaled.withColumn("_raw", raw).withColumn("_sum", F.sum("_raw").over(w))
+    shifted = misfit.join(ends, event).withColumn("_d", F.when(inside, m - F.col("_min")))
+    medians = exact_quantiles(shifted.filter("_d > 0").select(event, "_d"), [event], "_d", {"_median": 0.5})
+    scale = F.greatest(F.coalesce("_median", F.lit(1.0)), F.lit(1e-12))
+    raw = F.coalesce(F.exp(-F.col("_d") / (temperature * scale)), F.lit(0.0))
+    scaled = shifted.join(medians.select(event, "_median"), event, "left").withColumn("_raw", raw)
+    totals = scaled.groupBy(event).agg(F.sum("_raw").alias("_sum"))
     weight = F.col("_raw") / F.nullif(F.col("_sum"), F.lit(0.0))
     if threshold is not None:
         alone = (F.struct(m, *CELL) == F.col("_best")).cast("double")
         weight = F.when(F.col("_min").isNull(), alone).otherwise(weight)
-    return weighted.select(event, *CELL, "misfit", weight.alias("weight"))
+    return scaled.join(totals, event).select(event, *CELL, "misfit", weight.alias("weight"))
 
 
 def top_weights(weights: DataFrame, n: int, normalise: bool = False, event: str = "event_id") -> DataFrame:

@@ -98,10 +98,17 @@ class NodeGrid:
         return self.locate(self.axis_nodes(spark))
 
     def time_slice(self, spark: SparkSession, it: int) -> DataFrame:
-        return self.nodes(spark).filter(F.col("it") == it)
+        """The nodes of one time, generated alone."""
+        n = F.col("id")
+        plane = spark.range(self.n_lat * self.n_lon).select(
+            F.lit(it).alias("it"), F.floor(n / self.n_lon).cast("int").alias("ix"), (n % self.n_lon).cast("int").alias("iy")
+        )
+        return self.locate(plane)
 
     def point_series(self, spark: SparkSession, ix: int, iy: int) -> DataFrame:
-        return self.nodes(spark).filter((F.col("ix") == ix) & (F.col("iy") == iy))
+        """All times of one place, generated alone."""
+        line = spark.range(self.n_time).select(F.col("id").cast("int").alias("it"), F.lit(ix).alias("ix"), F.lit(iy).alias("iy"))
+        return self.locate(line)
 
     def locate(self, df: DataFrame) -> DataFrame:
         """Add lat, lon and dttm to rows holding ix, iy, it; rows outside the grid raise."""

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.scalars import apply_slowness, bound_velocity
+from ..functions.scalars import SoftLimit, apply_slowness, bound_velocity, exponential, power
 from ..operators import cells as ce, fronts as fr, inversion as inv, location as lo
 from ..session import materialise
 
@@ -110,7 +110,7 @@ def corrected(model: DataFrame, correction: DataFrame, s: Settings) -> DataFrame
     v = apply_slowness("vp", F.coalesce("x", F.lit(0.0)))
     out = numbered.join(correction, "cell", "left").withColumn("vp", v).drop("cell", "x")
     if s.v_bounds and s.v_strength > 0:
-        out = out.withColumn("vp", bound_velocity("vp", *s.v_bounds, s.v_strength))
+        out = out.withColumn("vp", bound_velocity("vp", *s.v_bounds, SoftLimit(exponential(6.0), s.v_strength), SoftLimit(power(2.0), s.v_strength)))
     return out
 
 

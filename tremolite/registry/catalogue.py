@@ -154,8 +154,8 @@ def travel_times_by_region(tb):
 
 @register(
     "region_borders",
-    """select g.region_nm, min(x1) lon_min, max(x1) lon_max, min(y1) lat_min, max(y1) lat_max, min(n) n_events
-    from in_region_edges g join (select region_nm, count(*) n from ("""
+    """select g.region_nm, min(x1) lon_min, max(x1) lon_max, min(y1) lat_min, max(y1) lat_max, coalesce(min(n), 0) n_events
+    from in_region_edges g left join (select region_nm, count(*) n from ("""
     + inside("in_quakes", "lon", "lat", "p.event_id")
     + """) z group by region_nm) c on c.region_nm = g.region_nm group by g.region_nm""",
     "region_edges quakes",
@@ -164,7 +164,8 @@ def region_borders(tb):
     """Borders, with the number of quakes inside."""
     q = cat.region_points(tb.quakes, tb.regions, "lon", "lat")
     counts = q.groupBy("region_nm").agg(F.count(F.lit(1)).alias("n_events"))
-    return cat.region_borders(tb.regions).join(counts, "region_nm")
+    out = cat.region_borders(tb.regions).join(counts, "region_nm", "left")
+    return out.withColumn("n_events", F.coalesce("n_events", F.lit(0)))
 
 
 BOX_PAIRS = f"""select e.event_id, s.station_nm, s.network_nm, {SUBTYPE} as wave_subtype, min(e.event_dttm) event_dttm,

@@ -187,7 +187,7 @@ def relative_diff(tb):
     "cells",
 )
 def bound_velocity(tb):
-    return tb.cells.select(*ID, r(sc.bound_velocity("vp", 2500.0, 3500.0, 3.0), 6, "vp"))
+    return tb.cells.select(*ID, r(sc.bound_velocity("vp", 2500.0, 3500.0, sc.SoftLimit(sc.exponential(6.0), 3.0), sc.SoftLimit(sc.power(2.0), 3.0)), 6, "vp"))
 
 
 @register(
@@ -592,25 +592,22 @@ def missing_fields(tb):
     return fd.missing_fields(required, stored, ["station_nm", "phase"])
 
 
-FIELD_PAIRS = "(select distinct s_suppkey*1000 + n_nationkey as pair_id, s_suppkey as source, n_nationkey as receiver from supplier join nation on n_nationkey % 5 = s_nationkey % 5 where n_nationkey <= (select max(s_suppkey) from supplier)) fp"
+FIELD_PAIRS = "(select s_suppkey as pair_id, s_suppkey as source, 1 + (s_suppkey * 7 + 3) % (select max(s_suppkey) from supplier) as receiver from supplier) fp"
 
 
 @register(
     "fat_ray",
-    f"""with c as (select station_id, i, j, k from (select *, row_number() over (partition by station_id order by t, i, j, k) rn from in_lattice_times) z where rn = 1),
-    d as (select pair_id, source, receiver, (a.t + b.t)/2 tt from {FIELD_PAIRS} join c cs on cs.station_id = source join c cr on cr.station_id = receiver
-      join in_lattice_times a on a.station_id = source and a.i = cr.i and a.j = cr.j and a.k = cr.k
-      join in_lattice_times b on b.station_id = receiver and b.i = cs.i and b.j = cs.j and b.k = cs.k)
-    select pair_id, sx.i, sx.j, sx.k from d join in_lattice_times sx on sx.station_id = source join in_lattice_times rx on rx.station_id = receiver
+    f"""with f as materialized (select * from in_lattice_times), c as materialized (select station_id, i, j, k from (select *, row_number() over (partition by station_id order by t, i, j, k) rn from f) z where rn = 1),
+    d as materialized (select pair_id, source, receiver, (a.t + b.t)/2 tt from {FIELD_PAIRS} join c cs on cs.station_id = source join c cr on cr.station_id = receiver
+      join f a on a.station_id = source and a.i = cr.i and a.j = cr.j and a.k = cr.k
+      join f b on b.station_id = receiver and b.i = cs.i and b.j = cs.j and b.k = cs.k)
+    select pair_id, sx.i, sx.j, sx.k from d join f sx on sx.station_id = source join f rx on rx.station_id = receiver
       and rx.i = sx.i and rx.j = sx.j and rx.k = sx.k where sx.t + rx.t - tt <= 0.1234567""",
     "lattice_times",
 )
 def fat_ray(tb):
-    sup, nat = tb.table("supplier"), tb.table("nation")
-    top = sup.agg(F.max("s_suppkey").alias("_top"))
-    s = sup.select(F.col("s_suppkey").alias("source"), (F.col("s_nationkey") % 5).alias("_g"))
-    n = nat.select(F.col("n_nationkey").cast("long").alias("receiver"), (F.col("n_nationkey") % 5).alias("_g"))
-    pairs = s.join(n, "_g").join(F.broadcast(top), F.col("receiver") <= F.col("_top")).select(
-        (F.col("source") * 1000 + F.col("receiver")).alias("pair_id"), "source", "receiver"
-    )
+    """Each station paired with another one of the whole list."""
+    s = F.col("s_suppkey")
+    n = tb.table("supplier").agg(F.max("s_suppkey")).first()[0]
+    pairs = tb.table("supplier").select(s.alias("pair_id"), s.alias("source"), (1 + (s * 7 + 3) % n).alias("receiver"))
     return fd.fat_rays(pairs, tb.lattice_times, "station_id", 0.1234567).select("pair_id", "i", "j", "k")

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from ..operators import catalogue as cat, cells as ce, fronts as fr, inversion as inv, location as lo, measures as ms, rays as ry
 from ..plans import deviation as dv, straight_ray as sr, tomography as tg
 from . import r, register, steady
-from .catalogue import RAW, STAR, TRAVEL
+from .catalogue import DAYS, RAW, STAR, TRAVEL
 from .grids import AXES, CELL_OF, LATTICE, ZONE
 from . import sqltext as q
 from .sqltext import steady as st
 
-MISFIT_SQL = """b as (select event_id, avg(t_obs) base, count(*) n from in_observed group by 1 having count(*) > 1),
+MISFIT_SQL = """b as (select event_id, avg(t_obs) base, count(t_obs) n from in_observed group by 1 having count(t_obs) > 1),
     ms as (select event_id, i, j, k, round(greatest(count(*)*sum(x*x) - sum(x)*sum(x), 0), 9) misfit from
-      (select o.event_id, f.i, f.j, f.k, o.t_obs - b.base - f.t as x from in_observed o join b using (event_id) join in_lattice_times f on f.station_id = o.station_id) z group by 1,2,3,4)"""
+      (select o.event_id, f.i, f.j, f.k, o.t_obs - b.base - f.t as x, b.n from in_observed o join b using (event_id) join in_lattice_times f on f.station_id = o.station_id where o.t_obs is not null) z group by 1,2,3,4 having count(x) = max(n))"""
 OBS = "observed lattice_times"
 
 
@@ -81,12 +81,12 @@ def softmin_weights(tb):
     dl as (select *, misfit - min(misfit) over (partition by event_id) d from mk where ok),
     sc as (select event_id, greatest(coalesce(quantile_cont(case when d > 0 then d end, 0.5), 1), 1e-12) s from dl group by 1),
     w as (select event_id, i, j, k, exp(-d/s)/sum(exp(-d/s)) over (partition by event_id) weight from dl join sc using (event_id))
-    select event_id, i, j, k, round(weight, 6) weight from (select * from w union all select * from one) u where weight > 1e-7""",
+    select event_id, i, j, k, round(weight, 6) weight from (select * from w union all select * from one) u""",
     OBS,
 )
 def softmin_threshold(tb):
     out = lo.softmin_weights(misfit(tb), 1.0, threshold=0.001)
-    return out.filter("weight > 1e-7").select("event_id", "i", "j", "k", r("weight"))
+    return out.filter("weight is not null and misfit <= 0.001 or weight = 1").select("event_id", "i", "j", "k", r("weight"))
 
 
 TOP_SQL = f"with {WEIGHT_SQL} select event_id, i, j, k, round(weight/sum(weight) over (partition by event_id), 6) weight from tn where rn <= 3"
@@ -260,12 +260,9 @@ def damped_solve(tb):
 
 # --- straight rays in geographic coordinates ---------------------------------------------------------------------
 
-RAY_DAYS = ("1998-01-01", "1998-06-30")
-
-
 def rays(tb):
-    """One ray per P pick of half a year of quakes."""
-    raw = cat.raw_arrivals(tb.quakes, tb.arrivals.filter(F.col("arrival_type").startswith("P")), tb.stations, *RAY_DAYS)
+    """One ray per quake and station with a pick, over all days of the catalogue queries."""
+    raw = cat.raw_arrivals(tb.quakes, tb.arrivals, tb.stations, *DAYS)
     return raw.groupBy("event_id", *cat.STATION_KEY, "event_lon", "event_lat", "event_depth", "station_lon", "station_lat").agg(
         F.max("travel_time").alias("travel_time")
     ).withColumn("ray", F.concat_ws(" ", F.col("event_id").cast("string"), *cat.STATION_KEY))

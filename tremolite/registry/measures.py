@@ -13,7 +13,7 @@ from .sqltext import steady as st
 LOOKUP_SQL = f"""lk as (select a.event_id, a.pick_id, a.arrival_dttm, t.t as model_s
     from in_arrivals a join in_lattice_times t on 'ST'||cast(t.station_id as varchar) = a.station_nm and t.i = a.event_id % 5
       and t.j = cast(floor(a.event_id/5) as int) % 5 and t.k = (a.event_id*3) % 5
-    where a.arrival_dttm is not null and a.arrival_type like 'P%')"""
+    where a.arrival_dttm is not null)"""
 IMPLIED_SQL = (
     LOOKUP_SQL
     + """, io as (select *, epoch_us(arrival_dttm) - cast(round_even(model_s*1e6,0) as bigint) as us from lk)"""
@@ -21,13 +21,13 @@ IMPLIED_SQL = (
 
 
 def model_times(tb):
-    """P picks with the modelled travel time between the station and the quake's cell."""
+    """Picks with the modelled travel time between the station and the quake's cell."""
     field = tb.lattice_times.select(
         F.concat(F.lit("ST"), F.col("station_id").cast("string")).alias("station_nm"), "i", "j", "k",
         F.col("t").alias("model_s"),
     )
     e = F.col("event_id")
-    picks = tb.arrivals.filter(F.col("arrival_dttm").isNotNull() & F.col("arrival_type").startswith("P")).withColumns(
+    picks = tb.arrivals.filter(F.col("arrival_dttm").isNotNull()).withColumns(
         {"i": (e % 5).cast("int"), "j": (F.floor(e / 5) % 5).cast("int"), "k": ((e * 3) % 5).cast("int")}
     )
     return picks.join(field, ["station_nm", "i", "j", "k"]).select("event_id", "pick_id", "arrival_dttm", "model_s")

@@ -45,18 +45,21 @@ def make_grid(tb):
     return nodes.select("month", "ix", "iy", GRID.lat().alias("lat"), GRID.lon().alias("lon"))
 
 
+STAMP = "make_timestamp(cast(round_even(us, 0) as bigint)) as dttm"
+
+
 @register(
     "grid_node",
-    f"""select o_orderkey as event_id, ix, iy, lat, lon from orders join {NODES} n
-      on n.ix = o_orderkey % 29 and n.iy = o_custkey % 36""",
+    f"""select o_orderkey as event_id, n.ix, n.iy, t.it, n.lat, n.lon, {STAMP} from orders join {NODES} n
+      on n.ix = o_orderkey % 29 and n.iy = o_custkey % 36 join ({TIMES}) t on t.it = (o_orderkey + o_custkey) % 49""",
 )
 def grid_node(tb):
-    """Position of the node named by each row's indices."""
+    """Position and time of the node named by each row's indices."""
     idx = tb.table("orders").select(
         F.col("o_orderkey").alias("event_id"), (F.col("o_orderkey") % 29).cast("int").alias("ix"),
-        (F.col("o_custkey") % 36).cast("int").alias("iy"), F.lit(0).alias("it"),
+        (F.col("o_custkey") % 36).cast("int").alias("iy"), ((F.col("o_orderkey") + F.col("o_custkey")) % 49).cast("int").alias("it"),
     )
-    return GRID.locate(idx).select("event_id", "ix", "iy", "lat", "lon")
+    return GRID.locate(idx).select("event_id", "ix", "iy", "it", "lat", "lon", "dttm")
 
 
 def _day_counts(tb):
@@ -65,36 +68,40 @@ def _day_counts(tb):
     return tb.quakes.groupBy(at.alias("it")).agg(F.count(F.lit(1)).alias("n_quakes"))
 
 
+def _counted(tb, nodes):
+    """Every node with its number of quakes; 0 where its time has none."""
+    return nodes.join(_day_counts(tb), "it", "left").withColumn("n_quakes", F.coalesce("n_quakes", F.lit(0)))
+
+
 COUNTS = f"(select cast(floor((epoch_us(event_dttm) - 788918400000000)/({SPAN_US}.0e0/48)) as int) as it, count(*) n_quakes from in_quakes group by 1)"
-STAMP = "make_timestamp(cast(round_even(us, 0) as bigint)) as dttm"
 
 
 @register(
     "grid_all",
-    f"select c.n_quakes, n.ix, n.iy, t.it, n.lat, n.lon, {STAMP} from {NODES} n cross join ({TIMES}) t join {COUNTS} c on c.it = t.it",
+    f"select coalesce(c.n_quakes, 0) as n_quakes, n.ix, n.iy, t.it, n.lat, n.lon, {STAMP} from {NODES} n cross join ({TIMES}) t left join {COUNTS} c on c.it = t.it",
     "quakes",
 )
 def grid_all(tb):
-    return GRID.nodes(tb.spark).join(_day_counts(tb), "it").select("n_quakes", "ix", "iy", "it", "lat", "lon", "dttm")
+    return _counted(tb, GRID.nodes(tb.spark)).select("n_quakes", "ix", "iy", "it", "lat", "lon", "dttm")
 
 
 @register(
     "grid_time_slice",
-    f"select c.n_quakes, n.ix, n.iy, t.it, n.lat, n.lon, {STAMP} from {NODES} n cross join ({TIMES}) t join {COUNTS} c on c.it = t.it where t.it = 20",
+    f"select coalesce(c.n_quakes, 0) as n_quakes, n.ix, n.iy, t.it, n.lat, n.lon, {STAMP} from {NODES} n cross join ({TIMES}) t left join {COUNTS} c on c.it = t.it where t.it = 20",
     "quakes",
 )
 def grid_time_slice(tb):
     cols = ["n_quakes", "ix", "iy", "it", "lat", "lon", "dttm"]
-    return GRID.time_slice(tb.spark, 20).join(_day_counts(tb), "it").select(*cols)
+    return _counted(tb, GRID.time_slice(tb.spark, 20)).select(*cols)
 
 
 @register(
     "grid_point_series",
-    f"select c.n_quakes, t.it, n.lat, n.lon, {STAMP} from {NODES} n cross join ({TIMES}) t join {COUNTS} c on c.it = t.it where n.ix = 4 and n.iy = 7",
+    f"select coalesce(c.n_quakes, 0) as n_quakes, t.it, n.lat, n.lon, {STAMP} from {NODES} n cross join ({TIMES}) t left join {COUNTS} c on c.it = t.it where n.ix = 4 and n.iy = 7",
     "quakes",
 )
 def grid_point_series(tb):
-    return GRID.point_series(tb.spark, 4, 7).join(_day_counts(tb), "it").select("n_quakes", "it", "lat", "lon", "dttm")
+    return _counted(tb, GRID.point_series(tb.spark, 4, 7)).select("n_quakes", "it", "lat", "lon", "dttm")
 
 
 @register(

@@ -45,15 +45,10 @@ def local_session(cores: str | int = "*", app: str = "tremolite", memory: str =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh temporary one only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.sparkContext.setCheckpointDir(folder)
+    """The cluster's checkpoint folder. Executors and driver share it, so none is made up where it is not configured."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return folder
 
 
@@ -70,11 +65,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only after counting: beyond `max_rows` the join is left to Spark's shuffled strategies."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder; survives the loss of executors."""
     sc = df.sparkSession.sparkContext
