@@ -156,3 +156,16 @@ def test_version_snapshots(spark, tmp_path):
     newest = tab.load_model(spark, path, "m")
     assert newest.select("version", "vp").distinct().collect() == [(11, 10.0)]
     assert tab.load_model(spark, path, "m", 3).first().vp == 2.0
+
+
+def test_missing_cells_raise(spark):
+    rows = [(i, j, k, float(i + j + k)) for i in range(3) for j in range(3) for k in range(3)]
+    grid = spark.createDataFrame(rows, "i int, j int, k int, v double")
+    axes = {"x": [0.0, 1.0, 2.0], "y": [0.0, 1.0, 2.0], "z": [0.0, 1.0, 2.0]}
+    points = spark.createDataFrame([(0.5, 0.5, 1.5), (2.0, 2.0, 2.0)], "x double, y double, z double")
+    assert sorted(r.at for r in ce.interpolate_points(points, grid, axes, "v", "at").collect()) == [2.5, 6.0]
+    with pytest.raises(Exception, match="missing near|lacks"):
+        ce.interpolate_points(points, grid.filter("k < 2"), axes, "v", "at").collect()
+    with pytest.raises(Exception, match="missing near"):
+        ce.refine(grid.filter("not (i = 1 and j = 1 and k = 1)"), 2, [], ["v"], "trilinear").collect()
+    assert ce.refine(grid, 2, [], ["v"], "trilinear").count() == 27 * 8

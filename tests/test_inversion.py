@@ -170,8 +170,21 @@ def test_sparse_system(spark):
     want = m.T @ m + 0.1 * np.eye(3)
     assert all(r.a == pytest.approx(want[r.c1, r.c2]) for r in a.collect())
     assert {r.cell: r.b for r in b.collect()} == pytest.approx(dict(enumerate(m.T @ [2.0, -1.0])))
-    with pytest.raises(ValueError):
-        inv.gram(g, ["ray"], "cell", "g", 10**6)
+
+
+def test_tiles_equal_explicit_pairs_beyond_any_tile(spark, monkeypatch):
+    monkeypatch.setattr(inv, "OPEN_TILES", 3)
+    rng = np.random.default_rng(4)
+    rows = [(int(r), int(c), float(v), 1.0 + r % 3) for r in range(12) for c, v in zip(rng.choice(5000, 40, replace=False), rng.normal(size=40))]
+    want = {}
+    for r in range(12):
+        mine = [(c, v, w) for q, c, v, w in rows if q == r]
+        for c1, v1, w in mine:
+            for c2, v2, _ in mine:
+                if c1 <= c2:
+                    want[c1, c2] = want.get((c1, c2), 0.0) + w * v1 * v2
+    got = inv.gram(spark.createDataFrame(rows, "ray int, cell long, g double, w double"), ["ray"], "cell", "g", "w").collect()
+    assert {(r.c1, r.c2): r.a for r in got} == pytest.approx(want)
 
 
 def test_straight_ray_runs_from_quake_depth_to_surface(spark):
@@ -203,3 +216,24 @@ def test_model_recovery_improves(spark):
     after = tg.run(start, observed, stations, s, 2)
     assert after.count() == 32
     assert total(after) < 0.7 * total(start)
+
+
+def test_misfit_needs_every_station_and_a_time(spark):
+    """A cell that one station only knows, and an observation without a time, must not win."""
+    observed = spark.createDataFrame([(1, s, t) for s, t in ((1, 10.0), (2, 11.0), (3, 12.1), (4, None))], "event_id long, station_id long, t_obs double")
+    cells = [(s, 0, 0, 0, t) for s, t in ((1, 1.0), (2, 2.0), (3, 3.0))] + [(1, 4, 4, 4, 46.0), (2, 4, 4, 4, None)]
+    field = spark.createDataFrame(cells, "station_id long, i int, j int, k int, t double")
+    got = lo.pairwise_misfit(observed, field).collect()
+    assert [(r.i, r.misfit) for r in got] == [(0, pytest.approx(0.02))]
+    w = lo.locate_events(observed, field, top_n=3).collect()
+    assert [(r.i, r.weight) for r in w] == [(0, 1.0)]
+
+
+def test_shared_folder_is_never_made_up():
+    from types import SimpleNamespace
+
+    from tremolite.session import shared_folder
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
+    with pytest.raises(RuntimeError):
+        shared_folder(bare)

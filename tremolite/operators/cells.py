@@ -195,9 +195,14 @@ def set_all_cells(cells: DataFrame, values: DataFrame, keys: list[str], names: l
     )
 
 
-def corner_values(cells: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+def corner_values(
+    cells: DataFrame, keys: list[str], values: list[str], shape: tuple[int, int, int] | None = None
+) -> DataFrame:
     """Each cell with its 8 forward corners as <value>_abc, clamped at the far edges.
 
+    The edges are those of `shape`, or the greatest indices per key; inside them a missing cell raises an error. A value
+    that is null in its own cell stays null.
+
     Every cell is sent to the up to eight cells it is a corner of and collected by one grouped aggregate: one
     shuffle, no chain of joins.
     """
@@ -213,9 +218,23 @@ def corner_values(cells: DataFrame, keys: list[str], values: list[str]) -> DataF
     def slot(a, b, c):
         return (F.col("_o._a") == a) & (F.col("_o._b") == b) & (F.col("_o._c") == c)
 
+    here = lambda c: f"_has_{c[0]}{c[1]}{c[2]}"
     grouped = rows.groupBy(*keys, *CELL).agg(
-        *[F.max(F.when(slot(*c), F.col(v))).alias(f"{v}_{c[0]}{c[1]}{c[2]}") for v in values for c in CORNERS]
+        *[F.max(F.when(slot(*c), F.col(v))).alias(f"{v}_{c[0]}{c[1]}{c[2]}") for v in values for c in CORNERS],
+        *[F.max(slot(*c)).alias(here(c)) for c in CORNERS],
     )
+    if shape:
+        grouped = grouped.withColumns({f"_top_{c}": F.lit(n - 1) for c, n in zip(CELL, shape)})
+    else:
+        tops = cells.groupBy(*keys).agg(*[F.max(c).alias(f"_top_{c}") for c in CELL])
+        grouped = grouped.join(tops, keys) if keys else grouped.crossJoin(F.broadcast(tops))  # one row
+    beyond = [F.col(c) >= F.col(f"_top_{c}") for c in CELL]
+    whole = F.lit(True)
+    for c in CORNERS:
+        over = reduce(lambda a, b: a | b, [beyond[x] for x in range(3) if c[x]], F.lit(False))
+        whole = whole & (over | F.coalesce(here(c), F.lit(False)))
+    hole = F.raise_error(F.concat(F.lit("cell missing near "), F.concat_ws(" ", *[F.col(c).cast("string") for c in CELL])))
+    grouped = grouped.withColumn("i", F.when(whole, F.col("i")).otherwise(hole.cast("int")))
     for axis in range(3):  # beyond the far edge the corner repeats the edge value
         fills = {}
         for v in values:
@@ -224,9 +243,9 @@ def corner_values(cells: DataFrame, keys: list[str], values: list[str]) -> DataF
                     near = list(c)
                     near[axis] = 0
                     name = lambda t: f"{v}_{t[0]}{t[1]}{t[2]}"
-                    fills[name(c)] = F.coalesce(name(c), name(near))
+                    fills[name(c)] = F.when(beyond[axis], F.col(name(near))).otherwise(F.col(name(c)))
         grouped = grouped.withColumns(fills)
-    return grouped
+    return grouped.drop(*[here(c) for c in CORNERS], *[f"_top_{c}" for c in CELL])
 
 
 Interpolation = Callable[[Callable[[int, int, int], Column], Column, Column, Column], Column]
@@ -303,10 +322,14 @@ def interpolate_points(
         lo, hi = _axis_at(axes[n], F.col(c)), _axis_at(axes[n], F.col(c) + 1)
         parts[f"_f{c}"] = (F.col(n) - lo) / (hi - lo)
     staged = staged.withColumns(parts)
-    corners = corner_values(cells, [], [value])
+    corners = corner_values(cells, [], [value], tuple(len(axes[n]) for n in names))
     made = trilinear(lambda a, b, c: F.col(f"{value}_{a}{b}{c}"), F.col("_fi"), F.col("_fj"), F.col("_fk"))
     extra = [f"{value}_{a}{b}{c}" for a, b, c in CORNERS]
-    return staged.join(corners, CELL).withColumn(out, made).drop(*CELL, *parts, *extra)
+    # The corner table is as large as the grid, the points many per cell: points without a cell stay, and fail.
+    met = staged.join(corners.withColumn("_met", F.lit(True)), CELL, "left")
+    lost = F.raise_error(F.lit("point in a cell that the grid lacks")).cast("double")
+    made = F.when(F.col("_met"), made).when(F.col(names[0]).isNotNull(), lost)
+    return met.withColumn(out, made).drop("_met").drop(*CELL, *parts, *extra)
 
 
 def gradient(field: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import sys
 
@@ -12,46 +13,57 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
 
-# The largest number of unknowns for which a full matrix is formed; beyond it use `damped_solve`.
-MAX_DENSE = 2048
+# Cells of a tile: a row's vector is cut into tiles, and products are formed tile by tile.
+TILE = 256
+# Tile products a task holds at once, 0.5 MB each.
+OPEN_TILES = 64
 
 
-def _gram_batches(n: int):
-    """Per task: sum of weight * row^T row over its rows, kept as one n x n matrix, emitted as its non-zero upper part."""
+def _tile_products(tile: int):
+    """Sum of weight * left^T right per pair of tiles; sums are given out when too many are open, and added up later."""
+
+    def entries(sums):
+        for (t1, t2), total in sums.items():
+            a, b = np.nonzero(np.triu(total) if t1 == t2 else total)
+            yield pd.DataFrame({"c1": t1 * tile + a, "c2": t2 * tile + b, "a": total[a, b]})
 
     def run(batches):
-        total = np.zeros((n, n))
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                rows = np.zeros((len(part), n))
-                for x, (cells, values) in enumerate(zip(part["at"], part["value"])):
-                    rows[x, np.asarray(cells, dtype=int)] = values
-                total += (rows * part["weight"].to_numpy()[:, None]).T @ rows
-        a, b = np.nonzero(np.triu(total))
-        yield pd.DataFrame({"c1": a, "c2": b, "a": total[a, b]})
+            for (t1, t2), part in batch.groupby(["t1", "t2"]):
+                if (t1, t2) not in sums:
+                    if len(sums) >= OPEN_TILES:
+                        yield from entries(sums)
+                        sums = {}
+                    sums[t1, t2] = np.zeros((tile, tile))
+                total = sums[t1, t2]
+                for at1, v1, at2, v2, w in zip(part["at1"], part["v1"], part["at2"], part["v2"], part["weight"]):
+                    total[np.ix_(at1, at2)] += w * np.outer(v1, v2)
+        yield from entries(sums)
 
     return run
 
 
-def gram(rows: DataFrame, row_keys: list[str], cell: str, value: str, n_cells: int, weight: str | None = None) -> DataFrame:
-    """Upper triangle (c1 <= c2) of sum over rows of weight * g g^T, for numbered cells below n_cells.
+def gram(rows: DataFrame, row_keys: list[str], cell: str, value: str, weight: str | None = None) -> DataFrame:
+    """Upper triangle (c1 <= c2) of sum over rows of weight * g g^T, for numbered cells, however many.
 
-    A row is at most n_cells long; its products are summed inside the tasks, so what is shuffled is one partial
-    matrix per task and not a pair of cells per row.
+    A row's cells are grouped into tiles, the tiles of a row meet by a join on the row, and their products are summed inside the
+    tasks: what is shuffled is a row's tile once per partner tile, and partial sums, not a pair of cells per row.
     """
-    if n_cells > MAX_DENSE:
-        raise ValueError(f"{n_cells} unknowns: solve without forming the matrix")
     w = F.max(weight) if weight else F.lit(1.0)
-    # Entries of the same row and cell add up before a row is put together.
-    packed = (
+    at = F.col(cell) % TILE
+    # Entries of the same row and cell add up before a tile is put together.
+    tiles = (
         rows.groupBy(*row_keys, cell)
         .agg(F.sum(value).alias("_v"), w.cast("double").alias("_w"))
-        .groupBy(*row_keys)
-        .agg(F.collect_list(cell).alias("at"), F.collect_list("_v").alias("value"), F.max("_w").alias("weight"))
-        .select("at", "value", "weight")
+        .groupBy(*row_keys, F.floor(F.col(cell) / TILE).alias("tile"))
+        .agg(F.collect_list(F.struct(at.cast("int").alias("at"), F.col("_v").alias("v"))).alias("_e"), F.max("_w").alias("weight"))
+    )
+    side = lambda n, *more: tiles.select(
+        *row_keys, F.col("tile").alias(f"t{n}"), F.col("_e.at").alias(f"at{n}"), F.col("_e.v").alias(f"v{n}"), *more
     )
-    parts = packed.mapInPandas(_gram_batches(n_cells), "c1 long, c2 long, a double")
+    met = side(1, "weight").join(side(2), row_keys).filter("t1 <= t2").select("t1", "t2", "at1", "v1", "at2", "v2", "weight")
+    parts = met.mapInPandas(_tile_products(TILE), "c1 long, c2 long, a double")
     return parts.groupBy("c1", "c2").agg(F.sum("a").alias("a"))
 
 
@@ -75,7 +87,7 @@ def pair_system(s: DataFrame, r: DataFrame, n_stations: int, n_cells: int, lambd
     rows = s.select(F.col(station).cast("string").alias("row"), "cell", "s", F.lit(float(n_stations)).alias("w")).unionByName(
         total.select(F.lit("sum").alias("row"), "cell", "s", F.lit(-1.0).alias("w"))
     )
-    a = gram(rows, ["row"], "cell", "s", n_cells, "w")
+    a = gram(rows, ["row"], "cell", "s", "w")
     trace = a.filter("c1 = c2").agg(F.sum("a").alias("_tr"))
     raised = F.col("a") + F.when(F.col("c1") == F.col("c2"), lambda_reg * F.col("_tr") / n_cells).otherwise(0.0)
     a = a.join(F.broadcast(trace), F.lit(True)).select("c1", "c2", raised.alias("a"))
@@ -91,7 +103,7 @@ def pair_right_side(s: DataFrame, r: DataFrame, n_stations: int, station: str =
 
 def sparse_system(g: DataFrame, dt: DataFrame, row_keys: list[str], n_cells: int, damping: float):
     """G^T G + damping * I and G^T dt of sparse ray rows (row keys, cell, g)."""
-    a = gram(g, row_keys, "cell", "g", n_cells)
+    a = gram(g, row_keys, "cell", "g")
     eye = g.sparkSession.range(n_cells).select(F.col("id").alias("c1"), F.col("id").alias("c2"), F.lit(damping).alias("a"))
     a = a.unionByName(eye).groupBy("c1", "c2").agg(F.sum("a").alias("a"))
     b = g.join(dt, row_keys).groupBy("cell").agg(F.sum(F.col("g") * F.col("dt")).alias("b"))
@@ -100,12 +112,12 @@ def sparse_system(g: DataFrame, dt: DataFrame, row_keys: list[str], n_cells: int
 
 def damped_solve(
     rows: DataFrame, right: DataFrame, row_keys: list[str], cell: str, value: str, damping: float,
-    pairs_of: int | None = None, tolerance: float = 1e-10, max_rounds: int = 500,
+    pairs_of: int | None = None, tolerance: float = 1e-10, max_rounds: int | None = None,
 ) -> DataFrame:
     """Solve (M + damping I) x = b by conjugate gradients, M x being two joins and sums over the sparse rows.
 
     M is G^T G, or with `pairs_of` = n rows the pair form n G^T G - (1^T G)^T (1^T G). The matrix is never formed; only a
-    few sums per round reach the driver. `right` has (cell, b). Raises if the tolerance is not met. The uniform damping
+    few sums per round reach the driver. `right` has (cell, b). With `max_rounds`, raises if the tolerance is not met by then. The uniform damping
     already groups the eigenvalues; scaling by the diagonal was tried and needed more rounds.
     """
     g = materialise(rows.select(*row_keys, F.col(cell).alias("cell"), F.col(value).alias("g")), "rows")
@@ -113,7 +125,7 @@ def damped_solve(
     state = materialise(known.select("cell", F.lit(0.0).alias("x"), "r", F.col("r").alias("p")), "cg")
     r, p, ap = F.col("r"), F.col("p"), F.col("ap")
     goal = rr = None
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         q = g.join(state.select("cell", "p"), "cell").groupBy(*row_keys).agg(F.sum(F.col("g") * p).alias("q"))
         if pairs_of:
             q = q.join(F.broadcast(q.agg(F.sum("q").alias("_q"))), F.lit(True)).select(

@@ -130,18 +130,21 @@ def dense_fill(counts: DataFrame, labels: DataFrame, value: str) -> DataFrame:
 
 
 def sector_year_counts(
-    quakes: DataFrame, lon: tuple[float, float], lat: tuple[float, float], n: int, years: tuple[int, int]
+    quakes: DataFrame, lon: tuple[float, float], lat: tuple[float, float], n: int, years: tuple[int, int] | None = None
 ) -> DataFrame:
-    """Quakes per sector and year for all n x n sectors and all years, zeros included."""
+    """Quakes per sector and year for all n x n sectors and all years (of the data, if none are given), zeros included."""
     binned = quakes.select(
         sector("lon", *lon, n).alias("sx"), sector("lat", *lat, n).alias("sy"), F.year("event_dttm").alias("year")
-    ).filter(F.col("sx").isNotNull() & F.col("sy").isNotNull() & F.col("year").between(*years))
+    ).filter(F.col("sx").isNotNull() & F.col("sy").isNotNull())
+    if years:
+        binned = binned.filter(F.col("year").between(*years))
+        period = quakes.sparkSession.range(1).select(F.lit(years[0]).alias("lo"), F.lit(years[1]).alias("hi"))
+    else:
+        period = quakes.agg(F.year(F.min("event_dttm")).alias("lo"), F.year(F.max("event_dttm")).alias("hi")).filter("lo is not null")
     counts = binned.groupBy("sx", "sy", "year").agg(F.count(F.lit(1)).alias("cnt"))
-    span, at = years[1] - years[0] + 1, F.col("id")
-    labels = quakes.sparkSession.range(n * n * span).select(
-        F.floor(at / (n * span)).cast("int").alias("sx"),
-        (F.floor(at / span) % n).cast("int").alias("sy"),
-        (at % span + years[0]).cast("int").alias("year"),
+    axis = F.sequence(F.lit(0), F.lit(n - 1))
+    labels = period.select(F.explode(axis).alias("sx"), "lo", "hi").select("sx", F.explode(axis).alias("sy"), "lo", "hi").select(
+        "sx", "sy", F.explode(F.sequence("lo", "hi")).alias("year")
     )
     return dense_fill(counts, labels, "cnt")
 

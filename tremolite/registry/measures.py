@@ -166,13 +166,13 @@ def rms_by_iteration(tb):
 
 SECTOR_SQL = """b as (select cast(floor((lon - 157.0)/(8.0e0/5)) as int) sx, cast(floor((lat - 50.5e0)/(6.0e0/5)) as int) sy, year(event_dttm) y
       from in_quakes where lon >= 157 and lon < 165 and lat >= 50.5 and lat < 56.5),
-    c as (select sx, sy, y, count(*) cnt from b where y between 1995 and 2004 group by 1,2,3),
-    f as (select sx, sy, y as year, coalesce(cnt, 0) cnt from (select a.i sx, b.i sy, t.i y from range(5) a(i) cross join range(5) b(i) cross join range(1995, 2005) t(i)) z
+    c as (select sx, sy, y, count(*) cnt from b group by 1,2,3),
+    f as (select sx, sy, y as year, coalesce(cnt, 0) cnt from (select a.i sx, b.i sy, t.i y from range(5) a(i) cross join range(5) b(i) cross join (select unnest(range(lo, hi + 1)) i from (select min(year(event_dttm)) lo, max(year(event_dttm)) hi from in_quakes)) t) z
       left join c using (sx, sy, y))"""
 
 
 def _sectors(tb):
-    return ms.sector_year_counts(tb.quakes, (157.0, 165.0), (50.5, 56.5), 5, (1995, 2004))
+    return ms.sector_year_counts(tb.quakes, (157.0, 165.0), (50.5, 56.5), 5)
 
 
 @register("dense_fill", f"with {SECTOR_SQL} select sx, sy, year, cnt from f", "quakes")
