@@ -169,3 +169,12 @@ def test_missing_cells_raise(spark):
     with pytest.raises(Exception, match="missing near"):
         ce.refine(grid.filter("not (i = 1 and j = 1 and k = 1)"), 2, [], ["v"], "trilinear").collect()
     assert ce.refine(grid, 2, [], ["v"], "trilinear").count() == 27 * 8
+
+
+def test_event_tables_with_quotes_and_any_column_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('event_id,note,t\n1,"north, far",2.5\n2,"say ""hi""",\n')
+    (tmp_path / "b.csv").write_text("t,event_id\n7.0,3\n")
+    (tmp_path / "c.csv").write_text("x,y\n1,2\n")
+    rows, skipped = tab.scan_event_tables(spark, str(tmp_path), {"event_id": "long", "t": "double", "note": "string"}, ["event_id", "t"])
+    assert sorted((r.event_id, r.t, r.note) for r in rows.collect()) == [(1, 2.5, "north, far"), (2, None, 'say "hi"'), (3, 7.0, None)]
+    assert [r.file.rsplit("/", 1)[1] for r in skipped.collect()] == ["c.csv"]

@@ -294,14 +294,14 @@ def node_regression(m: DataFrame) -> DataFrame:
     cyy = F.when(vary_y, F.col("syy") - F.col("sy") * F.col("sy") / n).otherwise(0.0)
     cxy = F.when(vary_y, F.col("sxy") - F.col("sx") * F.col("sy") / n).otherwise(0.0)
     staged = m.withColumns({"_cxx": cxx, "_cyy": cyy, "_cxy": cxy})
-    slope = F.col("_cxy") / F.col("_cxx")
+    slope = F.col("_cxy") / F.nullif(F.col("_cxx"), F.lit(0.0))
     r = F.when(F.col("_cxx").isNull(), None).when(F.col("_cyy") <= 0, 0.0).otherwise(
         F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_cxy") / F.sqrt(F.nullif(F.col("_cxx") * F.col("_cyy"), F.lit(0.0)))))
     )
     staged = staged.withColumns({"slope": slope, "r_value": r})
     r2 = F.col("r_value") * F.col("r_value")
     dof = F.nullif(n - 2, F.lit(0))
-    stderr = F.when(n == 2, F.col("_cxx") * 0).otherwise(F.sqrt((1 - r2) * F.col("_cyy") / F.col("_cxx") / dof))
+    stderr = F.when(n == 2, F.col("_cxx") * 0).otherwise(F.sqrt((1 - r2) * F.col("_cyy") / F.nullif(F.col("_cxx"), F.lit(0.0)) / dof))
     t = F.col("r_value") * F.sqrt(dof / F.nullif((1 - r2), F.lit(0.0)))
     return staged.withColumns(
         {

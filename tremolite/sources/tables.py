@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.cells import CELL
@@ -68,20 +70,27 @@ def scan_event_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of all CSV files whose header has the required columns, and the list of skipped files.
 
-    Columns are found by each file's own header, so files may differ in column order. Files without commas inside
-    quotes, as written by `write_event_tables`.
+    Files are grouped by their first line and each group is read by Spark's own CSV reader, so files may differ in column order
+    and quoting. Only first lines and file names reach the driver, as for any listing of files.
     """
     lines = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path).select(
-        "value", F.col("_metadata.file_path").alias("file")
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
     )
-    fields = F.split("value", ",")
-    names = lines.select("file", fields.alias("f"))
-    is_header = F.forall(F.array(*[F.lit(c) for c in required]), lambda c: F.array_contains("f", c))
-    headers = names.filter(is_header).groupBy("file").agg(F.min("f").alias("h"))
-    skipped = lines.select("file").distinct().join(headers.select("file"), "file", "left_anti")
-    rows = names.join(headers, "file").filter(F.col("f") != F.col("h"))
-    pick = lambda c, t: F.nullif(F.get("f", (F.array_position("h", c) - 1).cast("int")), F.lit("")).cast(t).alias(c)
-    return rows.select(*[pick(c, t) for c, t in columns.items()], "file"), skipped
+    # The block that begins a file is read in order by one task.
+    heads = lines.filter("at = 0").groupBy("file").agg(F.first("value").alias("head"))
+    groups: dict[str, list[str]] = {}
+    for r in heads.collect():
+        groups.setdefault(r["head"], []).append(r["file"])
+    names = {head: next(csv.reader([head])) for head in groups}
+    known = [head for head in groups if set(required) <= set(names[head])]
+    skipped = [(file,) for head in groups if head not in known for file in groups[head]]
+    out = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in columns.items()) + ", file string")
+    for head in sorted(known):
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names[head]])
+        rows = spark.read.schema(schema).option("header", True).option("escape", '"').csv(groups[head])
+        pick = [(F.col(f"`{c}`") if c in names[head] else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+        out = out.unionByName(rows.select(*pick, F.col("_metadata.file_path").alias("file")))
+    return out, spark.createDataFrame(skipped, "file string")
 
 
 # --- models ------------------------------------------------------------------------------------------------------
@@ -156,18 +165,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def latest_versions(spark: SparkSession, path: str, model: str) -> DataFrame | None:
+    """The highest version of each model. Both are partition columns, so no data file is opened."""
     if not _exists(spark, path):
         return None
-    return spark.read.parquet(path).groupBy(model).agg(F.max("version").alias("_latest"))
+    return spark.read.parquet(path).select(model, "version").distinct().groupBy(model).agg(F.max("version").alias("_latest"))
 
 
 def load_model(spark: SparkSession, path: str, model: str, version: int | str = "latest") -> DataFrame:
-    """Cells of one version, or of each model's latest."""
+    """Cells of one version, or of each model's latest; other versions are pruned."""
     stored = spark.read.parquet(path)
     if version != "latest":
         return stored.filter(F.col("version") == version)
     newest = latest_versions(spark, path, model)
-    return stored.join(newest, model).filter(F.col("version") == F.col("_latest")).drop("_latest")
+    # A join on both partition columns lets Spark prune the partitions of older versions at run time.
+    return stored.join(newest.withColumnRenamed("_latest", "version"), [model, "version"])
 
 
 def latest_file(files: DataFrame, keys: list[str], file: str = "file") -> DataFrame:
