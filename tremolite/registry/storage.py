@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from ..operators import catalogue as cat
+from ..operators import catalogue as cat, location as lo
 from ..plans import experiment as ex, tomography as tg
 from ..session import scratch_path
 from ..sources import runlog as rl, tables as tab
 from . import r, register
 from .catalogue import days
+from .inversion import SUMS_SQL
 
 ID = ["model_id", "i", "j", "k"]
 GEOMETRY = {"lon": 161.0, "lat": 53.5, "height": 100.0, "azimuth": 0.0, "side_size": 500.0}
@@ -163,29 +166,29 @@ def latest_version(tb):
     return tab.latest_file(files.unionByName(other), ["model"])
 
 
-@register("append_run_log")
+@register(
+    "append_run_log",
+    f"""with {SUMS_SQL} select 'run_1' as run_id, 1 as iter, n as n_rows, name as "table" from (
+      select 125 n, 'model' as name union all select count(distinct cell), 'delta_s' from s union all select count(*), 'weights' from bc
+      union all select count(*), 'residuals' from rs union all select count(*), 'ray_sums' from s union all select 1, 'timing') z""",
+    "observed lattice_times",
+)
 def append_run_log(tb):
-    """One logged cycle of the inversion: rows per stored table."""
-    from .inversion import lattice_model
+    """One cycle on the stored fields, logged and read back: rows per stored table."""
     from ..session import materialise
-
-    s = F.col("s_suppkey")
-    stations = tb.table("supplier").select(
-        s.alias("station_id"), ((s * 7) % 50 * 50.0).alias("x"), ((s * 13) % 50 * 50.0).alias("y"), F.lit(0.0).alias("z")
-    )
-    settings = tg.Settings(500.0, 5, 5, 5, lambda_reg=1.0, tolerance=1e-4)
-    model = materialise(lattice_model(tb), "model")
-    log = rl.RunLog(tb.spark, scratch_path(tb.spark, "run"), "run_1", truth=model)
-    log.meta({"cycles": 1, "lambda_reg": 1.0}, {"coarse_cell_size": 500.0})
-    tg.run(model, materialise(tb.observed, "observed"), stations, settings, 1, log)
+    from .inversion import damped_solve, lattice_model, misfit, residuals, sums
+
+    best = materialise(lo.best_cell(misfit(tb)).withColumn("weight", F.lit(1.0)), "weights")
+    s, right = sums(tb)
+    cycle = tg.Step(tb.lattice_times, best, residuals(tb), materialise(s, "sums"), right, damped_solve(tb))
+    log = rl.RunLog(tb.spark, scratch_path(tb.spark, "run"), "run_1")
+    log.meta({"cycles": 1, "lambda_reg": 0.1}, {"coarse_cell_size": 500.0})
+    log.cycle(1, lattice_model(tb), cycle)
     sizes = [
         log.read(t).groupBy("run_id", "iter").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table", F.lit(t))
-        for t in ("model", "delta_s", "weights", "residuals", "ray_sums", "timing", "quality")
+        for t in ("model", "delta_s", "weights", "residuals", "ray_sums", "timing")
     ]
-    out = sizes[0]
-    for s_ in sizes[1:]:
-        out = out.unionByName(s_)
-    return out
+    return reduce(lambda a, b: a.unionByName(b), sizes)
 
 
 @register(
