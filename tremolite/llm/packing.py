@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,12 +29,20 @@ CHUNK, ISLANDS, EPOCHS, GENOMES, CROSSOVERS = 2048, 2, 2, 3, 12
 #: Bins with at least this share filled are final; the pieces of the others are packed anew.
 FILLED = 0.985
 #: Words that a worker keeps with their ids.
-CACHE = 300_000
+CACHE = 500_000
 
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!#$%&*+,./:;=?@^_|~()\[\]{}-]+")
 _PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!#$%&*+,./:;=?@^_|~()\[\]{}-]+")
 
 
+def little(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordIds:
     """Ids of words, as bytes of little-endian unsigned 32-bit numbers.
 
@@ -46,28 +56,29 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # Letters beyond ASCII in the vocabulary's spelling of their bytes.
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {c: spell.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.known: dict[str, bytes] = {"": b""}
 
     def part(self, part: str) -> bytes:
         if (out := self.known.get(part)) is None:
-            mapped = part if part.isascii() else self.bytes.pre_tokenize_str(part)[0][0]
-            out = self.known[part] = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+            tokens = self.model.tokenize(part if part.isascii() else part.translate(self.spelling))
+            out = self.known[part] = little([t.id for t in tokens])
         return out
 
     def learn(self, word: str) -> None:
         if _PLAIN.fullmatch(word):
             self.known[word] = b"".join(map(self.part, _PARTS.findall(word.lower())))
         else:
-            self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            self.known[word] = little(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def of(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         if len(self.known) > CACHE:
             self.known = {"": b""}
-        for w in set(words):
-            if w not in self.known:
-                self.learn(w)
+        for w in set(words).difference(self.known):
+            self.learn(w)
         return b"".join(map(self.known.__getitem__, words))
 
 
