@@ -39,6 +39,20 @@ def op2_qgram_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+ORACLES["op3_ngram_jaccard"] = r"""with recursive w as (
+      select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) ws from documents),
+    s as (select doc_id, list_sort(list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+      else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end)) sh from w),
+    n as (select doc_id, len(sh) as n, md5(array_to_string(sh, '|')) as code from s),
+    x as (select doc_id, unnest(sh) as g from s),
+    p as (select a.doc_id d1, b.doc_id d2, count(*) c from x a join x b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+    l as (select d1, d2, n1.code c1, n2.code c2 from p join n n1 on n1.doc_id = d1 join n n2 on n2.doc_id = d2 where 100*c >= 80*(n1.n + n2.n - c)),
+    r as (select doc_id, doc_id as at from n union select r.doc_id, l.d2 from r join l on l.d1 = r.at),
+    k as (select d1 as doc_id, count(distinct c2) as n_links from l where c1 <> c2 group by 1)
+    select n.doc_id, n.n as n_shingles, min(r.at) as component_id, coalesce(any_value(k.n_links), 0) as n_links
+    from n join r on r.doc_id = n.doc_id left join k on k.doc_id = n.doc_id group by n.doc_id, n.n"""
+
+
 @query
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
