@@ -10,8 +10,6 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
@@ -29,8 +27,6 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 REACH, SHORTEST, EVIDENCE = 48, 3, 3
 #: Shares of the entity's information.
 GENERALISE, REMOVE = 0.7, 0.95
-#: Bits of the filter of terms that are counted over the corpus; a full filter lets all words pass and only costs time.
-FILTER_BITS = 1 << 18
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
@@ -115,34 +111,27 @@ def terms_near(row: DataFrame) -> DataFrame:
     return near.select("doc_id", "text_hash", "entity", "window", "w.term", F.col("w.start").alias("start"), F.col("w.end").alias("end")).where(F.length("term") >= SHORTEST)
 
 
-def term_filter(pair: DataFrame) -> Callable[[Column], Column]:
-    """A test that every term of `pair` passes, and few others while the terms are fewer than the filter's bits."""
-    bit = lambda term: F.pmod(F.xxhash64(term), F.lit(FILTER_BITS))
-    numbers = [0] * (FILTER_BITS // 64)
-    for r in pair.select(bit(F.col("term")).alias("bit")).distinct().collect():
-        numbers[r["bit"] >> 6] |= 1 << (r["bit"] & 63)
-    signed = ",".join(str(n - (1 << 64) if n >> 63 else n) for n in numbers)
-    held = F.split(F.lit(signed), ",").cast("array<bigint>")
-    return lambda term: F.bit_get(F.element_at(held, F.floor(bit(term) / 64).cast("int") + 1), (bit(term) % 64).cast("int")) == 1
-
-
 def disclosures(near: DataFrame, texts: DataFrame) -> DataFrame:
     """(entity, term, share): terms that carry at least GENERALISE of an entity's information.
 
     `near`: (entity, term, window, text_hash) of every entity; `texts`: (text_hash, text) of all documents.
     """
     pair = near.groupBy("entity", "term", "window").agg(F.first("text_hash").alias("text_hash")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    pair = materialise(pair.where(F.col("both") >= EVIDENCE), "pii-pairs")
     entity = near.select("entity", "window").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    # Over the corpus only terms of some pair are counted; partial sums shrink them before the shuffle.
+    n = F.lit(float(max(2, texts.count())))
+
+    def share(with_term: str) -> Column:
+        rows = F.greatest(n, F.col("with_entity"), F.col(with_term))
+        mutual = F.log2(F.col("both") * rows / (F.col("with_entity") * F.col(with_term).cast("double")))
+        return F.least(mutual / F.greatest(F.log2(rows / F.col("with_entity")), F.lit(1e-9)), F.lit(1.0))
+
+    pair = pair.where(F.col("both") >= EVIDENCE).join(entity, "entity").withColumn("code", F.xxhash64("term"))
+    # One count of all words of the corpus, by their hashes: partial sums shrink it before the shuffle.
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
-    seen = texts.select(F.explode(F.filter(words, term_filter(pair))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    known = pair.join(entity, "entity").join(seen, "term")
+    seen = texts.select(F.explode(F.transform(words, lambda w: F.xxhash64(w))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("with_term"))
     # Copies raise a term's count but not the pair's, so a share is a lower estimate.
-    rows = F.greatest(F.lit(float(max(2, texts.count()))), F.col("with_entity"), F.col("with_term"))
-    mutual = F.log2(F.col("both") * rows / (F.col("with_entity") * F.col("with_term").cast("double")))
-    share = mutual / F.greatest(F.log2(rows / F.col("with_entity")), F.lit(1e-9))
-    return known.select("entity", "term", F.least(share, F.lit(1.0)).alias("share")).where(F.col("share") >= GENERALISE)
+    known = pair.join(seen, "code").select("entity", "term", share("with_term").alias("share"))
+    return known.where(F.col("share") >= GENERALISE)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
