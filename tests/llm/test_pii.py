@@ -69,3 +69,18 @@ def test_disclosing_terms_go(spark):
     assert got[200]["clean"] == rows[46][1] and got[None]["clean"] is None and got[201]["clean"] == ""
     assert got[300]["clean"] == "copycat word [EMAIL]"
     assert pii.scan_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_terms_go_at_every_place_of_every_text(spark):
+    rng = random.Random(5)
+    some = lambda n: " ".join(rng.choices("lorem ipsum dolor sit amet elit sed tempor".split(), k=n))
+    rows = [(i, f"Falconer {some(60)} jo@mail.example.com {some(60)} falconer x{i} FALCONER") for i in range(2)]
+    rows += [(10 + i, f"{some(50)} user{i}@mail.example.com {some(9)} once{i}") for i in range(60)]
+    rows += [(80, f"{some(20)} Falconer, {some(30)} (falconer)"), (81, "falconers xfalconer"), (82, "É falconer 𝄞 falconer")]
+    out = pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in out.collect()}
+    for i, t in rows:
+        want = [m.span() for m in re.finditer(r"\bfalconer\b", t, re.I)]
+        assert [(s["start"], s["end"]) for s in got[i]["spans"] if s["kind"] >= 4] == want, got[i]["clean"]
+        assert not re.search(r"\bfalconer\b", got[i]["clean"], re.I) and (i < 10 or got[i]["clean"].endswith(t[-9:]) or want)
+    assert got[10]["clean"].endswith("once0")

@@ -1,9 +1,10 @@
 """Personal data and what reveals it: patterns find protected entities, corpus co-occurrence finds the terms that give them away.
 
 A term t discloses an entity c by their pointwise mutual information, log2(p(c, t) / (p(c) p(t))), measured against the
-entity's information -log2 p(c): at 1 the term never stands without the entity. Probabilities are counts over all texts
-(p(c), p(t)) and over windows of words around the entity (p(c, t)); equal windows count once, so copies are no evidence.
-Terms from `GENERALISE` of the entity's information on are replaced by their class, from `REMOVE` on they are removed.
+entity's information -log2 p(c): at 1 the term never stands without the entity. All probabilities are counts of different
+texts, each word once per text and outside entities, so copies and repeats are no evidence. They are smoothed by leaving out
+one text each: a pair seen in one text only says nothing. Terms from `GENERALISE` of the entity's information on are replaced
+by their class, from `REMOVE` on they are removed, at every place of every text.
 
 DataFrame functions only.
 """
@@ -22,18 +23,17 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD_RUN = r"[0-9 -]{12,}"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
-#: Characters of text on each side of an entity that are searched for terms, the shortest term, and the least number of different
-#: windows that a disclosure must be seen in.
-REACH, SHORTEST, EVIDENCE = 48, 3, 3
+#: Words, and the characters of the shortest term.
+WORD, SHORTEST = r"[\p{L}\p{N}]++", 3
 #: Shares of the entity's information.
 GENERALISE, REMOVE = 0.7, 0.95
 
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """Matches of a pattern as structs (start, end, value), in code points."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
 
@@ -95,68 +95,89 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", named(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def terms_near(row: DataFrame) -> DataFrame:
-    """Whole words within REACH characters of each entity: key columns, entity, side, term and its place."""
-    word = r"[\p{L}\p{N}]++"
-    reach = F.lit(REACH)
-    start = F.greatest(F.col("m.start") - reach, F.lit(0))
-    before = F.substring(F.col("text"), start + 1, F.col("m.start") - start)
-    after = F.substring(F.col("text"), F.col("m.end") + 1, reach)
-    # Words cut off by the reach aren't whole; a word that touches the entity belongs to its token.
-    left = F.transform(F.filter(located(before, word), lambda w: (w["start"] > 0) | (start == 0)), lambda w: F.struct((start + w["start"]).alias("start"), (start + w["end"]).alias("end"), F.lower(w["value"]).alias("term")))
-    cut = F.length("text") - F.col("m.end") > reach
-    right = F.transform(F.filter(located(after, word), lambda w: (w["end"] < reach) | ~cut), lambda w: F.struct((F.col("m.end") + w["start"]).alias("start"), (F.col("m.end") + w["end"]).alias("end"), F.lower(w["value"]).alias("term")))
-    window = F.xxhash64(before, after)
-    near = row.select("doc_id", "text_hash", F.col("m.value").alias("entity"), window.alias("window"), F.explode(F.concat(left, right)).alias("w"))
-    return near.select("doc_id", "text_hash", "entity", "window", "w.term", F.col("w.start").alias("start"), F.col("w.end").alias("end")).where(F.length("term") >= SHORTEST)
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with as many blanks in place of each span: places stay, and the words left are those outside the spans."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
+    def step(state: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], state["at"])
+        piece = F.concat(F.substring(text, state["at"] + 1, start - state["at"]), F.repeat(F.lit(" "), s["end"] - start))
+        done = F.struct(s["end"].alias("at"), F.concat(state["parts"], F.array(piece)).alias("parts"))
+        return F.when(s["end"] <= state["at"], state).otherwise(done)
 
-def disclosures(near: DataFrame, texts: DataFrame) -> DataFrame:
-    """(entity, term, share): terms that carry at least GENERALISE of an entity's information.
+    def finish(state: Column) -> Column:
+        return F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+
+    return F.when(text.isNull() | (F.size(spans) == 0), text).otherwise(F.aggregate(spans, zero, step, finish))
 
-    `near`: (entity, term, window, text_hash) of every entity; `texts`: (text_hash, text) of all documents.
-    """
-    pair = near.groupBy("entity", "term", "window").agg(F.first("text_hash").alias("text_hash")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
-    entity = near.select("entity", "window").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    n = F.lit(float(max(2, texts.count())))
 
-    def share(with_term: str) -> Column:
-        rows = F.greatest(n, F.col("with_entity"), F.col(with_term))
-        mutual = F.log2(F.col("both") * rows / (F.col("with_entity") * F.col(with_term).cast("double")))
-        return F.least(mutual / F.greatest(F.log2(rows / F.col("with_entity")), F.lit(1e-9)), F.lit(1.0))
+def words(text: Column) -> Column:
+    """The different words of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
-    pair = pair.where(F.col("both") >= EVIDENCE).join(entity, "entity").withColumn("code", F.xxhash64("term"))
+
+def terms(text: Column) -> Column:
+    """The different lower-cased words of a text that are long enough to be terms."""
+    return F.filter(F.array_distinct(F.transform(words(text), F.lower)), lambda w: F.length(w) >= SHORTEST)
+
+
+def disclosures(texts: DataFrame) -> DataFrame:
+    """(entity, term, share): terms that carry at least GENERALISE of an entity's information.
+
+    `texts`: (text_hash, rest, entities), one row per different text: the text without its entities, and these.
+    """
+    n = float(max(2, texts.count() - 1))
     # One count of all words of the corpus, by their hashes: partial sums shrink it before the shuffle.
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
-    seen = texts.select(F.explode(F.transform(words, lambda w: F.xxhash64(w))).alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("with_term"))
-    # Copies raise a term's count but not the pair's, so a share is a lower estimate.
-    known = pair.join(seen, "code").select("entity", "term", share("with_term").alias("share"))
-    return known.where(F.col("share") >= GENERALISE)
+    codes = F.transform(terms(F.col("rest")), lambda w: F.xxhash64(w))
+    seen = texts.select(F.explode(codes).alias("code")).groupBy("code").agg((F.count(F.lit(1)) - 1).alias("t")).where("t > 0")
+    holders = texts.where(F.size("entities") > 0)
+    mentions = holders.select("text_hash", F.explode("entities").alias("entity"))
+    others = mentions.groupBy("entity").agg((F.count(F.lit(1)) - 1).alias("e")).where("e > 0")
+    near = holders.select("text_hash", F.explode(terms(F.col("rest"))).alias("term")).withColumn("code", F.xxhash64("term"))
+    # No text but the one at hand, no evidence. As a pair has no more texts than its entity, a term in more than
+    # n^(1 - GENERALISE) e^GENERALISE other texts can't reach the share; this leaves out no pair that could.
+    could = F.col("t") <= F.lit(n ** (1 - GENERALISE) * 1.000001) * F.pow(F.col("e").cast("double"), F.lit(GENERALISE))
+    pair = mentions.join(others, "entity").join(near.join(seen, "code"), "text_hash").where(could)
+    pair = pair.groupBy("entity", "term", "e", "t").agg((F.count(F.lit(1)) - 1).alias("both")).where("both > 0")
+    mutual = F.log2(F.col("both") * F.lit(n) / (F.col("e") * F.col("t").cast("double")))
+    share = F.least(mutual / F.greatest(F.log2(F.lit(n) / F.col("e")), F.lit(1e-9)), F.lit(1.0))
+    return pair.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """`docs` with `base` and `spans` (sorted structs start, kind, end, value) and `clean`, the sanitised text.
 
-    Kinds 0 to 3 are KINDS; 4 is a term to generalise, 5 a term to remove. A null text stays null in `clean` and has no spans;
-    a text without entities is unchanged. Rows are told apart by doc_id and text, so ids may be null or repeated; equal rows
-    get equal results. An empty table gives no rows. Other columns stay, but for clashing names of the three new ones.
+    Kinds 0 to 3 are KINDS; 4 is a term to generalise, 5 a term to remove, wherever it stands, beside an entity or not. A null
+    text stays null in `clean` and has no spans; a text without entities and such terms is unchanged. Rows are told apart by
+    doc_id and text, so ids may be null or repeated; equal rows get equal results. An empty table gives no rows. Other columns
+    stay, but for clashing names of the three new ones.
     """
     key = ["doc_id", "text_hash"]
     docs = docs.drop("base", "spans", "clean", "text_hash", "terms")
     found = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
-    mentions = found.where(F.size("base") > 0).select(*key, "text", F.explode("base").alias("m"))
-    near = materialise(terms_near(mentions), "pii-terms")
-    told = disclosures(near, docs.select("text"))
-    extra = near.join(told, ["entity", "term"]).groupBy(*key, "start", "end", "term").agg(F.max("share").alias("share"))
-    span = F.struct("start", F.when(F.col("share") >= REMOVE, 5).otherwise(4).alias("kind"), "end", F.col("term").alias("value"))
-    extra = extra.groupBy(*key).agg(F.collect_list(span).cast(_SPAN).alias("terms"))
-    same = found["doc_id"].eqNullSafe(extra["doc_id"]) & (found["text_hash"] == extra["text_hash"])
-    whole = found.join(extra, same, "left").select(*(found[c] for c in found.columns), "terms")
-    spans = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(_SPAN))))
-    whole = whole.withColumn("spans", spans).drop("terms", "text_hash")
+    rest = blanked(F.col("text"), F.col("base"))
+    once = found.where(F.col("text").isNotNull()).select("text_hash", rest.alias("rest"), F.array_distinct(F.col("base.value")).alias("entities"))
+    once = once.groupBy("text_hash").agg(F.first("rest").alias("rest"), F.first("entities").alias("entities"))
+    told = disclosures(materialise(once, "pii-texts")).groupBy("term").agg(F.max("share").alias("share"))
+    told = materialise(told.select(F.xxhash64("term").alias("code"), (F.col("share") >= REMOVE).alias("out")), "pii-terms")
+    # Words as they are spelt in a row, so that a pattern of them finds all their places and nothing else.
+    spelt = found.select(*key, F.explode(words(rest)).alias("word")).withColumn("code", F.xxhash64(F.lower("word")))
+    extra = spelt.join(told, "code").groupBy(*key).agg(*(F.collect_set(F.when(F.col("out") == out, F.col("word"))).alias(c) for c, out in (("general", False), ("gone", True))))
+    extra = extra.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "general", "gone")
+    same = found["doc_id"].eqNullSafe(extra["of_id"]) & (found["text_hash"] == extra["of_hash"])
+    whole = found.join(extra, same, "left").select(*(found[c] for c in found.columns), extra["general"], extra["gone"])
+    more = F.concat(placed(rest, F.col("general"), 4), placed(rest, F.col("gone"), 5))
+    whole = whole.withColumn("spans", F.array_sort(F.concat("base", more))).drop("general", "gone", "text_hash")
     return whole.withColumn("clean", rewritten(F.col("text"), F.col("spans")))
 
 
+def placed(text: Column, listed: Column, kind: int) -> Column:
+    """Every place of the listed words in a text, as spans of this kind."""
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(listed, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    span = lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end"), F.lower(m["value"]).alias("value"))
+    return F.when(F.size(listed) > 0, F.transform(located(text, pattern), span)).otherwise(F.array()).cast(_SPAN)
+
+
 def rewritten(text: Column, spans: Column) -> Column:
     """The text with spans replaced; of overlapping spans the first one counts."""
     what = lambda s: F.element_at(F.array(F.lit("[EMAIL]"), F.lit("[IP]"), F.lit("[CARD]"), F.lit("[PHONE]"), F.when(s["value"].rlike("^[0-9]+$"), F.lit("[NUMBER]")).otherwise(F.lit("[TERM]")), F.lit("")), s["kind"] + 1)
