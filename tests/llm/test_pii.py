@@ -84,3 +84,9 @@ def test_terms_go_at_every_place_of_every_text(spark):
         assert [(s["start"], s["end"]) for s in got[i]["spans"] if s["kind"] >= 4] == want, got[i]["clean"]
         assert not re.search(r"\bfalconer\b", got[i]["clean"], re.I) and (i < 10 or got[i]["clean"].endswith(t[-9:]) or want)
     assert got[10]["clean"].endswith("once0")
+
+
+def test_copies_and_repeats_change_no_share(spark):
+    few = [(i, f"{'kestrel ' * 10} a{i} jo@mail.example.com") for i in range(3)] + [(10 + i, f"plain text {i} u{i}@x.example") for i in range(60)]
+    told = lambda rows: {(s["start"], s["kind"]) for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").collect() for s in r["spans"]}
+    assert told(few) == told(few + few[:1] * 1000) and len(told(few)) == 11
