@@ -87,3 +87,20 @@ def test_odd_rows_blocks_and_spans(spark, monkeypatch):
 
 def test_grams_fold_characters_evenly():
     assert (dc.grams("xxabcdefgé")[2] == dc.grams("abcdefgé")[0]) and len(np.unique(dc.grams("abcdefghijk"))) == 4
+
+
+def test_windows_count_wherever_they_begin():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdeé", k=rng.randint(1, 7)))
+    some = lambda n: "".join(rng.choices("vwxyz ", k=n))
+    item = dc.plain(" ".join(word() for _ in range(80)))[:300]
+    index = dc.Index([0], [item])
+    for a in range(len(item) - 99):
+        found = index.matches(f"{some(30)}{item[a : a + 100]}{some(30)}")
+        assert found[0][0] == 0
+    for _ in range(6):
+        a = rng.randint(0, 60)
+        text = some(20) + edited(item[a : a + 100], rng.randint(4, 10), rng) + some(20)
+        want = min(distance(item[b : b + 100], text) for b in range(max(0, a - 12), a + 13))
+        found = index.matches(text)
+        assert (0 in found) == (want <= 8) and (want > 8 or found[0][0] == want)

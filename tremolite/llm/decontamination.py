@@ -1,11 +1,12 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Benchmark items are cut into overlapping windows. A stretch of a document within `e` edits of a window of w characters shares
+Every window of a benchmark item counts, at whatever character it begins. A stretch of a document within `e` edits of a window of w characters shares
 at least w - q + 1 - q e of its q-grams with it, on diagonals (place in text minus place in item) no more than `e` apart. So:
 
 1. places of a text whose q-gram occurs in the benchmark are marked, and stretches with too few marks are left;
 2. the others' hits are counted per item in diagonal bands that overlap by `e`;
-3. a band that meets the bound is verified by banded alignment of the item's windows.
+3. in a band that meets the bound, the windows whose own hits there meet it are verified by banded alignment, those with the
+   most hits first; one whose hits allow no fewer edits than the best one found is left.
 
 The benchmark is the query set: it is taken in blocks of bounded size, and each block makes one pass over the documents.
 """
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import bounded
 
 Q = 8
-#: Characters of a window and the step from one to the next; edits allowed per character.
-WINDOW, STEP, RATE = 100, 40, 0.08
+#: Characters of a window; edits allowed per character.
+WINDOW, RATE = 100, 0.08
 #: Shorter items say nothing about a text that holds them; they are never searched.
 LEAST = 25
 #: Characters of a benchmark block and of a part of a long item.
@@ -119,9 +120,9 @@ class Index:
         which = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return self.item[which], self.at[which], np.repeat(place, n)
 
-    def bands(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """(item, lowest and highest diagonal) of the overlapping bands that meet the item's bound."""
-        item, at, place = self.hits(text)
+    def bands(self, hits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, int]]:
+        """(item, lowest and highest diagonal) of the overlapping bands of hits that meet the item's bound."""
+        item, at, place = hits
         if not len(item):
             return
         step = edits(WINDOW) + 1
@@ -140,17 +141,36 @@ class Index:
     def windows(self, i: int) -> Iterator[tuple[int, str]]:
         text = self.texts[i]
         w = min(WINDOW, len(text))
-        for a in sorted({*range(0, len(text) - w + 1, STEP), len(text) - w}):
+        for a in range(len(text) - w + 1):
             yield a, text[a : a + w]
 
+    def likely(self, i: int, at: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(least edits, start) of the item's windows that may match, given the places in it of a band's hits; fewest edits first."""
+        n = len(self.texts[i])
+        w = min(WINDOW, n)
+        seen = np.zeros(n - Q + 2, dtype=np.int64)
+        seen[at + 1] = 1
+        total = np.cumsum(seen)
+        lost = w - Q + 1 - (total[w - Q + 1 :] - total[: n - w + 1])
+        least = -(-lost // Q)  # an edit spoils Q q-grams at most
+        start = np.flatnonzero(least <= edits(w))
+        order = np.argsort(least[start], kind="stable")
+        yield from zip(least[start][order].tolist(), start[order].tolist(), strict=True)
+
     def matches(self, text: str) -> dict[int, tuple[int, int, int]]:
         """For each item found in a plain text its closest window there: (edits, start, end)."""
         best: dict[int, tuple[int, int, int]] = {}
-        for i, low, high in sorted(self.bands(text)):
-            for a, window in self.windows(i):
-                if best.get(i, (1,))[0] == 0:
+        item, at, place = self.hits(text)
+        order = np.argsort(item, kind="stable")
+        item, at, place = item[order], at[order], place[order]
+        for i, low, high in sorted(self.bands((item, at, place))):
+            x, y = np.searchsorted(item, [i, i + 1])
+            diagonal = place[x:y] - at[x:y]
+            w = min(WINDOW, len(self.texts[i]))
+            for least, a in self.likely(i, at[x:y][(diagonal >= low) & (diagonal <= high)]):
+                if i in best and best[i][0] <= least:
                     break
-                found = align(window, text, a + low, a + high, edits(len(window)))
+                found = align(self.texts[i][a : a + w], text, a + low, a + high, edits(w))
                 if found and (i not in best or found < best[i]):
                     best[i] = found
         return best
