@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import tune
+from .codes import compress_vectors
 from .common import read
 from .decontamination import find_contamination
 from .jaccard import jaccard_join
 from .langid import identify
+from .mixing import mix_documents
 from .packing import pack_documents
 from .pii import scan_pii
 from .quality_rules import quality_rules
@@ -91,3 +93,55 @@ def op9_grouping_genetic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
+
+
+def _code_rounds(rounds: int = 4) -> str:
+    """The rounds of op12 in SQL: whole components stay exact in doubles."""
+    near = """a{n} as materialized (select vec_id, label, part, x, min({{'d': xx - 2 * list_inner_product(x, c) + cc, 'e': e}}) as m
+      from p join b{n} using (part) group by all)"""
+    step = """b{m} as materialized (with u as (select part, m.e as e, unnest(x) as v, unnest(range(1, len(x) + 1)) as i from a{n}),
+        f as (select part, e, i, floor(sum(v) / count(*)) as v from u group by all), g as (select part, e, list(v order by i) as c from f group by all)
+      select part, e, coalesce(g.c, b.c) as c, list_inner_product(coalesce(g.c, b.c), coalesce(g.c, b.c)) as cc from b{n} b left join g using (part, e))"""
+    parts = [near.format(n=0)]
+    for n in range(rounds):
+        parts += [step.format(n=n, m=n + 1), near.format(n=n + 1)]
+    return ", ".join(parts)
+
+
+ORACLES["op12_slice_codes"] = f"""with k as (
+      select vec_id, label, list_transform(embedding, lambda v: floor(v::double * 1024)) as v from embeddings
+      where embedding is not null and not list_contains(list_transform(embedding, lambda v: coalesce(isfinite(v), false)), false)),
+    p as materialized (select vec_id, label, part, x, list_inner_product(x, x) as xx from (
+      select vec_id, label, part, v[part * len(v) // 4 + 1:(part + 1) * len(v) // 4] as x from k, range(4) as r(part))),
+    b0 as materialized (select part, e, x as c, xx as cc from (select *, row_number() over (partition by part order by vec_id) - 1 as e from p) where e < 256),
+    {_code_rounds()},
+    f as (select vec_id, label, string_agg(printf('%02x', m.e), '' order by part) as code, sum(m.d)::bigint as error from a4 group by all),
+    h as (select sha256(string_agg(array_to_string(list_transform(c, lambda v: v::bigint::varchar), ','), ',' order by part, e)) as codebooks_sha256 from b4)
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from f, h"""
+
+@query
+def op12_slice_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(read(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op13_source_mix"] = r"""with recursive d as (
+      select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+        ('0x' || substr(md5('mix:' || coalesce(cast(doc_id as varchar), 'text:' || coalesce(text, ''))), 1, 13))::bigint / 4503599627370496.0::double as toss from documents),
+    s as (select source, sum(size)::bigint as size, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w from d group by source),
+    k as (select sum(size)::bigint as whole from s),
+    g as (select 0 as i, (whole::double / (select sum(w) from s)) as rate, 0 as stopped from k
+      union all select i + 1, (whole - held)::double / wide, n from (
+        select g.i, k.whole, g.stopped, coalesce(sum(3 * s.size) filter (g.rate * s.w > 3 * s.size), 0) as held,
+          sum(s.w) filter (g.rate * s.w <= 3 * s.size) as wide, count(*) filter (g.rate * s.w > 3 * s.size) as n
+        from g, k, s group by all) where n > stopped and wide > 0),
+    f as (select rate from g order by i desc limit 1),
+    t as (select source, size as source_size, least(f.rate * w, 3 * size)::double as target from s, f),
+    r as (select *, case when source_size > 0 then least(target / source_size, 3.0::double) else 0.0::double end as rate from t),
+    c as (select d.doc_id, d.size, r.source_size, r.target, d.source, (floor(r.rate) + (d.toss < r.rate - floor(r.rate))::int)::int as copies
+      from d join r on d.source is not distinct from r.source)
+    select doc_id, size::bigint as size, source_size, target, size * copies as taken, source, copies from c"""
+
+
+@query
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(read(spark, sf_dir, "documents"))
