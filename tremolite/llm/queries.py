@@ -20,6 +20,7 @@ from .quality_rules import quality_rules
 from .secrets import scan_secrets
 from .sharding import shard_documents
 from .toxicity import score_toxicity
+from .trie import conversation_trie
 from .weak_labels import classify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +96,33 @@ def op10_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(read(spark, sf_dir, "documents"))
 
 
+ORACLES["op11_band_trie"] = r"""with t as (
+      select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos, coalesce(role, '') as r, coalesce(text, '') as x
+      from conversations where conv_id is not null),
+    k as materialized (select c, c - c % 20 as b, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda v: ord(v)::bigint)),
+        lambda a, v: list_reduce(list_prepend(xor(a, v), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 4 as h
+      from (select distinct c from t)),
+    f as (select k.c, 0 as own, t.pos, t.r, t.x from k join t on t.c = k.b and t.pos <= k.h union all select k.c, 1, t.pos, t.r, t.x from k join t on t.c = k.c and t.pos > k.h),
+    g as (select c, row_number() over (partition by c order by own, pos) as d, md5(r || chr(1) || x) as code, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as w from f),
+    s as materialized (select k.c, coalesce(list(g.code order by g.d) filter (g.d is not null), []) as path, coalesce(list(g.w order by g.d) filter (g.d is not null), []) as ws
+      from k left join g on g.c = k.c group by k.c),
+    m as materialized (select c, depth, md5(array_to_string(path[1:depth], '|')) as id, case when depth > 0 then md5(array_to_string(path[1:depth - 1], '|')) end as up,
+      case when depth > 0 then ws[depth] else 0 end as w, depth = len(path) as ends from (select *, unnest(range(0, len(path) + 1)) as depth from s)),
+    n as materialized (select id, depth, any_value(up) as up, min(c) as conv_id, count(*) as n_convs, max(w) as w,
+      sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends_sha256 from m group by id, depth),
+    j as materialized (select up as id, depth - 1 as depth, count(*) as n_children from n where depth > 0 group by all),
+    v as materialized (select n.*, coalesce(n_children, 0) as n_children from n left join j using (id, depth)),
+    u as (select a.id, a.depth, sum((v.n_children = 0)::int) as n_leaves, sum((v.n_convs - 1) * v.w) as saved_tokens
+      from v join m on m.c = v.conv_id and m.depth <= v.depth join v a on a.id = m.id and a.depth = m.depth group by all)
+    select v.conv_id, v.depth::bigint as depth, p.conv_id as parent_conv_id, v.n_convs, v.n_children, u.n_leaves::bigint as n_leaves, u.saved_tokens::bigint as saved_tokens, v.ends_sha256
+    from v join u using (id, depth) left join v p on p.id = v.up and p.depth = v.depth - 1"""
+
+
+@query
+def op11_band_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 def _code_rounds(rounds: int = 4) -> str:
     """The rounds of op12 in SQL: whole components stay exact in doubles."""
     near = """a{n} as materialized (select vec_id, label, part, x, min({{'d': xx - 2 * list_inner_product(x, c) + cc, 'e': e}}) as m
