@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import materialise
+from . import pyramid
 from .cells import CELL
-from .ranking import exact_quantiles
+from .selection import quantile
 
 
 def pairwise_misfit(observed: DataFrame, field: DataFrame, station: str = "station_id", event: str = "event_id") -> DataFrame:
@@ -33,26 +35,44 @@ def best_cell(misfit: DataFrame, event: str = "event_id") -> DataFrame:
     return misfit.groupBy(event).agg(best.alias("_b")).select(event, "_b.*")
 
 
+def best_cells(observed: DataFrame, field: DataFrame, n: int = 1, decimals: int | None = None, edge: int = pyramid.EDGE) -> DataFrame:
+    """The n cells of least misfit per quake (ties by cell): event_id, i, j, k, misfit.
+
+    A lattice of up to two blocks of `edge` cells along each axis is searched whole; a larger one through the pyramid of
+    times. Both give the same rows. With `decimals`, misfits that agree to so many places are ties.
+    """
+    if n < 1:
+        raise ValueError("n must be positive")
+    spans = [F.max(c) - F.min(c) for c in CELL]
+    if (field.agg(F.greatest(*spans)).first()[0] or 0) >= 2 * edge:
+        return pyramid.best_cells(observed, field, n, decimals=decimals, edge=edge)
+    misfit = F.col("misfit") if decimals is None else F.round("misfit", decimals)
+    return pyramid.least(pairwise_misfit(observed, field).withColumn("misfit", misfit), n)
+
+
 def softmin_weights(
     misfit: DataFrame, temperature: float = 1.0, threshold: float | None = None, event: str = "event_id"
 ) -> DataFrame:
     """Weights exp(-(m - min)/(T * scale)) summing to 1 per quake; scale is the median positive excess.
 
-    With a threshold only cells up to it take part; a quake with none gets all its weight at its best cell. Everything
-    per quake is an aggregate joined back, the median included, so a quake's lattice is never held by one task.
+    With a threshold only cells up to it take part; a quake with none gets all its weight at its best cell. The misfits are
+    stored once. Everything per quake is an aggregate joined back; the median comes from bisected counts, so neither
+    all misfits nor a large lattice of one quake are ever sorted.
     """
     if temperature <= 0 or (threshold is not None and threshold < 0):
         raise ValueError("temperature must be positive and the threshold not negative")
     m = F.col("misfit")
     inside = F.lit(True) if threshold is None else F.abs(m) <= threshold
+    misfit = materialise(misfit.select(event, *CELL, "misfit"), "misfit")
     ends = misfit.groupBy(event).agg(
         F.min(F.when(inside, m)).alias("_min"), F.min(F.struct(m, *CELL)).alias("_best")
     )
+    ends = materialise(ends, "ends")
     shifted = misfit.join(ends, event).withColumn("_d", F.when(inside, m - F.col("_min")))
-    medians = exact_quantiles(shifted.filter("_d > 0").select(event, "_d"), [event], "_d", {"_median": 0.5})
+    medians = quantile(shifted.filter("_d > 0").select(event, "_d"), [event], "_d", 0.5, "_median")
     scale = F.greatest(F.coalesce("_median", F.lit(1.0)), F.lit(1e-12))
     raw = F.coalesce(F.exp(-F.col("_d") / (temperature * scale)), F.lit(0.0))
-    scaled = shifted.join(medians.select(event, "_median"), event, "left").withColumn("_raw", raw)
+    scaled = misfit.join(ends.join(medians, event, "left"), event).withColumn("_d", F.when(inside, m - F.col("_min"))).withColumn("_raw", raw)
     totals = scaled.groupBy(event).agg(F.sum("_raw").alias("_sum"))
     weight = F.col("_raw") / F.nullif(F.col("_sum"), F.lit(0.0))
     if threshold is not None:
@@ -61,11 +81,15 @@ def softmin_weights(
     return scaled.join(totals, event).select(event, *CELL, "misfit", weight.alias("weight"))
 
 
-def top_weights(weights: DataFrame, n: int, normalise: bool = False, event: str = "event_id") -> DataFrame:
-    """The n largest weights per quake (ties by cell); all others count as zero and are left out."""
+def top_weights(weights: DataFrame, n: int, normalise: bool = False, event: str = "event_id", decimals: int | None = None) -> DataFrame:
+    """The n largest weights per quake (ties by cell); all others count as zero and are left out.
+
+    With `decimals`, weights that agree to so many places are a tie. Spark cuts each task's rows to n per quake before the shuffle.
+    """
     if n < 0:
         raise ValueError("n must not be negative")
-    order = W.partitionBy(event).orderBy(F.desc("weight"), *CELL)
+    by = F.col("weight") if decimals is None else F.round("weight", decimals)
+    order = W.partitionBy(event).orderBy(by.desc(), *CELL)
     kept = weights.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n).drop("_rn")
     if normalise:
         total = F.sum("weight").over(W.partitionBy(event))
@@ -73,12 +97,21 @@ def top_weights(weights: DataFrame, n: int, normalise: bool = False, event: str
     return kept
 
 
-def locate_events(observed: DataFrame, field: DataFrame, temperature: float = 1.0, top_n: int = 1) -> DataFrame:
-    """Weighted candidate cells per quake; the heaviest cell alone, with weight 0, if top_n is 0."""
-    weights = softmin_weights(pairwise_misfit(observed, field), temperature)
-    if top_n == 0:
-        return top_weights(weights, 1).withColumn("weight", F.lit(0.0))
-    return top_weights(weights, top_n, normalise=True)
+def locate_events(
+    observed: DataFrame, field: DataFrame, temperature: float = 1.0, top_n: int = 1, decimals: int | None = None
+) -> DataFrame:
+    """Weighted candidate cells per quake: event_id, i, j, k, misfit, weight; the best cell alone, with weight 0, if top_n is 0.
+
+    One cell is found through the pyramid of times, without the misfits of all cells; more cells need the scale of all of them.
+    With `decimals`, misfits and weights that agree to so many places are ties.
+    """
+    if top_n <= 1:
+        weight = F.lit(float(top_n == 1))
+        return best_cells(observed, field, decimals=decimals).select("event_id", *CELL, "misfit", weight.alias("weight"))
+    misfit = pairwise_misfit(observed, field)
+    if decimals is not None:
+        misfit = misfit.withColumn("misfit", F.round("misfit", decimals))
+    return top_weights(softmin_weights(misfit, temperature), top_n, normalise=True, decimals=decimals)
 
 
 def residuals_at(cells: DataFrame, observed: DataFrame, field: DataFrame) -> DataFrame:

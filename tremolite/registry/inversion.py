@@ -13,7 +13,7 @@ from . import sqltext as q
 from .sqltext import steady as st
 
 MISFIT_SQL = """b as (select event_id, avg(t_obs) base, count(t_obs) n from in_observed group by 1 having count(t_obs) > 1),
-    ms as (select event_id, i, j, k, round(greatest(count(*)*sum(x*x) - sum(x)*sum(x), 0), 9) misfit from
+    ms as (select event_id, i, j, k, greatest(count(*)*sum(x*x) - sum(x)*sum(x), 0) raw, round(raw, 9) misfit from
       (select o.event_id, f.i, f.j, f.k, o.t_obs - b.base - f.t as x, b.n from in_observed o join b using (event_id) join in_lattice_times f on f.station_id = o.station_id where o.t_obs is not null) z group by 1,2,3,4 having count(x) = max(n))"""
 OBS = "observed lattice_times"
 
@@ -23,28 +23,37 @@ def misfit(tb):
     return lo.pairwise_misfit(tb.observed, tb.lattice_times).withColumn("misfit", F.round("misfit", 9))
 
 
+# Every cell's value, to the given decimals, enters a whole number that a change of any one of them changes.
+MARK = "sum((cast(round({v}*1e{d}) as bigint)*7919 + (i*25+j*5+k)*104729) % 1000003)"
+
+
+def marked(v, digits):
+    return F.expr(MARK.format(v=v, d=digits)).cast("long").alias("mark")
+
+
 @register(
     "pairwise_misfit",
-    f"with {MISFIT_SQL} select event_id, count(*) n_cells, {st('min(misfit)', 5)} lo, {st('max(misfit)', 5)} hi, {st('sum(misfit)', 5)} total, {st('sum(misfit*(i*25+j*5+k))', 4)} moment from ms group by 1",
+    f"with {MISFIT_SQL} select event_id, count(*) n_cells, round(min(raw), 6) lo, round(max(raw), 6) hi, {MARK.format(v='raw', d=6)}::bigint mark from ms group by 1",
     OBS,
 )
 def pairwise_misfit(tb):
-    """Every quake's misfit over all cells, summed up per quake for comparison."""
-    number = F.col("i") * 25 + F.col("j") * 5 + F.col("k")
-    out = misfit(tb).groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("n_cells"), F.min("misfit").alias("lo"), F.max("misfit").alias("hi"),
-        F.sum("misfit").alias("total"), F.sum(F.col("misfit") * number).alias("moment"),
-    )
-    return out.select("event_id", "n_cells", steady("lo", 5), steady("hi", 5), steady("total", 5), steady("moment", 4))
+    """Every quake's misfit in every cell: least, greatest, and a mark of all of them."""
+    out = lo.pairwise_misfit(tb.observed, tb.lattice_times).groupBy("event_id")
+    return out.agg(F.count(F.lit(1)).alias("n_cells"), r(F.min("misfit"), 6, "lo"), r(F.max("misfit"), 6, "hi"), marked("misfit", 6))
 
 
-@register(
-    "best_cell",
-    f"with {MISFIT_SQL} select event_id, i, j, k, misfit from (select *, row_number() over (partition by event_id order by misfit, i, j, k) rn from ms) z where rn = 1",
-    OBS,
-)
+BEST_SQL = f"with {MISFIT_SQL} select event_id, i, j, k, misfit from (select *, row_number() over (partition by event_id order by misfit, i, j, k) rn from ms) z where rn <= "
+
+
+@register("best_cell", BEST_SQL + "1", OBS)
 def best_cell(tb):
-    return lo.best_cell(misfit(tb)).select("event_id", "i", "j", "k", "misfit")
+    return lo.best_cells(tb.observed, tb.lattice_times, decimals=9).select("event_id", "i", "j", "k", "misfit")
+
+
+@register("best_cells", BEST_SQL + "4", OBS)
+def best_cells(tb):
+    """Through the pyramid of times: only blocks that can hold one of the four best cells are opened."""
+    return lo.best_cells(tb.observed, tb.lattice_times, 4, decimals=9, edge=2).select("event_id", "i", "j", "k", "misfit")
 
 
 WEIGHT_SQL = (
@@ -62,15 +71,13 @@ def weights(tb):
 
 @register(
     "softmin_weights",
-    f"with {WEIGHT_SQL} select event_id, round(max(weight),6) top, round(sum(weight),6) total, round(sum(weight*(i*25+j*5+k)),4) centre from w group by 1",
+    f"with {WEIGHT_SQL} select event_id, count(*) n_cells, round(max(weight), 6) top, round(sum(weight), 6) total, {MARK.format(v='weight', d=6)}::bigint mark from w group by 1",
     OBS,
 )
 def softmin_weights(tb):
-    number = F.col("i") * 25 + F.col("j") * 5 + F.col("k")
-    out = weights(tb).groupBy("event_id").agg(
-        F.max("weight").alias("top"), F.sum("weight").alias("total"), F.sum(F.col("weight") * number).alias("centre")
-    )
-    return out.select("event_id", r("top"), r("total"), r("centre", 4))
+    """Weights of all cells of every quake: the greatest, the sum, and a mark of all of them."""
+    out = weights(tb).groupBy("event_id")
+    return out.agg(F.count(F.lit(1)).alias("n_cells"), r(F.max("weight"), 6, "top"), r(F.sum("weight"), 6, "total"), marked("weight", 6))
 
 
 @register(
@@ -94,21 +101,13 @@ TOP_SQL = f"with {WEIGHT_SQL} select event_id, i, j, k, round(weight/sum(weight)
 
 @register("top_n_weights", TOP_SQL, OBS)
 def top_n_weights(tb):
-    rounded = weights(tb).withColumn("_full", F.col("weight")).withColumn("weight", F.round("weight", 9))
-    kept = lo.top_weights(rounded, 3).drop("weight").withColumnRenamed("_full", "weight")
-    return lo.top_weights(kept, 3, normalise=True).select("event_id", "i", "j", "k", r("weight"))
+    return lo.top_weights(weights(tb), 3, normalise=True, decimals=9).select("event_id", "i", "j", "k", r("weight"))
 
 
-@register(
-    "locate_events",
-    f"with {MISFIT_SQL} select event_id, i, j, k, 1.0e0 as weight from (select *, row_number() over (partition by event_id order by misfit, i, j, k) rn from ms) z where rn = 1",
-    OBS,
-)
+@register("locate_events", TOP_SQL.replace("0.05", "0.5"), OBS)
 def locate_events(tb):
-    """Composition of misfit, weights and selection, one cell per quake."""
-    field, observed = tb.lattice_times, tb.observed
-    w = lo.softmin_weights(lo.pairwise_misfit(observed, field).withColumn("misfit", F.round("misfit", 9)), 1.0)
-    return lo.top_weights(w, 1, normalise=True).select("event_id", "i", "j", "k", "weight")
+    """Misfit, weights and selection in one operator: three weighted cells per quake."""
+    return lo.locate_events(tb.observed, tb.lattice_times, 0.5, 3, decimals=9).select("event_id", "i", "j", "k", r("weight"))
 
 
 RESIDUAL_SQL = (
@@ -120,7 +119,7 @@ RESIDUAL_SQL = (
 
 
 def residuals(tb):
-    return lo.residuals_at(lo.best_cell(misfit(tb)).drop("misfit"), tb.observed, tb.lattice_times)
+    return lo.residuals_at(lo.best_cells(tb.observed, tb.lattice_times, decimals=9).drop("misfit"), tb.observed, tb.lattice_times)
 
 
 @register(
@@ -176,23 +175,23 @@ def lengths(tb):
 
 @register(
     "ray_cell_lengths",
-    f"with {LENGTH_SQL} select station_id, ray, i, j, k, round(length, 6) length from ln where length > 1e-7",
+    f"with {LENGTH_SQL} select station_id, ray, i, j, k, round(length, 6) length from ln",
     OBS,
 )
 def ray_cell_lengths(tb):
-    return lengths(tb)[1].filter("length > 1e-7").select("station_id", "ray", "i", "j", "k", r("length"))
+    return lengths(tb)[1].select("station_id", "ray", "i", "j", "k", r("length"))
 
 
 @register(
     "ray_count",
-    f"with {LENGTH_SQL} select i, j, k, count(*) rays from sg join ln on ln.station_id = sg.station_id and ln.ray = cast(a0*25+a1*5+a2 as bigint) where length > 1e-7 group by 1,2,3",
+    f"with {LENGTH_SQL} select i, j, k, count(*) rays from sg join ln on ln.station_id = sg.station_id and ln.ray = cast(a0*25+a1*5+a2 as bigint) group by 1,2,3",
     OBS,
 )
 def ray_count(tb):
     """Rays per cell over all quakes: distinct rays counted as often as quakes use them."""
     rows, per_cell = lengths(tb)
     uses = rows.groupBy("station_id", "ray").agg(F.count(F.lit(1)).alias("n"))
-    hit = per_cell.filter("length > 1e-7").join(uses, ["station_id", "ray"])
+    hit = per_cell.join(uses, ["station_id", "ray"])
     return hit.groupBy("i", "j", "k").agg(F.sum("n").alias("rays"))
 
 
@@ -215,12 +214,12 @@ def sums(tb):
 
 @register(
     "station_sums",
-    f"with {SUMS_SQL} select s.station_id, s.cell, round(s.s, 5) s, {st('rr.r', 5)} r from s join rr using (station_id) where s.s > 1e-6",
+    f"with {SUMS_SQL} select s.station_id, s.cell, round(s.s, 5) s, {st('rr.r', 5)} r from s join rr using (station_id)",
     OBS,
 )
 def station_sums(tb):
     s, right = sums(tb)
-    return s.join(right, "station_id").filter("s > 1e-6").select("station_id", "cell", r("s", 5), steady("r", 5))
+    return s.join(right, "station_id").select("station_id", "cell", r("s", 5), steady("r", 5))
 
 
 @register(
@@ -231,7 +230,7 @@ def station_sums(tb):
     aa as (select x.cell c1, y.cell c2, (select n from n)*sum(x.s*y.s) a from full_s x join full_s y on y.station_id = x.station_id and x.cell <= y.cell group by 1,2),
     ab as (select c1, c2, a - p.t*q.t a from aa join tot p on p.cell = c1 join tot q on q.cell = c2),
     tr as (select sum(a) tr from ab where c1 = c2)
-    select c1, c2, {st('(a + case when c1 = c2 then 0.01*tr/125 else 0 end)/1e6', 4)} a from ab cross join tr where abs(a) > 1""",
+    select c1, c2, {st('(a + case when c1 = c2 then 0.01*tr/125 else 0 end)/1e6', 4)} a from ab cross join tr""",
     OBS,
 )
 def normal_equations(tb):
@@ -240,7 +239,7 @@ def normal_equations(tb):
     n = right.count()
     a, _ = inv.pair_system(s, right, n, 125, 0.01)
     base = F.col("a")
-    return a.filter(F.abs(base) > 1).select("c1", "c2", steady(base / 1e6, 4, "a"))
+    return a.select("c1", "c2", steady(base / 1e6, 4, "a"))
 
 
 @register("damped_solve")
