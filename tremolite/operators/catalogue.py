@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geodesy import mercator_box, mercator_distance
 from ..functions.scalars import BOX_TYPES, PAIRED_TYPES, json_number, travel_seconds, wave_subtype
-from .predicates import DEFAULT_BOX, Box, in_days, inside_edges, positive_travel, ring_edges, since_year
+from ..session import materialise
+from .cover import points_in_cover, quadtree_cover, region_points
+from .predicates import DEFAULT_BOX, Box, in_days, positive_travel, since_year
 
 STATION_KEY = ["station_nm", "network_nm"]
 
@@ -47,6 +49,11 @@ def arrivals_in_box(
     )
 
 
+def no_earlier(arrival: str, first: str) -> Column:
+    """Picks from the first day on; with travel times above zero and quakes from that day on, no others count. Reaches the scan."""
+    return F.col(arrival) >= F.lit(first).cast("timestamp_ntz")
+
+
 def lookup_quakes(quakes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Depth and position of the listed quakes."""
     return quakes.join(wanted.select("event_id").distinct(), "event_id").select("event_id", "depth", "lon", "lat")
@@ -175,36 +182,6 @@ def travel_times_of(travel_times: DataFrame, experiment_nm: str) -> DataFrame:
     return travel_times.filter(F.col("experiment_nm") == experiment_nm)
 
 
-def region_points(points: DataFrame, regions: DataFrame, lon: str, lat: str, cell: float = 0.5) -> DataFrame:
-    """Points joined to every region strictly containing them.
-
-    The region's bounding box is cut into lon/lat cells, so the join has an equality key; the exact polygon test is
-    a filter on the matches.
-    """
-    cells = (
-        ring_edges(regions)
-        .select(
-            "region_nm",
-            "edges",
-            F.explode(F.sequence(F.floor(F.col("lon_min") / cell), F.floor(F.col("lon_max") / cell))).alias("_cx"),
-            "lat_min",
-            "lat_max",
-        )
-        .select(
-            "region_nm",
-            "edges",
-            "_cx",
-            F.explode(F.sequence(F.floor(F.col("lat_min") / cell), F.floor(F.col("lat_max") / cell))).alias("_cy"),
-        )
-    )
-    keyed = points.dropna(subset=[lon, lat]).withColumns(
-        {"_cx": F.floor(F.col(lon) / cell), "_cy": F.floor(F.col(lat) / cell)}
-    )
-    return (
-        keyed.join(cells, ["_cx", "_cy"]).filter(inside_edges(lon, lat, "edges")).drop("_cx", "_cy", "edges")
-    )
-
-
 def region_borders(regions: DataFrame) -> DataFrame:
     """Bounding box per region."""
     corner = regions.select("region_nm", F.explode("ring").alias("p"))
@@ -255,9 +232,10 @@ def travel_times_by_region(
     q = located_quakes(quakes.filter(in_days("event_dttm", first, last))).select(
         "event_id", "e_lon", "e_lat", "event_dttm"
     )
-    q = region_points(q, regions, "e_lon", "e_lat")
-    s = region_points(located_stations(stations), regions, "s_lon", "s_lat")
-    a = arrivals.filter(F.col("arrival_type").isin(*PAIRED_TYPES) & F.col("arrival_dttm").isNotNull())
+    cover = materialise(quadtree_cover(regions), "cover")
+    q = points_in_cover(q, cover, "e_lon", "e_lat")
+    s = points_in_cover(located_stations(stations), cover, "s_lon", "s_lat")
+    a = arrivals.filter(F.col("arrival_type").isin(*PAIRED_TYPES) & no_earlier("arrival_dttm", first))
     picks = a.join(q, "event_id").filter(positive_travel("event_dttm", "arrival_dttm"))
     picks = picks.join(s, [*STATION_KEY, "region_nm"])
     pairs = phase_pivot(
@@ -272,7 +250,8 @@ def travel_times_in_box(
     """P and S travel times of quakes and stations strictly inside a box, both in [0, limit) seconds."""
     q = located_quakes(quakes).filter(in_days("event_dttm", first, last) & box.contains("e_lon", "e_lat"))
     s = located_stations(stations).filter(box.contains("s_lon", "s_lat")).select(*STATION_KEY)
-    a = arrivals.filter(F.col("arrival_type").isin(*PAIRED_TYPES))
+    # A pick before the first day precedes its quake and can't be the latest one of a pair that stays.
+    a = arrivals.filter(F.col("arrival_type").isin(*PAIRED_TYPES) & no_earlier("arrival_dttm", first))
     picks = star_join(q.select("event_id", "event_dttm"), a, s)
     pairs = phase_pivot(picks, ["event_id", *STATION_KEY], ["event_dttm"]).drop("p_pick_id", "s_pick_id")
     keep = F.col("delta_t_p").between(0, limit_s) & F.col("delta_t_s").between(0, limit_s)
