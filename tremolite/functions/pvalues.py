@@ -10,8 +10,16 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
+# Coefficients of Stirling's series, 1 / (12 x) - 1 / (360 x^3) + ...
+_STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
-    return np.array([math.lgamma(v) for v in x])
+    """log of gamma for x > 0: Stirling's series for x + 12, and the product that leads back to x."""
+    y = x + 12.0
+    back = np.prod([x + k for k in range(12)], axis=0) if len(x) else np.ones(0)
+    series = sum(c / y ** (2 * k + 1) for k, c in enumerate(_STIRLING))
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(back)
 
 
 def _beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:

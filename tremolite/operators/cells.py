@@ -311,8 +311,31 @@ def nearest_index(c, axis: list[float]) -> Column:
     return F.when(F.abs(lo - col(c)) <= F.abs(hi - col(c)), b).otherwise(b + 1)
 
 
+# Grid cells whose corner table may be broadcast (8 values and 3 indices each: 6 MB), and rows of a table repeated per salt.
+SENT_CELLS = 65_536
+REPEATED = 4_000_000
+
+
+def at_cells(points: DataFrame, corners: DataFrame, n_cells: int, sent: int = SENT_CELLS, repeated: int = REPEATED) -> DataFrame:
+    """Points (i, j, k and more) left-joined with one row per cell, also where most points share a cell.
+
+    A table of up to `sent` cells goes to every task and points stay where they are. A larger one is repeated under salts, points draw theirs by
+    their own hash, so a crowded cell is dealt to as many keys; beyond `repeated` rows it isn't repeated, and crowded cells
+    are left to the adaptive skew join.
+    """
+    if n_cells <= sent:
+        return points.join(F.broadcast(corners), CELL, "left")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, min(4 * parts, repeated // n_cells))
+    if salts == 1:
+        return points.join(corners, CELL, "left")
+    salted = points.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salts)).cast("int"))
+    copies = corners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(copies, [*CELL, "_salt"], "left").drop("_salt")
+
+
 def interpolate_points(
-    points: DataFrame, cells: DataFrame, axes: dict[str, list[float]], value: str, out: str
+    points: DataFrame, cells: DataFrame, axes: dict[str, list[float]], value: str, out: str, sent: int = SENT_CELLS
 ) -> DataFrame:
     """Trilinear value at points on irregular axes (`column -> nodes`, in order i, j, k); linear beyond the edges."""
     names = list(axes)
@@ -322,31 +345,41 @@ def interpolate_points(
         lo, hi = _axis_at(axes[n], F.col(c)), _axis_at(axes[n], F.col(c) + 1)
         parts[f"_f{c}"] = (F.col(n) - lo) / (hi - lo)
     staged = staged.withColumns(parts)
-    corners = corner_values(cells, [], [value], tuple(len(axes[n]) for n in names))
+    shape = tuple(len(axes[n]) for n in names)
+    corners = corner_values(cells, [], [value], shape)
     made = trilinear(lambda a, b, c: F.col(f"{value}_{a}{b}{c}"), F.col("_fi"), F.col("_fj"), F.col("_fk"))
     extra = [f"{value}_{a}{b}{c}" for a, b, c in CORNERS]
-    # The corner table is as large as the grid, the points many per cell: points without a cell stay, and fail.
-    met = staged.join(corners.withColumn("_met", F.lit(True)), CELL, "left")
+    # Points without a cell stay, and fail.
+    met = at_cells(staged, corners.withColumn("_met", F.lit(True)), shape[0] * shape[1] * shape[2], sent)
     lost = F.raise_error(F.lit("point in a cell that the grid lacks")).cast("double")
     made = F.when(F.col("_met"), made).when(F.col(names[0]).isNotNull(), lost)
     return met.withColumn(out, made).drop("_met").drop(*CELL, *parts, *extra)
 
 
-def gradient(field: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Central differences per axis, one-sided at the edges, unit spacing. A window line is one row of the grid."""
-    out = field
+def gradient(field: DataFrame, keys: list[str], value: str, block: int = 8) -> DataFrame:
+    """Central differences per axis, one-sided where a neighbour is missing (null without any), unit spacing.
+
+    Cells are dealt to blocks of `block` cells an axis, and each face cell also to the block beyond its face: one shuffle serves the three axes,
+    and a window holds one line of one block.
+    """
+    here = F.struct(*[F.lit(0).alias(c) for c in CELL])
+    beyond = []
     for c in CELL:
-        others = [o for o in CELL if o != c]
-        line = W.partitionBy(*keys, *others).orderBy(c)
-        before, after = F.lag(value).over(line), F.lead(value).over(line)
-        here = F.col(value)
-        diff = (
-            F.when(before.isNotNull() & after.isNotNull(), (after - before) / 2)
-            .when(after.isNotNull(), after - here)
-            .when(before.isNotNull(), here - before)
-        )
-        out = out.withColumn(f"g{c}", diff)
-    return out
+        for step, face in ((-1, 0), (1, block - 1)):
+            at = F.struct(*[F.lit(step if o == c else 0).alias(o) for o in CELL])
+            beyond.append(F.when(F.pmod(F.col(c), F.lit(block)) == face, at))
+    names = field.columns
+    sent = field.withColumn("_to", F.explode(F.array_compact(F.array(here, *beyond))))
+    blocks = [f"_b{c}" for c in CELL]
+    sent = sent.withColumns({b: F.floor(F.col(c) / block).cast("int") + F.col(f"_to.{c}") for b, c in zip(blocks, CELL, strict=True)})
+    dealt = sent.withColumn("_own", F.col("_to") == here).drop("_to").repartition(*keys, *blocks)
+    for c in CELL:
+        line = W.partitionBy(*keys, *blocks, *[o for o in CELL if o != c]).orderBy(c)
+        before = F.when(F.lag(c).over(line) == F.col(c) - 1, F.lag(value).over(line))
+        after = F.when(F.lead(c).over(line) == F.col(c) + 1, F.lead(value).over(line))
+        diff = F.when(before.isNotNull() & after.isNotNull(), (after - before) / 2).when(after.isNotNull(), after - F.col(value)).when(before.isNotNull(), F.col(value) - before)
+        dealt = dealt.withColumn(f"g{c}", diff)
+    return dealt.where("_own").select(*names, *[f"g{c}" for c in CELL])
 
 
 def y_slice(cells: DataFrame, keys: list[str], y: int, value: str) -> tuple[DataFrame, DataFrame]:

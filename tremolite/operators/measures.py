@@ -51,14 +51,19 @@ def origin_deviation(df: DataFrame, key: str, arrival: str, model_s: str) -> Dat
 
 
 def origin_spread(df: DataFrame, key: str, arrival: str, origin: str) -> DataFrame:
-    """First arrival and sample deviation of the implied origins in seconds, per quake.
+    """First arrival and sample deviation of the implied origins in seconds, per quake (NULL for one origin).
 
-    Origins are centred on the quake's first arrival time of the table to keep the squares small.
+    Origins count in whole microseconds; sums and sums of squares are whole numbers, so nothing is lost in their difference.
     """
-    at = epoch_micros(origin) / F.lit(1e6)
-    return df.groupBy(key).agg(
-        F.min(arrival).alias("event_dt"), F.stddev_samp(at - F.lit(8e8)).alias("deviation_std")
+    at = epoch_micros(origin).cast("long") - F.lit(800_000_000_000_000)
+    whole = at.cast("decimal(19,0)")
+    sums = df.groupBy(key).agg(
+        F.min(arrival).alias("event_dt"), F.count(at).alias("_n"), F.sum(at).cast("decimal(19,0)").alias("_s"), F.sum((whole * whole).cast("decimal(38,0)")).cast("decimal(38,0)").alias("_q")
     )
+    n = F.col("_n").cast("decimal(10,0)")
+    squares = (n * F.col("_q") - F.col("_s") * F.col("_s")).cast("double")
+    deviation = F.when(F.col("_n") > 1, F.sqrt(squares / (F.col("_n") * (F.col("_n") - 1))) / 1e6)
+    return sums.select(key, "event_dt", deviation.alias("deviation_std"))
 
 
 def split_welch(df: DataFrame, at: str, value: str, cutoff: str) -> DataFrame:

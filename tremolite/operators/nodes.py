@@ -200,21 +200,25 @@ def node_runs(nodes: DataFrame, keys: list[str]) -> DataFrame:
 
 # --- moments -----------------------------------------------------------------------------------------------------
 
-# Reference point of the sums, near typical travel times, to keep squares small. Any value gives the same statistics.
-CENTRE_P, CENTRE_S = 25.0, 40.0
 _ADDITIVE = ("n", "sx", "sy", "sxx", "syy", "sxy")
+_MICRO = 1e6
 
 
 def moments(p="delta_t_p", s="delta_t_s") -> list[Column]:
-    """Aggregates of paired times: counts, sums about the reference point and extremes."""
-    x, y = col(p) - CENTRE_P, col(s) - CENTRE_S
+    """Aggregates of paired times: counts, sums, sums of products and extremes.
+
+    Times count in whole microseconds, the catalogue's resolution, and products are summed as whole numbers of up to 38 digits. So sums can be
+    merged in any order without an error, and what is left after subtracting the means' part is exact, however small.
+    """
+    x, y = (F.round(col(c) * _MICRO).cast("long") for c in (p, s))
+    times = lambda a, b: F.sum(a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast("decimal(38,0)")
     return [
         F.count(F.lit(1)).alias("n"),
         F.sum(x).alias("sx"),
         F.sum(y).alias("sy"),
-        F.sum(x * x).alias("sxx"),
-        F.sum(y * y).alias("syy"),
-        F.sum(x * y).alias("sxy"),
+        times(x, x).alias("sxx"),
+        times(y, y).alias("syy"),
+        times(x, y).alias("sxy"),
         F.min(p).alias("p_min"),
         F.max(p).alias("p_max"),
         F.min(s).alias("s_min"),
@@ -229,6 +233,13 @@ def merge_moments() -> list[Column]:
     ]
 
 
+def centred(products: str, a: str, b: str) -> Column:
+    """Sum of products about the means, in square seconds: n sum(ab) - sum(a) sum(b) without rounding, then one division."""
+    whole = lambda c: F.col(c).cast("decimal(19,0)")
+    exact = whole("n") * F.col(products) - whole(a) * whole(b)
+    return exact.cast("double") / F.col("n") / (_MICRO * _MICRO)
+
+
 def spread_to_nodes(
     pairs: DataFrame,
     grid: NodeGrid,
@@ -268,17 +279,14 @@ def spread_to_nodes(
 def node_stats(m: DataFrame) -> DataFrame:
     """Mean, population deviation and extremes of both times from moments."""
     n = F.col("n")
-
-    def deviation(total: str, squares: str) -> Column:
-        return F.sqrt(F.greatest(F.col(squares) / n - (F.col(total) / n) * (F.col(total) / n), F.lit(0.0)))
-
+    deviation = lambda products, a: F.sqrt(F.greatest(centred(products, a, a) / n, F.lit(0.0)))
     return m.withColumns(
         {
             "n_measurements": n,
-            "s_mean": F.col("sy") / n + CENTRE_S,
-            "s_std": F.when(F.col("s_min") == F.col("s_max"), 0.0).otherwise(deviation("sy", "syy")),
-            "p_mean": F.col("sx") / n + CENTRE_P,
-            "p_std": F.when(F.col("p_min") == F.col("p_max"), 0.0).otherwise(deviation("sx", "sxx")),
+            "s_mean": F.col("sy") / n / _MICRO,
+            "s_std": deviation("syy", "sy"),
+            "p_mean": F.col("sx") / n / _MICRO,
+            "p_std": deviation("sxx", "sx"),
         }
     )
 
@@ -290,9 +298,9 @@ def node_regression(m: DataFrame) -> DataFrame:
     """
     n = F.col("n")
     vary_x, vary_y = F.col("p_min") < F.col("p_max"), F.col("s_min") < F.col("s_max")
-    cxx = F.when(vary_x, F.col("sxx") - F.col("sx") * F.col("sx") / n)
-    cyy = F.when(vary_y, F.col("syy") - F.col("sy") * F.col("sy") / n).otherwise(0.0)
-    cxy = F.when(vary_y, F.col("sxy") - F.col("sx") * F.col("sy") / n).otherwise(0.0)
+    cxx = F.when(vary_x, centred("sxx", "sx", "sx"))
+    cyy = F.when(vary_y, centred("syy", "sy", "sy")).otherwise(0.0)
+    cxy = F.when(vary_y, centred("sxy", "sx", "sy")).otherwise(0.0)
     staged = m.withColumns({"_cxx": cxx, "_cyy": cyy, "_cxy": cxy})
     slope = F.col("_cxy") / F.nullif(F.col("_cxx"), F.lit(0.0))
     r = F.when(F.col("_cxx").isNull(), None).when(F.col("_cyy") <= 0, 0.0).otherwise(
@@ -305,7 +313,7 @@ def node_regression(m: DataFrame) -> DataFrame:
     t = F.col("r_value") * F.sqrt(dof / F.nullif((1 - r2), F.lit(0.0)))
     return staged.withColumns(
         {
-            "intercept": F.col("sy") / n + CENTRE_S - F.col("slope") * (F.col("sx") / n + CENTRE_P),
+            "intercept": F.col("sy") / n / _MICRO - F.col("slope") * (F.col("sx") / n / _MICRO),
             "r_squared": r2,
             "stderr": stderr,
             "t_stat": t,

@@ -36,10 +36,12 @@ def r(c: str | Column, digits: int = 6, name: str | None = None) -> Column:
     return out.alias(label) if label else out
 
 
-def steady(c: str | Column, digits: int, name: str | None = None) -> Column:
-    """Rounded output whose exact halves cannot fall to different sides in two engines; see `sqltext.steady`."""
-    label = name or c
-    return F.round((F.col(c) if isinstance(c, str) else c) + 1.3e-7, digits).alias(label)
+def fine(c: str | Column, digits: int, name: str | None = None) -> Column:
+    """Rounded output, two places finer than `digits`, exact halves upwards; `sqltext.fine` does the same steps."""
+    value, unit = F.col(c) if isinstance(c, str) else c, float(10 ** (digits + 2))
+    label = name or (c if isinstance(c, str) else None)
+    out = F.floor(value * unit + 0.5) / unit
+    return out.alias(label) if label else out
 
 
 def load() -> None:

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geodesy as geo, scalars as sc
 from ..operators import catalogue as cat, cells as ce, fields as fd
-from . import r, register, steady
+from . import r, register, fine
 from . import sqltext as q
-from .sqltext import steady as st
+from .sqltext import fine as st
 
 TOP = ce.TopPoint(161.0, 53.5, 0.0)
 LATTICE = ce.Lattice(TOP, 150000.0, 5, 5, 5)
@@ -465,7 +465,7 @@ def _interp_sql(source: str) -> str:
 )
 def interpolate_points(tb):
     out = ce.interpolate_points(located(tb), _node_values(tb), AXES, "vp", "val")
-    return out.select("event_id", steady("val", 4, "vp"))
+    return out.select("event_id", fine("val", 4, "vp"))
 
 
 def _nearest_sql(c: str, axis: list[float]) -> str:

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import catalogue as cat, cells as ce, fronts as fr, inversion as inv, location as lo, measures as ms, rays as ry
 from ..plans import deviation as dv, straight_ray as sr, tomography as tg
-from . import r, register, steady
+from . import r, register, fine
 from .catalogue import DAYS, RAW, STAR, TRAVEL
 from .grids import AXES, CELL_OF, LATTICE, ZONE
 from . import sqltext as q
-from .sqltext import steady as st
+from .sqltext import fine as st
 
 MISFIT_SQL = """b as (select event_id, avg(t_obs) base, count(t_obs) n from in_observed group by 1 having count(t_obs) > 1),
     ms as (select event_id, i, j, k, greatest(count(*)*sum(x*x) - sum(x)*sum(x), 0) raw, round(raw, 9) misfit from
@@ -130,7 +130,7 @@ def residuals(tb):
 def pair_residuals(tb):
     """Differences to each quake's first station, from which every pair difference follows."""
     out = lo.basis_differences(residuals(tb).select("event_id", "station_id", "r"), ["event_id"])
-    return out.select("event_id", "station_id", "station_0", steady("d", 6))
+    return out.select("event_id", "station_id", "station_0", fine("d", 6))
 
 
 # --- rays through cells ------------------------------------------------------------------------------------------
@@ -219,7 +219,7 @@ def sums(tb):
 )
 def station_sums(tb):
     s, right = sums(tb)
-    return s.join(right, "station_id").select("station_id", "cell", r("s", 5), steady("r", 5))
+    return s.join(right, "station_id").select("station_id", "cell", r("s", 5), fine("r", 5))
 
 
 @register(
@@ -239,7 +239,7 @@ def normal_equations(tb):
     n = right.count()
     a, _ = inv.pair_system(s, right, n, 125, 0.01)
     base = F.col("a")
-    return a.select("c1", "c2", steady(base / 1e6, 4, "a"))
+    return a.select("c1", "c2", fine(base / 1e6, 4, "a"))
 
 
 @register("damped_solve")
@@ -343,7 +343,7 @@ def deviations(tb):
     "quakes stations arrivals lattice_times magnitudes",
 )
 def travel_deviation(tb):
-    return deviations(tb).select("event_id", "pick_id", "model_s", steady("deviation_s", 5))
+    return deviations(tb).select("event_id", "pick_id", "model_s", fine("deviation_s", 5))
 
 
 @register(
@@ -367,7 +367,7 @@ def model_arrival_deviation(tb):
     names = tb.stations.select(*cat.STATION_KEY).withColumn("station_id", F.expr("cast(substr(station_nm, 3) as bigint)"))
     f = tb.lattice_times.join(names, "station_id").withColumn("phase", F.explode(F.array(F.lit("vp"), F.lit("vs"))))
     f = f.withColumn("t", F.when(F.col("phase") == "vp", F.col("t")).otherwise(F.col("t") * 1.73))
-    return dv.arrival_deviation(LATTICE, picks, tb.stations, f).select("event_id", "pick_id", steady("deviation_s", 5))
+    return dv.arrival_deviation(LATTICE, picks, tb.stations, f).select("event_id", "pick_id", fine("deviation_s", 5))
 
 
 # --- fields and the full cycle -----------------------------------------------------------------------------------

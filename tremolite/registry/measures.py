@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import catalogue as cat, measures as ms, ranking as rk
-from . import r, register, steady
+from . import r, register, fine
 from .catalogue import TRAVEL
-from .sqltext import steady as st
+from .sqltext import fine as st
 
 # Implied origins: arrival minus the travel time from the station to the quake's cell of the location lattice.
 LOOKUP_SQL = f"""lk as (select a.event_id, a.pick_id, a.arrival_dttm, t.t as model_s
@@ -40,16 +40,16 @@ def implied(tb):
 @register(
     "origin_deviation",
     f"""with {IMPLIED_SQL}, b as (select *, us - min(us) over (partition by event_id) as off from io)
-    select event_id, pick_id, {st('(off - avg(off) over (partition by event_id))/1e6', 5)} as deviation_s from b""",
+    select event_id, pick_id, {st('(off - avg(off) over (partition by event_id))/1e6', 7)} as deviation_s from b""",
     "arrivals lattice_times",
 )
 def origin_deviation(tb):
-    return implied(tb).select("event_id", "pick_id", steady("deviation_s", 5))
+    return implied(tb).select("event_id", "pick_id", fine("deviation_s", 7))
 
 
 SPREAD_SQL = (
     IMPLIED_SQL
-    + """, sp as (select event_id, min(arrival_dttm) event_dt, stddev_samp(us/1e6 - 8e8) deviation_std from io group by 1)"""
+    + """, sp as (select event_id, min(arrival_dttm) event_dt, stddev_samp((us - first_us)/1e6) deviation_std from (select *, min(us) over (partition by event_id) first_us from io) z group by 1)"""
 )
 
 
@@ -59,11 +59,11 @@ def spread(tb):
 
 @register(
     "event_origin_spread",
-    f"with {SPREAD_SQL} select event_id, event_dt, {st('deviation_std', 4)} as deviation_std from sp",
+    f"with {SPREAD_SQL} select event_id, event_dt, {st('deviation_std', 5)} as deviation_std from sp",
     "arrivals lattice_times",
 )
 def event_origin_spread(tb):
-    return spread(tb).select("event_id", "event_dt", steady("deviation_std", 4))
+    return spread(tb).select("event_id", "event_dt", fine("deviation_std", 5))
 
 
 @register(
@@ -79,10 +79,19 @@ def split_welch(tb):
     return out.select("n_a", "n_b", r("mean_a"), r("mean_b"), r("t_stat"), r("dof", 4))
 
 
-@register("split_welch_pvalue")
+@register(
+    "split_welch_pvalue",
+    f"""with {SPREAD_SQL}, a as (select count(*) n, avg(deviation_std) m, var_samp(deviation_std) v from sp where deviation_std is not null and event_dt < timestamp '1998-03-01'),
+    b as (select count(*) n, avg(deviation_std) m, var_samp(deviation_std) v from sp where deviation_std is not null and event_dt >= timestamp '1998-03-01'),
+    w as (select a.n n_a, b.n n_b, (a.m-b.m)/sqrt(a.v/a.n+b.v/b.n) t, pow(a.v/a.n+b.v/b.n,2)/(pow(a.v/a.n,2)/(a.n-1)+pow(b.v/b.n,2)/(b.n-1)) d from a cross join b),
+    x as (select *, d/2 as h, t*t/(d + t*t) as y from w)
+    select n_a, n_b, round(t, 6) t_stat, round(1 - sum(exp(lgamma(h + 0.5e0 + m) - lgamma(h) - lgamma(0.5e0) + lgamma(1.5e0) - lgamma(m + 1.5e0) + (m + 0.5e0)*ln(y) + h*ln(1 - y)) * 2), 6) as p_val
+    from x cross join range(100000) r(m) group by n_a, n_b, t""",
+    "arrivals lattice_times",
+)
 def split_welch_pvalue(tb):
     out = ms.welch_p_value(ms.split_welch(spread(tb), "event_dt", "deviation_std", "1998-03-01"))
-    return out.select("n_a", "n_b", r("t_stat"), r("p_val", 9))
+    return out.select("n_a", "n_b", r("t_stat"), r("p_val"))
 
 
 @register(
@@ -116,7 +125,7 @@ RMS_SQL = """select run_id, iter, event_id, case when count(r) > 1 then sqrt(gre
 def hypo_rms(tb):
     """Per-quake RMS of pair differences; the SQL forms the pairs, the plan does not."""
     out = ms.pairwise_rms(tb.run_residuals, ["run_id", "iter", "event_id"], "r")
-    return out.select("run_id", "iter", "event_id", steady("rms", 5), "n_pairs")
+    return out.select("run_id", "iter", "event_id", fine("rms", 5), "n_pairs")
 
 
 @register(
@@ -128,7 +137,7 @@ def hypo_rms(tb):
 def hypo_summary(tb):
     per_event = ms.pairwise_rms(tb.run_residuals, ["run_id", "iter", "event_id"], "r")
     out = ms.rms_summary(per_event, ["run_id", "iter"])
-    q = [steady(c, 5) for c in ("median_rms", "p10_rms", "p90_rms")]
+    q = [fine(c, 5) for c in ("median_rms", "p10_rms", "p90_rms")]
     return out.select("run_id", "iter", r("mean_rms"), *q, "n_events")
 
 

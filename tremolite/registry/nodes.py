@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import json_path, nan_as_text
 from ..operators import catalogue as cat, nodes as nd, ranking as rk
 from ..plans import experiment as ex
-from . import r, register, steady
+from . import r, register, fine
 from .catalogue import REGION_INPUTS, REGION_PAIRS
-from .sqltext import haversine, steady as st
+from .sqltext import haversine, fine as st
 
 GRID = nd.NodeGrid(50.0, 57.0, 156.0, 166.0, 29, 36, "1995-01-01", "2001-08-01", 49)
 # The same axes for the checking engine; one node row per combination.
@@ -187,62 +187,79 @@ def _moments(tb):
 @register(
     "spread_to_nodes",
     SPREAD
-    + f"""select region_nm, ix, iy, it, count(*) n, {st('sum(delta_t_p - 25)', 4)} sx, {st('sum(delta_t_s - 40)', 4)} sy,
+    + f"""select region_nm, ix, iy, it, count(*) n, sum(cast(round(delta_t_p*1e6) as bigint))::bigint sx, sum(cast(round(delta_t_s*1e6) as bigint))::bigint sy,
     min(delta_t_p) p_min, max(delta_t_s) s_max from m group by region_nm, ix, iy, it""",
     REGION_INPUTS,
 )
 def spread_to_nodes(tb):
-    return _moments(tb).select("region_nm", "ix", "iy", "it", "n", steady("sx", 4), steady("sy", 4), "p_min", "s_max")
+    return _moments(tb).select("region_nm", "ix", "iy", "it", "n", "sx", "sy", "p_min", "s_max")
+
+
+# Sums of whole microseconds and of their products are exact in both engines.
+FIT = """select *, case when cxx > 0 then cxy/cxx end slope, case when cxx = 0 then null when cyy = 0 then 0.0e0 else rv*rv end r2,
+  my - cxy/nullif(cxx, 0)*mx icpt from (select *, greatest(-1.0e0, least(1.0e0, cxy/sqrt(nullif(cxx*cyy, 0)))) rv from (
+  select region_nm, ix, iy, it, lat, lon, us, n, sx::double/n/1e6 mx, sy::double/n/1e6 my, (n*sxx - sx*sx)::double/n/1e12 cxx, (n*syy - sy*sy)::double/n/1e12 cyy,
+    (n*sxy - sx*sy)::double/n/1e12 cxy, p_min, p_max, s_min, s_max from (
+  select region_nm, ix, iy, it, lat, lon, us, count(*) n, sum(x)::hugeint sx, sum(y)::hugeint sy, sum(x*x)::hugeint sxx, sum(y*y)::hugeint syy, sum(x*y)::hugeint sxy,
+    min(delta_t_p) p_min, max(delta_t_p) p_max, min(delta_t_s) s_min, max(delta_t_s) s_max
+  from (select *, round(delta_t_p*1e6)::bigint x, round(delta_t_s*1e6)::bigint y from m) w group by region_nm, ix, iy, it, lat, lon, us) z0) z1) z2"""
 
 
 @register(
     "node_stats",
     SPREAD
-    + f"""select region_nm, ix, iy, it, count(*) n_measurements, {st('avg(delta_t_s)', 5)} s_mean, {st('stddev_pop(delta_t_s)', 5)} s_std,
-    min(delta_t_s) s_min, max(delta_t_s) s_max, {st('avg(delta_t_p)', 5)} p_mean, {st('stddev_pop(delta_t_p)', 5)} p_std,
-    min(delta_t_p) p_min, max(delta_t_p) p_max from m group by region_nm, ix, iy, it""",
+    + f"""select region_nm, ix, iy, it, n n_measurements, {st('my', 5)} s_mean, {st('sqrt(greatest(cyy/n, 0))', 5)} s_std, s_min, s_max,
+    {st('mx', 5)} p_mean, {st('sqrt(greatest(cxx/n, 0))', 5)} p_std, p_min, p_max from ({FIT}) f""",
     REGION_INPUTS,
 )
 def node_stats(tb):
     return nd.node_stats(_moments(tb)).select(
-        "region_nm", "ix", "iy", "it", "n_measurements", steady("s_mean", 5), steady("s_std", 5), "s_min", "s_max",
-        steady("p_mean", 5), steady("p_std", 5), "p_min", "p_max",
+        "region_nm", "ix", "iy", "it", "n_measurements", fine("s_mean", 5), fine("s_std", 5), "s_min", "s_max",
+        fine("p_mean", 5), fine("p_std", 5), "p_min", "p_max",
     )
 
 
-FIT = """select *, slope*slope*sxx/nullif(syy,0) r2, my - slope*mx icpt from (select region_nm, ix, iy, it, lat, lon, us,
-  count(*) n, case when count(distinct delta_t_p) > 1 then regr_slope(delta_t_s, delta_t_p) end slope,
-  regr_sxx(delta_t_s, delta_t_p) sxx, regr_syy(delta_t_s, delta_t_p) syy, avg(delta_t_p) mx, avg(delta_t_s) my
-  from m group by region_nm, ix, iy, it, lat, lon, us) z"""
-
-
 @register(
     "node_regression",
     SPREAD
-    + f"""select region_nm, ix, iy, it, n as n_measurements, {st('slope', 5)} slope, {st('icpt', 4)} intercept, {st('r2', 5)} r_squared,
-    case when slope is null then null when n = 2 then 0.0e0 else {st('sqrt(greatest(1-r2,0)*syy/sxx/(n-2))', 5)} end stderr,
+    + f"""select region_nm, ix, iy, it, n as n_measurements, {st('slope', 5)} slope, {st('icpt', 5)} intercept, {st('r2', 5)} r_squared,
+    case when slope is null then null when n = 2 then 0.0e0 else {st('sqrt((1-r2)*cyy/cxx/(n-2))', 5)} end stderr,
     case when n < 2 then 'insufficient_data' when slope is null then 'identical_p_times' end error from ({FIT}) f""",
     REGION_INPUTS,
 )
 def node_regression(tb):
     fit = nd.node_regression(nd.node_stats(_moments(tb)))
     return fit.select(
-        "region_nm", "ix", "iy", "it", "n_measurements", steady("slope", 5), steady("intercept", 4), steady("r_squared", 5),
-        steady("stderr", 5), "error",
+        "region_nm", "ix", "iy", "it", "n_measurements", fine("slope", 5), fine("intercept", 5), fine("r_squared", 5),
+        fine("stderr", 5), "error",
     )
 
 
-@register("node_regression_pvalue")
+# Student's t for whole degrees of freedom d is a finite sum of powers of cos(angle), angle = atan(t / sqrt(d)).
+_TERM = "exp(lgamma(m + {a}e0) - lgamma(m + {b}e0)) * pow(c, 2*m + {s})"
+P_VALUE = f"""case when slope is null then null when dof = 0 then case when flat then 1.0e0 else 0.0e0 end when r2 >= 1 then 0.0e0
+  when dof % 2 = 0 then 1 - sn*coalesce(list_sum(list_transform(range(dof // 2), lambda m: {_TERM.format(a=0.5, b=1, s=0)} / sqrt(pi()))), 0)
+  else 1 - 2/pi()*(an + sn*coalesce(list_sum(list_transform(range((dof - 1) // 2), lambda m: {_TERM.format(a=1, b=1.5, s=1)} * sqrt(pi())/2)), 0)) end"""
+
+
+@register(
+    "node_regression_pvalue",
+    SPREAD
+    + f"""select region_nm, ix, iy, it, dof, {st(P_VALUE, 4)} as p_value from (
+      select *, atan(tt/sqrt(dof)) an, sin(atan(tt/sqrt(dof))) sn, cos(atan(tt/sqrt(dof))) c from (
+      select region_nm, ix, iy, it, slope, n - 2 as dof, r2, cyy = 0 as flat, case when n > 2 and r2 < 1 then sqrt(r2)*sqrt((n-2)/(1-r2)) end tt from ({FIT}) f) g) h""",
+    REGION_INPUTS,
+)
 def node_regression_pvalue(tb):
     fit = nd.regression_p_value(nd.node_regression(nd.node_stats(_moments(tb))))
-    return fit.select("region_nm", "ix", "iy", "it", r("t_stat"), "dof", r("p_value", 9))
+    return fit.select("region_nm", "ix", "iy", "it", "dof", r("p_value"))
 
 
 @register(
     "vp_vs_experiment",
     SPREAD
     + f"""select region_nm, ix, iy, it, round(lat,6) lat, round(lon,6) lon, make_timestamp(cast(round_even(us,0) as bigint)) dttm,
-    n as n_measurements, {st('my', 5)} s_mean, {st('mx', 5)} p_mean, {st('slope', 5)} slope, {st('icpt', 4)} intercept from ({FIT}) f""",
+    n as n_measurements, {st('my', 5)} s_mean, {st('mx', 5)} p_mean, {st('slope', 5)} slope, {st('icpt', 5)} intercept from ({FIT}) f""",
     REGION_INPUTS,
 )
 def vp_vs_experiment(tb):
@@ -252,8 +269,8 @@ def vp_vs_experiment(tb):
         EXPERIMENT.grid()
         .locate(fit)
         .select(
-            "region_nm", "ix", "iy", "it", r("lat"), r("lon"), "dttm", "n_measurements", steady("s_mean", 5),
-            steady("p_mean", 5), steady("slope", 5), steady("intercept", 4),
+            "region_nm", "ix", "iy", "it", r("lat"), r("lon"), "dttm", "n_measurements", fine("s_mean", 5),
+            fine("p_mean", 5), fine("slope", 5), fine("intercept", 5),
         )
         .orderBy("region_nm", "it", "ix", "iy")
     )

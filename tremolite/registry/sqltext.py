@@ -82,7 +82,7 @@ def rnd(e: str, digits: int) -> str:
     return f"case when round({e}, {digits}) = 0 then 0.0e0 else round({e}, {digits}) end"
 
 
-def steady(e: str, digits: int) -> str:
-    """Rounding with a small offset, without a negative zero."""
-    out = f"round(({e}) + 1.3e-7, {digits})"
-    return f"case when {out} = 0 then 0.0e0 else {out} end"
+def fine(e: str, digits: int) -> str:
+    """Rounding two places finer than `digits`, exact halves upwards."""
+    unit = f"1{'0' * (digits + 2)}.0e0"
+    return f"(cast(floor(({e})*{unit} + 0.5e0) as bigint)/{unit})"
