@@ -67,5 +67,5 @@ def test_leaves_hold_few_edges_and_inside_leaves_none(spark, regions):
 def test_no_ring_in_the_join(spark, regions):
     points = spark.createDataFrame([(1, 160.0, 53.0)], "id int, lon double, lat double")
     plan = co.region_points(points, regions, "lon", "lat")._jdf.queryExecution().toString()
-    assert "ring" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert "ring#" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
     assert co.region_points(points, regions.where("false"), "lon", "lat").count() == 0

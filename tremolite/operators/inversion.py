@@ -19,6 +19,17 @@ TILE = 256
 OPEN_TILES = 64
 
 
+# Rows of a block product, 2 MB a side.
+BLOCK_ROWS = 1024
+
+
+def _dense(places: pd.Series, values: pd.Series, tile: int) -> np.ndarray:
+    """Rows of a tile as a full matrix; each row lists its places and values."""
+    out = np.zeros((len(places), tile))
+    out[np.repeat(np.arange(len(places)), places.map(len)), np.concatenate(places.to_list())] = np.concatenate(values.to_list())
+    return out
+
+
 def _tile_products(tile: int):
     """Sum of weight * left^T right per pair of tiles; sums are given out when too many are open, and added up later."""
 
@@ -36,9 +47,10 @@ def _tile_products(tile: int):
                         yield from entries(sums)
                         sums = {}
                     sums[t1, t2] = np.zeros((tile, tile))
-                total = sums[t1, t2]
-                for at1, v1, at2, v2, w in zip(part["at1"], part["v1"], part["at2"], part["v2"], part["weight"]):
-                    total[np.ix_(at1, at2)] += w * np.outer(v1, v2)
+                for a in range(0, len(part), BLOCK_ROWS):
+                    rows = part.iloc[a : a + BLOCK_ROWS]
+                    left = _dense(rows["at1"], rows["v1"], tile) * rows["weight"].to_numpy()[:, None]
+                    sums[t1, t2] += left.T @ _dense(rows["at2"], rows["v2"], tile)
         yield from entries(sums)
 
     return run
@@ -67,6 +79,24 @@ def gram(rows: DataFrame, row_keys: list[str], cell: str, value: str, weight: st
     return parts.groupBy("c1", "c2").agg(F.sum("a").alias("a"))
 
 
+def rank_one(totals: DataFrame, value: str, factor: float) -> DataFrame:
+    """Upper triangle of factor * t t^T of a vector (cell, value), which has as many entries as the full matrix.
+
+    The vector is cut into tiles; each tile goes to its partners and one task multiplies one pair, so no row of all cells ever
+    meets itself.
+    """
+    place = (F.col("cell") % TILE).cast("int")
+    tiles = totals.groupBy(F.floor(F.col("cell") / TILE).alias("tile")).agg(F.collect_list(F.struct(place.alias("at"), F.col(value).alias("v"))).alias("_e"))
+    tiles = materialise(tiles.select("tile", F.col("_e.at").alias("at"), F.col("_e.v").alias("v")), "tiles")
+    last = tiles.agg(F.max("tile")).first()[0]
+    if last is None:
+        return totals.select(F.col("cell").cast("long").alias("c1"), F.col("cell").cast("long").alias("c2"), F.lit(0.0).alias("a")).limit(0)
+    left = tiles.select(F.col("tile").alias("t1"), F.col("at").alias("at1"), F.col("v").alias("v1"), F.explode(F.sequence("tile", F.lit(last))).alias("t2"))
+    right = tiles.select(F.col("tile").alias("t2"), F.col("at").alias("at2"), F.col("v").alias("v2"), F.lit(factor).alias("weight"))
+    met = left.join(right, "t2").select("t1", "t2", "at1", "v1", "at2", "v2", "weight")
+    return met.mapInPandas(_tile_products(TILE), "c1 long, c2 long, a double")
+
+
 def station_sums(weights: DataFrame, lengths: DataFrame, station: str = "station_id") -> DataFrame:
     """S(station, cell) = sum over quakes of weight * length.
 
@@ -83,11 +113,8 @@ def pair_system(s: DataFrame, r: DataFrame, n_stations: int, n_cells: int, lambd
 
     Uses A = n sum(S_i^T S_i) - (sum S)^T (sum S) and the like for b; no pairs are formed.
     """
-    total = s.groupBy("cell").agg(F.sum("s").alias("s"))
-    rows = s.select(F.col(station).cast("string").alias("row"), "cell", "s", F.lit(float(n_stations)).alias("w")).unionByName(
-        total.select(F.lit("sum").alias("row"), "cell", "s", F.lit(-1.0).alias("w"))
-    )
-    a = gram(rows, ["row"], "cell", "s", "w")
+    a = gram(s.withColumn("w", F.lit(float(n_stations))), [station], "cell", "s", "w")
+    a = a.unionByName(rank_one(s.groupBy("cell").agg(F.sum("s").alias("s")), "s", -1.0)).groupBy("c1", "c2").agg(F.sum("a").alias("a"))
     trace = a.filter("c1 = c2").agg(F.sum("a").alias("_tr"))
     raised = F.col("a") + F.when(F.col("c1") == F.col("c2"), lambda_reg * F.col("_tr") / n_cells).otherwise(0.0)
     a = a.join(F.broadcast(trace), F.lit(True)).select("c1", "c2", raised.alias("a"))
