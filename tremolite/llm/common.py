@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -98,6 +99,42 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(windows(word_hashes(raw, *word_bounds(raw)), width))
 
 
+class Prepared:
+    """A text with what several measures need, each part made once: bytes, words, hashes and repeated three-word windows."""
+
+    def __init__(self, text: str | None):
+        self.text = text or ""
+        self.raw = utf8(self.text)
+        self.starts, self.ends = word_bounds(self.raw)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return word_hashes(self.raw, self.starts, self.ends, lower=False)
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        return windows(self.hashes, 2)
+
+    @cached_property
+    def covered(self) -> np.ndarray:
+        """Per word, whether it lies in a three-word window that the text holds twice or more."""
+        n = len(self.starts)
+        cover = np.zeros(n, dtype=bool)
+        if n > 3:
+            three = windows(self.hashes, 3)
+            order = np.sort(three)
+            again = order[1:][order[1:] == order[:-1]]
+            if len(again):
+                twice = np.isin(three, again)
+                for k in range(3):
+                    cover[k : n - 2 + k] |= twice
+        return cover
+
+
+def prepare(text: str | Prepared | None) -> Prepared:
+    return text if isinstance(text, Prepared) else Prepared(text)
+
+
 def crc(value: object) -> int:
     """crc32 of a value's text."""
     return zlib.crc32(str(value).encode())

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded, utf8, windows, word_bounds, word_hashes
+from .common import Prepared, bounded, prepare
 
 #: Hash buckets for word n-grams (one and two words) and for character n-grams (three bytes).
 WORD_BITS, CHAR_BITS = 11, 11
@@ -29,37 +29,33 @@ def _unit(counts: np.ndarray) -> np.ndarray:
     return root / max(1.0, float(np.sqrt(counts.sum())))
 
 
-def shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+def shapes(p: Prepared) -> np.ndarray:
     """A shape code of each word."""
+    raw, starts, ends, h = p.raw, p.starts, p.ends, p.hashes
     n = len(h)
     if not n:
         return np.zeros(0, dtype=np.int64)
     inside = lambda mask: (lambda c: c[ends] - c[starts])(np.concatenate([[0], np.cumsum(mask[raw])]))
-    repeats, window = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    repeats = np.zeros(n, dtype=bool)
     repeats[1:] = h[1:] == h[:-1]
-    if n >= 3:
-        _, where, met = np.unique(windows(h, 3), return_inverse=True, return_counts=True)
-        for k in range(3):
-            window[k : n - 2 + k] |= met[where] > 1
     last = raw[ends - 1]
     before = raw[np.maximum(ends - 2, starts)]
     word = _LOWER | _UPPER | ((_CODE >= 48) & (_CODE < 58))
-    flags = ((inside(_LOWER) == 0) & (inside(_UPPER) > 1), _UPPER[raw[starts]], inside(_SIGN) > 0, word[last] | word[before], repeats, window)
+    flags = ((inside(_LOWER) == 0) & (inside(_UPPER) > 1), _UPPER[raw[starts]], inside(_SIGN) > 0, word[last] | word[before], repeats, p.covered)
     return sum(f.astype(np.int64) << k for k, f in enumerate(flags))
 
 
-def features(text: str | None) -> np.ndarray:
+def features(text: str | Prepared | None) -> np.ndarray:
     """Square roots of the shares of each bucket; all zero without text."""
-    raw = utf8(text or "")
-    starts, ends = word_bounds(raw)
-    h = word_hashes(raw, starts, ends, lower=False)
-    grams = np.concatenate([h, windows(h, 2)]) if len(h) > 1 else h
+    p = prepare(text)
+    raw, h = p.raw, p.hashes
+    grams = np.concatenate([h, p.pairs]) if len(h) > 1 else h
     words = np.bincount((grams >> np.uint64(64 - WORD_BITS)).astype(np.int64), minlength=1 << WORD_BITS)
     with np.errstate(over="ignore"):
         b = raw.astype(np.uint32)
         three = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)
     chars = np.bincount((three >> np.uint32(32 - CHAR_BITS)).astype(np.int64), minlength=1 << CHAR_BITS)
-    shape = np.bincount(shapes(raw, starts, ends, h), minlength=1 << SHAPE_BITS)
+    shape = np.bincount(shapes(p), minlength=1 << SHAPE_BITS)
     return np.concatenate([_unit(words), _unit(chars), _unit(shape)])
 
 
@@ -87,6 +83,16 @@ class Scorer:
         return sigmoid(self.scale * self.margin(x).astype(np.float64) + self.shift)
 
 
+def judged(scorer: Scorer, texts, measure) -> tuple[np.ndarray, list]:
+    """Scores of some texts and `measure` of each; a text is prepared once, used for both, and let go."""
+    x, rows = np.zeros((len(texts), WIDTH), dtype=np.float32), []
+    for k, text in enumerate(texts):
+        p = prepare(text)
+        x[k] = features(p)
+        rows.append(measure(p))
+    return scorer.score(x), rows
+
+
 def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = 200, ridge: float = 1e-5) -> Scorer:
     """Logistic regression by accelerated gradient descent on rows outside `held`, calibrated on those inside (Platt).
 

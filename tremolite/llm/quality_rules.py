@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from . import linear
-from .common import SPACES, map_texts, utf8, windows, word_bounds, word_hashes
+from .common import SPACES, Prepared, map_texts, prepare
 
 # Limits of the base rules, and the scorer's threshold.
 LEAST_WORDS, MOST_REPEATED, THRESHOLD = 50, 50, 0.5
@@ -20,28 +20,16 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[ord(c) for c in SPACES]] = True
 
 
-def counts(text: str | None) -> tuple[int, int, int, int, int]:
+def counts(text: str | Prepared | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a text."""
-    text = text or ""
-    raw = utf8(text)
-    starts, ends = word_bounds(raw)
-    n = len(starts)
-    chars = int((((raw & 0xC0) != 0x80) & ~_SPACE[raw]).sum())
+    p = prepare(text)
+    chars = int((((p.raw & 0xC0) != 0x80) & ~_SPACE[p.raw]).sum())
     seen, again = set(), 0
-    for line in text.split("\n"):
+    for line in p.text.split("\n"):
         if line.strip(SPACES):
             again += line in seen
             seen.add(line)
-    repeated = 0
-    if n >= 3:
-        _, where, met = np.unique(windows(word_hashes(raw, starts, ends, lower=False), 3), return_inverse=True, return_counts=True)
-        twice = met[where] > 1
-        if twice.any():
-            cover = np.zeros(n, dtype=bool)
-            for k in range(3):
-                cover[k : n - 2 + k] |= twice
-            repeated = int(cover.sum())
-    return n, chars, int(_SYMBOL[raw].sum()), again, repeated
+    return len(p.starts), chars, int(_SYMBOL[p.raw].sum()), again, int(p.covered.sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = linear.SAMPLE) -> linear.Scorer:
@@ -65,10 +53,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, sample: int = linear.SAMPL
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
         for frame in frames:
-            out = pd.DataFrame([counts(t) for t in frame["text"]], columns=names)
+            score, rows = linear.judged(shared.value, frame["text"], counts)
+            out = pd.DataFrame(rows, columns=names)
             out.insert(0, "doc_id", frame["doc_id"].to_numpy())
             out["base_failed"] = (out["n_words"] < LEAST_WORDS) | (100 * out["n_repeat_words"] > MOST_REPEATED * out["n_words"])
-            score = shared.value.score(linear.matrix(frame["text"].to_numpy()))
             out["kept"] = ~out["base_failed"] & (score >= THRESHOLD)
             out["score"] = score
             yield out

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from . import linear
-from .common import bounded, keep_rows, map_texts, utf8, windows, word_bounds, word_hashes
+from .common import Prepared, bounded, keep_rows, map_texts, prepare
 from .quality_rules import counts
 
 #: Texts of fewer words are too short for the labellers that need a share of words.
@@ -29,10 +29,10 @@ _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".,;:!?\"')"]] = True
 
 
-def measures(text: str | None) -> dict[str, float]:
-    raw = utf8(text or "")
-    starts, ends = word_bounds(raw)
-    n_words, word_chars, n_symbols, n_dup_lines, n_repeat = counts(text)
+def measures(text: str | Prepared | None) -> dict[str, float]:
+    p = prepare(text)
+    raw, starts, ends, h = p.raw, p.starts, p.ends, p.hashes
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat = counts(p)
     n = max(1, n_words)
     upper = ((raw >= 65) & (raw <= 90)).sum()
     letters = _LETTER[raw].sum()
@@ -42,13 +42,12 @@ def measures(text: str | None) -> dict[str, float]:
     before = raw[np.maximum(ends - 2, starts)] if n_words else raw[:0]
     solid = _LETTER | ((np.arange(256) >= 48) & (np.arange(256) < 58))
     plain = solid[last] | (_STOP[last] & solid[before])
-    h = word_hashes(raw, starts, ends, lower=False)
     return {
-        "pairs": len(np.unique(windows(h, 2))) / max(1, n_words - 1),
+        "pairs": len(np.unique(p.pairs)) / max(1, n_words - 1),
         "words": n_words, "symbols": n_symbols / n, "repeated": n_repeat / n, "upper": upper / max(1, letters),
         "variety": len(np.unique(h)) / n, "letters": letters / max(1, (raw > 32).sum()),
         "signed": (signs[ends] > signs[starts]).sum() / n if n_words else 0.0, "plain": plain.sum() / n,
-        "lines": n_dup_lines / max(1, (text or "").count("\n") + 1),
+        "lines": n_dup_lines / max(1, p.text.count("\n") + 1),
     }
 
 
@@ -71,7 +70,7 @@ LABELLERS = {
 _PLACES = 3 ** np.arange(len(LABELLERS))
 
 
-def pattern(text: str | None) -> int:
+def pattern(text: str | Prepared | None) -> int:
     """All votes on a text as one number, base 3."""
     m = measures(text)
     return int(sum((f(m) + 1) * p for f, p in zip(LABELLERS.values(), _PLACES.tolist(), strict=True)))
@@ -143,10 +142,9 @@ def classify(docs: DataFrame, sample: int = linear.SAMPLE) -> DataFrame:
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer, post = shared.value
         for frame in frames:
-            score = scorer.score(linear.matrix(frame["text"].to_numpy()))
+            score, votes = linear.judged(scorer, frame["text"], pattern)
             yield pd.DataFrame({
-                "doc_id": frame["doc_id"].to_numpy(), "posterior": [post.get(pattern(t), 0.5) for t in frame["text"]],
-                "score": score, "kept": score >= THRESHOLD,
+                "doc_id": frame["doc_id"].to_numpy(), "posterior": [post.get(v, 0.5) for v in votes], "score": score, "kept": score >= THRESHOLD,
             })
 
     return map_texts(docs, scan, "posterior double, score double, kept boolean")
