@@ -168,27 +168,37 @@ def latest_version(tb):
 
 @register(
     "append_run_log",
-    f"""with {SUMS_SQL} select 'run_1' as run_id, 1 as iter, n as n_rows, name as "table" from (
-      select 125 n, 'model' as name union all select count(distinct cell), 'delta_s' from s union all select count(*), 'weights' from bc
-      union all select count(*), 'residuals' from rs union all select count(*), 'ray_sums' from s union all select 1, 'timing') z""",
-    "observed lattice_times",
+    f"""with {SUMS_SQL}, mean as (select i % 5 i, j % 5 j, k, avg(vp) v from in_cells group by 1, 2, 3)
+    select 'run_1' as run_id, 1 as iter, name as "table", a, cell, round(v, 5) as value from (
+      select 'model' as name, null::bigint as a, (i*25+j*5+k)::bigint as cell, coalesce(v, 5000) as v from (select i, j, k from range(5) x(i), range(5) y(j), range(5) z(k)) g left join mean using (i, j, k)
+      union all select distinct 'delta_s', null, cell, null from s union all select 'weights', event_id, (i*25+j*5+k)::bigint, misfit from bc
+      union all select 'residuals', event_id, station_id, r from rs union all select 'ray_sums', station_id, cell, s from s union all select 'timing', null, null, null) u""",
+    "observed lattice_times cells",
 )
 def append_run_log(tb):
-    """One cycle on the stored fields, logged and read back: rows per stored table."""
+    """A cycle on the stored fields that is logged twice, and the rows that count; of corrections and timings only their places."""
     from ..session import materialise
     from .inversion import damped_solve, lattice_model, misfit, residuals, sums
 
     best = materialise(lo.best_cell(misfit(tb)).withColumn("weight", F.lit(1.0)), "weights")
     s, right = sums(tb)
-    cycle = tg.Step(tb.lattice_times, best, residuals(tb), materialise(s, "sums"), right, damped_solve(tb))
+    s = materialise(s, "sums")
+    cycle = tg.Step(tb.lattice_times, best, materialise(residuals(tb), "residuals"), s, right, materialise(damped_solve(tb), "delta"))
     log = rl.RunLog(tb.spark, scratch_path(tb.spark, "run"), "run_1")
     log.meta({"cycles": 1, "lambda_reg": 0.1}, {"coarse_cell_size": 500.0})
-    log.cycle(1, lattice_model(tb), cycle)
-    sizes = [
-        log.read(t).groupBy("run_id", "iter").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table", F.lit(t))
-        for t in ("model", "delta_s", "weights", "residuals", "ray_sums", "timing")
+    broken = tg.Step(cycle.fields, best.limit(5), cycle.residuals.limit(7), s.limit(3), right, cycle.correction.limit(2))
+    for done in (broken, cycle):
+        log.cycle(1, lattice_model(tb), done)
+    number, none = (F.col("i") * 25 + F.col("j") * 5 + F.col("k")).cast("long"), F.lit(None)
+    parts = {
+        "model": (none, number, F.col("vp")), "delta_s": (none, F.col("cell"), none), "weights": (F.col("event_id"), number, F.col("misfit")),
+        "residuals": (F.col("event_id"), F.col("station_id"), F.col("r")), "ray_sums": (F.col("station_id"), F.col("cell"), F.col("s")), "timing": (none, none, none),
+    }
+    rows = [
+        log.read(t).select("run_id", "iter", F.lit(t).alias("table"), a.cast("long").alias("a"), c.cast("long").alias("cell"), F.round(v.cast("double"), 5).alias("value"))
+        for t, (a, c, v) in parts.items()
     ]
-    return reduce(lambda a, b: a.unionByName(b), sizes)
+    return reduce(lambda a, b: a.unionByName(b), rows)
 
 
 @register(

@@ -7,27 +7,33 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .manifest import append_once, read_committed
+
 TIMING = "iter long, elapsed_s double"
 QUALITY = "iter long, avg_abs_pct_dev double"
 
 
 class RunLog:
-    """Writes each cycle of a run below one folder, partitioned by run and iteration."""
+    """Writes each cycle of a run below one folder, partitioned by run and iteration.
+
+    Every table is an append with a manifest: a cycle that is logged again, after a failure or a restart, replaces its rows.
+    """
+
+    KEYS = ["run_id", "iter"]
 
     def __init__(self, spark: SparkSession, folder: str, run_id: str, truth: DataFrame | None = None):
         self.spark, self.folder, self.run_id, self.truth = spark, folder, run_id, truth
         self._since = time.monotonic()
 
     def _append(self, df: DataFrame, table: str, iteration: int) -> None:
-        df.select("*", F.lit(self.run_id).alias("run_id"), F.lit(iteration).alias("iter")).write.mode("append").partitionBy(
-            "run_id", "iter"
-        ).parquet(f"{self.folder}/{table}")
+        named = df.select("*", F.lit(self.run_id).alias("run_id"), F.lit(iteration).alias("iter"))
+        append_once(named, f"{self.folder}/{table}", self.KEYS)
 
     def meta(self, params: dict, grid: dict) -> None:
         row = self.spark.range(1).select(
             F.lit(self.run_id).alias("run_id"), F.lit(json.dumps(params)).alias("params"), F.lit(json.dumps(grid)).alias("grid_info")
         )
-        row.write.mode("append").parquet(f"{self.folder}/meta")
+        append_once(row, f"{self.folder}/meta", ["run_id"])
 
     def cycle(self, iteration: int, model: DataFrame, step) -> None:
         """Model before the step, correction, weights, residuals, ray sums, timing and quality."""
@@ -45,7 +51,9 @@ class RunLog:
             self._append(model_deviation(model, self.truth, [], ["i", "j", "k"]), "quality", iteration)
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}").filter(F.col("run_id") == self.run_id)
+        """Valid rows of this run."""
+        keys = ["run_id"] if table == "meta" else self.KEYS
+        return read_committed(self.spark, f"{self.folder}/{table}", keys).filter(F.col("run_id") == self.run_id)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
