@@ -56,3 +56,13 @@ def test_odd_rows(spark, model):
     assert li.identify(docs.limit(0)).count() == 0
     nothing = li.identify(docs.where("lang = 'none'"), li.fit([]))
     assert nothing.count() == 0 and li.judge(li.fit([]), ["the"])[0] == ["und"]
+
+
+def test_numerals_are_no_letters(spark):
+    docs = spark.createDataFrame(
+        [(i, t, lang) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 20)]
+        + [(100, "² ³", "en"), (101, "½ ² ③ 7 _", None), (102, "ª", None), (103, "", None), (104, None, "fr")],
+        "doc_id long, text string, lang string",
+    )
+    got = {r["doc_id"]: r["lang_pred"] for r in li.identify(docs).collect()}
+    assert [got[i] for i in (100, 101, 103, 104)] == ["und"] * 4 and got[102] in ("en", "fr") and got[0] in ("en", "fr")

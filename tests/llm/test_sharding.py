@@ -44,3 +44,21 @@ def test_odd_rows(spark):
     got, load = check(sh.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, shard string"), 3), 3)
     assert len(got) == 5 and sum(load) == 2 + 2 + 2 + 1 + 1
     assert sh.shard_documents(spark.createDataFrame([], "doc_id long, text string"), 3).count() == 0
+
+
+def test_a_second_run_edits_the_stored_map(spark):
+    """The stored map is loaded: no row comes twice, slots keep their shard where balance allows, and a further shard only takes."""
+    from tremolite.llm.sharding import newest_map, shard_documents
+    from tremolite.session import scratch_path
+
+    docs = spark.createDataFrame([(i, "x" * (i % 97)) for i in range(400)], "doc_id long, text string")
+    path = scratch_path(spark, "slot-map")
+    first = {r["doc_id"]: r["shard"] for r in shard_documents(docs, 3, 64, path).collect()}
+    version, owners = newest_map(spark, path)
+    again = shard_documents(docs, 3, 64, path).collect()
+    assert len(again) == 400 and {r["doc_id"]: r["shard"] for r in again} == first and newest_map(spark, path) == (version, owners)
+    more = {r["doc_id"]: r["shard"] for r in shard_documents(docs, 4, 64, path).collect()}
+    assert len(more) == 400 and newest_map(spark, path)[0] == version + 1
+    assert sum(more[i] == 3 for i in more) > 0 and sum(more[i] == first[i] for i in more) >= 250
+    fewer = {r["doc_id"]: r["shard"] for r in shard_documents(docs, 2, 64, path).collect()}
+    assert set(fewer.values()) == {0, 1}

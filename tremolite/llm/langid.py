@@ -228,7 +228,7 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]
     names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
     words, lengths, owner, real = [], [], [], []
     for i, text in enumerate(texts):
-        if text and model.languages and _LETTER.search(text):
+        if text and model.languages and any(map(str.isalpha, text)):
             real.append(i)
             for line in text.split("\n"):
                 w = words_of(line)

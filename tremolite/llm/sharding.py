@@ -6,6 +6,7 @@ DataFrame functions only. The one table that reaches the driver has a row per sl
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path
@@ -74,12 +75,45 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("version") == version).select("virtual_slot", "shard")
 
 
+def newest_map(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
+    """Version and owners of the newest map at `path`, one row per slot; version 0 and no owners where there is none."""
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:
+        return 0, {}
+    version = stored.agg(F.max("version")).first()[0]
+    if version is None:
+        return 0, {}
+    return version, {r["virtual_slot"]: r["shard"] for r in load_map(spark, path, version).collect()}
+
+
+def rebalance(spark: SparkSession, path: str, weight: dict[int, int], shards: int, slots: int = SLOTS) -> int:
+    """Edit the newest stored map to the bytes per slot, store the result and return its version.
+
+    The first map deals the slots in turn. Slots of shards that are no more are dealt in turn; a map that needs no edit gets no new
+    version.
+    """
+    version, owners = newest_map(spark, path)
+    if not owners:
+        version, owners = 1, dict(enumerate(even_map(shards, slots)))
+        store_map(spark, even_map(shards, slots), version, path)
+    if len(owners) != slots:
+        raise ValueError(f"the stored map has {len(owners)} slots, not {slots}")
+    old = [owners[s] for s in range(slots)]
+    new = edit_map([k if k < shards else s % shards for s, k in enumerate(old)], weight, shards)
+    if new == old:
+        return version
+    store_map(spark, new, version + 1, path)
+    return version + 1
+
+
 def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """Put every row of `docs` (doc_id, text) into one of `shards` shards of nearly equal bytes.
 
     Returns doc_id, size, text_crc32, law (`bytes`), shard, slot (the record's place in its shard, from 0 without gaps),
     grown_shard (null) and virtual_slot. Version 1 of the map deals the slots in turn, version 2 is edited to equal bytes; both
-    are stored at `path`. A null or empty text has size 1; rows with null ids spread by their texts; repeated rows keep
+    are stored at `path`. A later call with that `path` loads the newest map and edits it further. Equal texts spread over slots by
+    their ids; rows with equal id and text stay in one slot. A null or empty text has size 1; rows with null ids spread by their texts; repeated rows keep
     their places side by side in one slot; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -87,10 +121,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, slots: int = SLOTS, path:
     recs = records(docs, slots)
     sums = slot_bytes(recs)
     weight = {r["virtual_slot"]: r["bytes"] for r in sums.collect()}
-    first = even_map(shards, slots)
-    store_map(spark, first, 1, path)
-    store_map(spark, edit_map(first, weight, shards), 2, path)
-    owned = load_map(spark, path, 2)
+    owned = load_map(spark, path, rebalance(spark, path, weight, shards, slots))
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.join(owned, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
