@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from tremolite.llm import jaccard as jc
-from tremolite.llm.common import read
+from tremolite.llm.common import read, shingle_set, shingle_sets
 from tremolite.llm.components import components
 
 
@@ -118,3 +118,22 @@ def test_one_of_each_stays(spark, sf):
     rows = [(None, t, 1), (7, t, 2), (7, t, 2), (9, t + " z", 3), (None, "one two", 4), (None, "one two", 4), (None, None, 5), (3, "", 6)]
     got = jc.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
     assert sorted(r["n"] for r in got) == [2, 4, 5, 6]
+
+
+@pytest.mark.parametrize("chars", [1, 25, 10**6])
+def test_sets_of_many_texts_are_those_of_each(chars):
+    rng = random.Random(chars)
+    texts = [None if rng.random() < 0.1 else "".join(rng.choices("ab C\n\té\udc80", k=rng.randint(0, 40))) for _ in range(300)]
+    together = list(shingle_sets(texts, 5, chars))
+    assert len(together) == 300 and all(np.array_equal(a, shingle_set(t)) for a, t in zip(together, texts, strict=True))
+    assert list(shingle_sets([])) == []
+
+
+def test_large_ids_beside_nulls_and_clashing_names(spark):
+    one, two = "a b c d e f g h i j k", "l m n o p q r s t u v"
+    rows = [(9007199254740993, one, 1, 2), (9007199254740995, one, 1, 2), (None, two, 1, 2), (9007199254740997, None, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp_ int, row_ int")
+    got = {r["doc_id"]: r["component_id"] for r in jc.jaccard_join(docs).collect()}
+    assert got == {9007199254740993: 9007199254740993, 9007199254740995: 9007199254740993, None: None, 9007199254740997: 9007199254740997}
+    kept = jc.one_of_each(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {9007199254740993, None, 9007199254740997}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -99,6 +100,37 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(windows(word_hashes(raw, *word_bounds(raw)), width))
 
 
+def shingle_sets(texts: Iterable[str | None], width: int = 5, chars: int = 200_000) -> Iterator[np.ndarray]:
+    """`shingle_set` of every text. Texts are hashed together, about `chars` characters at a time: short ones share the calls."""
+    rest: list[str] = []
+    size = 0
+    for text in texts:
+        rest.append(text or "")
+        size += len(rest[-1])
+        if size >= chars:
+            yield from _sets_together(rest, width)
+            rest, size = [], 0
+    if rest:
+        yield from _sets_together(rest, width)
+
+
+def _sets_together(texts: list[str], width: int) -> Iterator[np.ndarray]:
+    raw = utf8(" ".join(texts))
+    starts, ends = word_bounds(raw)
+    h = word_hashes(raw, starts, ends)
+    sizes = [len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts]
+    first = np.searchsorted(starts, np.cumsum([0, *sizes]))  # the first word of each text, then the number of words
+    whole = windows(h, width) if len(h) >= width else h[:0]
+    for a, b in itertools.pairwise(first.tolist()):
+        s = np.sort(whole[a : b - width + 1]) if b - a >= width else windows(h[a:b], width)
+        if len(s) > 1:
+            new = np.empty(len(s), dtype=bool)
+            new[0] = True
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            s = s[new]
+        yield s
+
+
 class Prepared:
     """A text with what several measures need, each part made once: bytes, words, hashes and repeated three-word windows."""
 
@@ -135,6 +167,14 @@ def prepare(text: str | Prepared | None) -> Prepared:
     return text if isinstance(text, Prepared) else Prepared(text)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with as many underscores before it as no column of `df` has (letter case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc(value: object) -> int:
     """crc32 of a value's text."""
     return zlib.crc32(str(value).encode())

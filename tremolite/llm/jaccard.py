@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import materialise
-from .common import bounded, mix, shingle_set
+from .common import bounded, free_name, map_texts, mix, shingle_sets
 from .components import components
 
 #: Link where 100 * shared >= PERCENT * union.
@@ -61,12 +61,14 @@ def profile(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles and the fingerprint of the set (null: no words)."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in bounded(frames):
-            sets = [shingle_set(t, width) for t in frame["text"]]
-            fp = pd.array([fingerprint(s) if len(s) else None for s in sets], dtype="Int64")
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_shingles": [len(s) for s in sets], "fp": fp})
+        for frame in frames:
+            sizes, fps = [], []
+            for s in shingle_sets(frame["text"], width):
+                sizes.append(len(s))
+                fps.append(fingerprint(s) if len(s) else None)
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_shingles": sizes, "fp": pd.array(fps, dtype="Int64")})
 
-    return docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, n_shingles long, fp long")
+    return map_texts(docs, scan, "n_shingles long, fp long")
 
 
 def short_lists(docs: DataFrame, width: int, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -77,8 +79,7 @@ def short_lists(docs: DataFrame, width: int, known: tuple[np.ndarray, np.ndarray
         hashes, counts = shared.value
         for frame in bounded(frames):
             seen, out = set(), []
-            for text in frame["text"]:
-                s = shingle_set(text, width)
+            for s in shingle_sets(frame["text"], width):
                 n = len(s)
                 if not n or (fp := fingerprint(s)) in seen:
                     continue
@@ -294,7 +295,7 @@ def wanted_sets(docs: DataFrame, width: int, ids: DataFrame) -> DataFrame:
         for frame in bounded(frames):
             bit = frame["bit"].to_numpy(dtype=np.int64)
             hit = (shared.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-            sets = {fingerprint(s): s.tobytes() for t in frame["text"][hit.astype(bool)] if len(s := shingle_set(t, width))}
+            sets = {fingerprint(s): s.tobytes() for s in shingle_sets(frame["text"][hit.astype(bool)], width) if len(s)}
             if sets:
                 yield pd.DataFrame({"fp": list(sets.keys()), "grams": list(sets.values())})
 
@@ -353,21 +354,23 @@ def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of `docs` that stay when one row of each component does, all columns unchanged.
 
     The row with the smallest id stays, one of them where it is repeated; ids that are null come last. Rows without words stay.
+    Other columns may have any names.
     """
     _, grouped = _grouped(docs.select("doc_id", "text"), width)
+    fp, row = free_name(docs, "fp_"), free_name(docs, "row_")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
-    mark = F.xxhash64("_fp", "doc_id")
-    keep = grouped.groupBy("label").agg(first).select(F.col("first.fp").alias("_fp"), F.col("first.doc_id").alias("doc_id"))
-    keep = keep.select("_fp", mark.alias("_row"))
+    keep = grouped.groupBy("label").agg(first).select(F.col("first.fp").alias(fp), F.col("first.doc_id").alias("doc_id"))
+    mark = F.xxhash64(fp, "doc_id")
+    keep = keep.select(fp, mark.alias(row))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
-                sets = [shingle_set(t, width) for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+                sets = shingle_sets(part.column(part.schema.get_field_index("text")).to_pylist(), width)
                 fps = pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, fps], names=[*part.schema.names, "_fp"])
+                yield pa.RecordBatch.from_arrays([*part.columns, fps], names=[*part.schema.names, fp])
 
-    tagged = docs.mapInArrow(tag, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-    kept = tagged.where("_fp is not null").withColumn("_row", mark).join(keep, ["_fp", "_row"]).dropDuplicates(["_fp", "_row"])
-    return kept.select(docs.columns).union(tagged.where("_fp is null").select(docs.columns))
+    tagged = docs.mapInArrow(tag, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    kept = tagged.where(F.col(fp).isNotNull()).withColumn(row, mark).join(keep, [fp, row]).dropDuplicates([fp, row])
+    return kept.select(docs.columns).union(tagged.where(F.col(fp).isNull()).select(docs.columns))
