@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
-from .common import bounded
+from .common import map_texts
 
 #: Pieces of a chunk; islands of a chunk; epochs between migrations; genomes and crossovers of an epoch.
 CHUNK, ISLANDS, EPOCHS, GENOMES, CROSSOVERS = 2048, 2, 2, 3, 12
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = word_ids(tokenizer)
-        for frame in bounded(frames):
+        for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
                 data = ids.of(text or "") + b"\0\0\0\0"
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int) -> DataFrame:
                     rows.append((doc_id, k, a // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(scan, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_texts(docs, scan, "piece int, start long, length long, ids_crc32 long")
 
 
 Bins = list[list[int]]
