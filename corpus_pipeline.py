@@ -9,7 +9,7 @@ from tremolite.llm.common import read
 from tremolite.llm.decontamination import drop_contaminated
 from tremolite.llm.jaccard import one_of_each
 from tremolite.llm.packing import pack_documents
-from tremolite.llm.pii import sanitise
+from tremolite.llm.pii import sanitised
 from tremolite.llm.weak_labels import keep_good
 from tremolite.session import scratch_path, tune
 
@@ -31,7 +31,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and terms that disclose it are replaced; n_chars follows the new text."""
-    clean = sanitise(docs).withColumn("text", F.col("clean"))
+    clean = sanitised(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return clean.select(docs.columns)

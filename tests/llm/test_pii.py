@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -90,3 +91,77 @@ def test_copies_and_repeats_change_no_share(spark):
     few = [(i, f"{'kestrel ' * 10} a{i} jo@mail.example.com") for i in range(3)] + [(10 + i, f"plain text {i} u{i}@x.example") for i in range(60)]
     told = lambda rows: {(s["start"], s["kind"]) for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").collect() for s in r["spans"]}
     assert told(few) == told(few + few[:1] * 1000) and len(told(few)) == 11
+
+
+def test_near_copies_disclose_nothing(spark):
+    """Many words are shared by near copies that hold one entity; none is a term, not even in other texts."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    body = [word() for _ in range(120)]
+    rows = []
+    for i in range(12):
+        copy = list(body)
+        copy[rng.randrange(120)] = word()
+        rows.append((i, " ".join(copy) + " a@mail.example.com"))
+    rows += [(100 + i, " ".join(word() for _ in range(60)) + f" u{i}@mail.example.com") for i in range(60)]
+    rows += [(200, f"{body[3]} stays as {body[70]} does")]
+    # Two classes of near copies share one entity and one word: that one discloses it.
+    rows += [(300 + 10 * k + i, " ".join([f"top{k}{i}", *[f"w{k}x{j}" for j in range(60)], "heron", "b@mail.example.com"])) for k in range(2) for i in range(3)]
+    got = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = {s["value"] for r in got.values() for s in r["spans"] if s["kind"] >= 4}
+    assert terms == {"heron"} == set(plain_terms([t for _, t in rows]))
+    assert got[200]["clean"] == rows[72][1]
+
+
+def plain_terms(texts):
+    """The disclosing terms by plain counts: near copies are texts that share half of their three-word runs."""
+    texts = sorted({t for t in texts if t})
+    entities = [{t[a:b] for a, _, b in slow(t)} for t in texts]
+    rest = []
+    for t in texts:
+        for a, _, b in slow(t):
+            t = t[:a] + " " * (b - a) + t[b:]
+        rest.append([w.lower() for w in re.findall(r"[^\W_]+", t)])
+    n, t_count, pairs, holders = max(2, len(texts) - 1), {}, {}, {}
+    for k, ws in enumerate(rest):
+        for w in {w for w in ws if len(w) >= 3}:
+            t_count[w] = t_count.get(w, 0) + 1
+            for e in entities[k]:
+                pairs.setdefault((e, w), []).append(k)
+        for e in entities[k]:
+            holders.setdefault(e, []).append(k)
+    runs = lambda k: {tuple(rest[k][i : i + 3]) for i in range(len(rest[k]))}
+
+    def unlike(ks):
+        first = runs(ks[0])
+        return any(2 * len(first & runs(k)) <= len(runs(k)) for k in ks[1:])
+
+    out = {}
+    for (e, w), ks in pairs.items():
+        others = len(holders[e]) - 1
+        if len(ks) > 1 and unlike(ks):
+            share = math.log2((len(ks) - 1) * n / (others * (t_count[w] - 1))) / max(math.log2(n / others), 1e-9)
+            if share >= pii.GENERALISE:
+                out[w] = max(out.get(w, 0), share)
+    return out
+
+
+def test_terms_of_a_whole_table_match_plain_counts(spark, sf):
+    """A whole table, with entities that also stand in other texts beside a word of their own."""
+    docs = [(r["doc_id"], r["text"]) for r in read(spark, sf, "documents").select("doc_id", "text").collect()]
+    held = [t for _, t in docs if t and slow(t)]
+    docs += [(10_000_000 + i, f"{t[a:b]} belongs to kestrelov{i % 2} and to number {i}") for i, t in enumerate(held[:20]) for a, _, b in slow(t)[:1]]
+    docs += [(20_000_000 + i, f"quite another text, kestrelov{i % 2}, for {t[a:b]} in line {i}") for i, t in enumerate(held[:2]) for a, _, b in slow(t)[:1]]
+    got = pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).selectExpr("explode(spans) as s").where("s.kind > 3")
+    assert {r[0] for r in got.select("s.value").distinct().collect()} == set(plain_terms([t for _, t in docs]))
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    rows = [(2**53 + 1, "write to jo@mail.example.com", 28, 1, "b", None, "x", 4), (None, None, 0, 2, "", None, None, None), (5, "", 0, 3, "", None, "z", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, terms int, text_hash string, base string, spans string, kin long")
+    out = corpus_pipeline.personal_data(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(2**53 + 1, "write to [EMAIL]", 16, 1, "b", None, "x", 4), rows[1], rows[2]]
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[3]) == want

@@ -3,7 +3,9 @@
 A term t discloses an entity c by their pointwise mutual information, log2(p(c, t) / (p(c) p(t))), measured against the
 entity's information -log2 p(c): at 1 the term never stands without the entity. All probabilities are counts of different
 texts, each word once per text and outside entities, so copies and repeats are no evidence. They are smoothed by leaving out
-one text each: a pair seen in one text only says nothing. Terms from `GENERALISE` of the entity's information on are replaced
+one text each: a pair seen in one text only says nothing. Neither does a pair seen in near copies of one text only, which share
+nearly all their words: the texts that hold entities are put into classes by sketches of their word runs, and a pair counts where
+texts of two classes hold it. Terms from `GENERALISE` of the entity's information on are replaced
 by their class, from `REMOVE` on they are removed, at every place of every text.
 
 DataFrame functions only.
@@ -14,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
+from .components import components
 
 # The kinds in their listed order. Possessive quantifiers and the look-behinds change no match; they keep the
 # matcher from recursion and from trying every place of a long run.
@@ -25,6 +28,8 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 
 #: Words, and the characters of the shortest term.
 WORD, SHORTEST = r"[\p{L}\p{N}]++", 3
+#: Near copies are told by runs of RUN words: of those of a text, the SKETCH smallest hashes.
+RUN, SKETCH = 3, 64
 #: Shares of the entity's information.
 GENERALISE, REMOVE = 0.7, 0.95
 
@@ -121,29 +126,76 @@ def terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(words(text), F.lower)), lambda w: F.length(w) >= SHORTEST)
 
 
+def sketch(text: Column) -> Column:
+    """The SKETCH smallest hashes of a text's runs of RUN words (shorter ones at its end); empty without words."""
+    h = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(F.lower(w)))
+    runs = h
+    for k in range(1, RUN):
+        runs = F.zip_with(runs, F.slice(h, k + 1, F.size(h)), lambda a, b: F.xxhash64(a, b))
+    return F.slice(F.array_sort(F.array_distinct(runs)), 1, SKETCH)
+
+
+def near_copies(holders: DataFrame) -> DataFrame:
+    """(text_hash, kin): a class of near copies for every row of `holders` (text_hash, sketch).
+
+    The smallest text that has a run leads it. A text is tied to the one that leads more than half of its sketch, and tied texts
+    are one class.
+    """
+    runs = holders.select("text_hash", F.explode("sketch").alias("run"))
+    leaders = runs.groupBy("run").agg(F.min("text_hash").alias("leader"))
+    led = runs.join(leaders, "run").groupBy("text_hash", "leader").agg(F.count(F.lit(1)).alias("n"))
+    most = led.groupBy("text_hash").agg(F.max(F.struct("n", "leader")).alias("most"), F.sum("n").alias("all"))
+    ties = most.where("2 * most.n > all and most.leader <> text_hash").select(F.col("text_hash").alias("a"), F.col("most.leader").alias("b"))
+    labels = components(materialise(ties, "pii-ties")).select(F.col("v").alias("text_hash"), "label")
+    return holders.select("text_hash").join(labels, "text_hash", "left").select("text_hash", F.coalesce("label", "text_hash").alias("kin"))
+
+
 def disclosures(texts: DataFrame) -> DataFrame:
     """(entity, term, share): terms that carry at least GENERALISE of an entity's information.
 
-    `texts`: (text_hash, rest, entities), one row per different text: the text without its entities, and these.
+    `texts`: (text_hash, rest, entities, sketch), one row per different text: the text without its entities, these, and the
+    sketch of it.
     """
     n = float(max(2, texts.count() - 1))
     # One count of all words of the corpus, by their hashes: partial sums shrink it before the shuffle.
     codes = F.transform(terms(F.col("rest")), lambda w: F.xxhash64(w))
     seen = texts.select(F.explode(codes).alias("code")).groupBy("code").agg((F.count(F.lit(1)) - 1).alias("t")).where("t > 0")
     holders = texts.where(F.size("entities") > 0)
-    mentions = holders.select("text_hash", F.explode("entities").alias("entity"))
-    others = mentions.groupBy("entity").agg((F.count(F.lit(1)) - 1).alias("e")).where("e > 0")
+    kin = materialise(near_copies(holders), "pii-kin")
+    mentions = holders.select("text_hash", F.explode("entities").alias("entity")).join(kin, "text_hash")
+    two = (F.min("kin") < F.max("kin")).alias("two")
+    others = mentions.groupBy("entity").agg((F.count(F.lit(1)) - 1).alias("e"), two).where("e > 0 and two").drop("two")
     near = holders.select("text_hash", F.explode(terms(F.col("rest"))).alias("term")).withColumn("code", F.xxhash64("term"))
     # No text but the one at hand, no evidence. As a pair has no more texts than its entity, a term in more than
     # n^(1 - GENERALISE) e^GENERALISE other texts can't reach the share; this leaves out no pair that could.
     could = F.col("t") <= F.lit(n ** (1 - GENERALISE) * 1.000001) * F.pow(F.col("e").cast("double"), F.lit(GENERALISE))
     pair = mentions.join(others, "entity").join(near.join(seen, "code"), "text_hash").where(could)
-    pair = pair.groupBy("entity", "term", "e", "t").agg((F.count(F.lit(1)) - 1).alias("both")).where("both > 0")
+    pair = pair.groupBy("entity", "term", "e", "t").agg((F.count(F.lit(1)) - 1).alias("both"), two).where("both > 0 and two")
     mutual = F.log2(F.col("both") * F.lit(n) / (F.col("e") * F.col("t").cast("double")))
     share = F.least(mutual / F.greatest(F.log2(F.lit(n) / F.col("e")), F.lit(1e-9)), F.lit(1.0))
     return pair.select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE)
 
 
+def _scanned(docs: DataFrame) -> DataFrame:
+    """(row, base, spans): every row of `docs` as a struct, and what stands in its text; no column of `docs` can clash."""
+    text, key = F.col("row.text"), ["of_id", "text_hash"]
+    found = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    found = found.select("row", F.col("row.doc_id").alias("of_id"), F.xxhash64("row.text").alias("text_hash"), base_spans(text).alias("base"))
+    rest = blanked(text, F.col("base"))
+    once = found.where(text.isNotNull()).select("text_hash", rest.alias("rest"), F.array_distinct(F.col("base.value")).alias("entities"))
+    once = once.groupBy("text_hash").agg(F.first("rest").alias("rest"), F.first("entities").alias("entities"))
+    once = once.withColumn("sketch", F.when(F.size("entities") > 0, sketch(F.col("rest"))))
+    told = disclosures(materialise(once, "pii-texts")).groupBy("term").agg(F.max("share").alias("share"))
+    told = materialise(told.select(F.xxhash64("term").alias("code"), (F.col("share") >= REMOVE).alias("out")), "pii-terms")
+    # Words as they are spelt in a row, so that a pattern of them finds all their places and nothing else.
+    spelt = found.select(*key, F.explode(words(rest)).alias("word")).withColumn("code", F.xxhash64(F.lower("word")))
+    extra = spelt.join(told, "code").groupBy(*key).agg(*(F.collect_set(F.when(F.col("out") == out, F.col("word"))).alias(c) for c, out in (("general", False), ("gone", True))))
+    same = found["of_id"].eqNullSafe(extra["of_id"]) & (found["text_hash"] == extra["text_hash"])
+    whole = found.join(extra, same, "left").select(found["row"], found["base"], extra["general"], extra["gone"])
+    more = F.concat(placed(rest, F.col("general"), 4), placed(rest, F.col("gone"), 5))
+    return whole.select("row", "base", F.array_sort(F.concat("base", more)).alias("spans"))
+
+
 def sanitise(docs: DataFrame) -> DataFrame:
     """`docs` with `base` and `spans` (sorted structs start, kind, end, value) and `clean`, the sanitised text.
 
@@ -152,23 +204,14 @@ def sanitise(docs: DataFrame) -> DataFrame:
     doc_id and text, so ids may be null or repeated; equal rows get equal results. An empty table gives no rows. Other columns
     stay, but for clashing names of the three new ones.
     """
-    key = ["doc_id", "text_hash"]
-    docs = docs.drop("base", "spans", "clean", "text_hash", "terms")
-    found = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("base", base_spans(F.col("text")))
-    rest = blanked(F.col("text"), F.col("base"))
-    once = found.where(F.col("text").isNotNull()).select("text_hash", rest.alias("rest"), F.array_distinct(F.col("base.value")).alias("entities"))
-    once = once.groupBy("text_hash").agg(F.first("rest").alias("rest"), F.first("entities").alias("entities"))
-    told = disclosures(materialise(once, "pii-texts")).groupBy("term").agg(F.max("share").alias("share"))
-    told = materialise(told.select(F.xxhash64("term").alias("code"), (F.col("share") >= REMOVE).alias("out")), "pii-terms")
-    # Words as they are spelt in a row, so that a pattern of them finds all their places and nothing else.
-    spelt = found.select(*key, F.explode(words(rest)).alias("word")).withColumn("code", F.xxhash64(F.lower("word")))
-    extra = spelt.join(told, "code").groupBy(*key).agg(*(F.collect_set(F.when(F.col("out") == out, F.col("word"))).alias(c) for c, out in (("general", False), ("gone", True))))
-    extra = extra.select(F.col("doc_id").alias("of_id"), F.col("text_hash").alias("of_hash"), "general", "gone")
-    same = found["doc_id"].eqNullSafe(extra["of_id"]) & (found["text_hash"] == extra["of_hash"])
-    whole = found.join(extra, same, "left").select(*(found[c] for c in found.columns), extra["general"], extra["gone"])
-    more = F.concat(placed(rest, F.col("general"), 4), placed(rest, F.col("gone"), 5))
-    whole = whole.withColumn("spans", F.array_sort(F.concat("base", more))).drop("general", "gone", "text_hash")
-    return whole.withColumn("clean", rewritten(F.col("text"), F.col("spans")))
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("base", "spans", "clean")]
+    return _scanned(docs).select(*others, "base", "spans", rewritten(F.col("row.text"), F.col("spans")).alias("clean"))
+
+
+def sanitised(docs: DataFrame) -> DataFrame:
+    """`docs` with the sanitised text in place of the text; all other columns unchanged, whatever their names. See `sanitise`."""
+    clean = rewritten(F.col("row.text"), F.col("spans"))
+    return _scanned(docs).select(*((clean if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def placed(text: Column, listed: Column, kind: int) -> Column:
