@@ -57,3 +57,26 @@ def test_rows(spark, sf):
     assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
     assert {r["doc_id"]: r["held_out"] for r in got if r["doc_id"]} == {d: zlib.crc32(str(d).encode()) % 5 == 0 for d in (1, 5, 7)}
     assert tx.score_toxicity(docs.limit(0), none).count() == 0
+
+
+def test_threats_of_several_words():
+    assert marks("they will be killed") == ["Tt"] and marks("she was killed there") == []
+    assert marks("I\u2019ll make you pay") == ["Tt"] and marks("I will pay the bill") == [] and marks("you pay well") == []
+    assert marks("I don\u2019t kill flies") == ["Tn"] and marks("we are not gonna hurt anyone") == ["Tn"]
+    assert marks("he claims they must be destroyed") == ["Trt"] and marks("the beatles will play") == []
+
+
+def test_clauses_match_plain_windows():
+    """Circumstances of every match of random clauses, by looking at the words around it."""
+    rng = np.random.default_rng(3)
+    step, on = tx.GRAMMAR
+    for _ in range(400):
+        c = rng.integers(0, tx.CLASSES, rng.integers(0, 25)).tolist()
+        near = lambda i, reach, *kinds: any(x in kinds for x in c[max(0, i - reach) : i])  # noqa: B023, E731
+        want = []
+        for i, x in enumerate(c):
+            before, intended = near(i, 5, tx.TARGET), near(i, 4, tx.MARKER)
+            bits = [near(i, 3, tx.NEGATOR), near(i, i, tx.REPORT), before or tx.TARGET in c[i + 1 : i + 6], near(i, 3, tx.INSULT, tx.INTENSIFIER), intended]
+            if x in (tx.INSULT, tx.THREAT) or x == tx.HARM and intended or x == tx.CONSEQUENCE and intended and before:
+                want.append((i, tx.INSULT if x == tx.INSULT else tx.THREAT, sum(b << k for k, b in enumerate(bits))))
+        assert list(tx.matches(c, step, on)) == want

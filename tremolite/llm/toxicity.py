@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five machines read the words of a clause as classes: insults, threats, targets, negators and speech verbs. Negation, reported
-speech and targets are small machines of their own; their product tells, at each insult or threat, whether it is negated,
-reported or aimed at someone. A clause scores its matches by these circumstances, not its words one by one. Insult stems and
-their weights, and the weight of each circumstance, are learned from labelled texts.
+Five machines read the words of a clause as classes, and their product runs over it once. The insult machine marks what follows
+an intensifier or another insult; the threat machine what follows a modal, future or causing word; the others what is negated,
+reported or near a target. A verb of harm is a threat in its base form, in other forms ("killed") behind such a word only; a verb
+of consequence ("pay") only behind one and a target ("make you pay"). A clause scores its matches by these circumstances, not its
+words one by one. Insult stems and their weights, and the weight of each circumstance, are learned from labelled texts.
 """
 
 from __future__ import annotations
@@ -30,13 +31,19 @@ INSULTS = ("idiot idiots idiotic moron morons stupid scum loser losers pathetic
            "idiotin dumm dummkopf trottel abschaum versager widerlich wertlos connard imbécile stupide ordure minable dégoûtant "
            "estúpido estúpida imbécil idiota escoria asqueroso inútil").split()
 THREATS = "kill hurt destroy beat töten umbringen schlagen zerstören tuer frapper détruire matar golpear destruir".split()
+HARM_STEMS = "kill hurt destroy beat murder stab smash töte getöte umbring umgebracht schlag geschlagen zerstör frapp détrui golpe destrui destruy".split()
+CONSEQUENCES = "pay suffer regret bleed bezahlen büßen leiden bereuen payer souffrir regretter pagar sufrir lamentar".split()
+MARKERS = ("will shall gonna going must should make i'll we'll werde werden wird wirst sollst muss lass vais allons va vas dois "
+           "faire voy vamos vas debes haré").split()
+INTENSIFIERS = "such so very really fucking total totally absolute complete piece so völlig total absolut tellement très vraiment muy tan totalmente".split()
 TARGETS = ("you your yours he she they them him her those these people du dich dir ihr euch sie er ihn tu te toi vous ils elles "
            "elle lui eux tú ti usted ustedes ellos ellas él ella").split()
 NEGATORS = "not no never neither nor isn't aren't wasn't don't nicht kein keine nie niemals pas jamais aucun nunca ningún ni sin".split()
 SPEECH = ("said says called claims claimed wrote quoted alleged sagte nannte behauptete schrieb dit appelé écrit prétend "
           "dijo llamó escribió afirma").split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORT = range(6)
+CLASSES = 10
+OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORT, HARM, CONSEQUENCE, MARKER, INTENSIFIER = range(CLASSES)
 
 
 @dataclass(frozen=True)
@@ -47,32 +54,40 @@ class Machine:
     on: frozenset[int]
 
 
-def countdown(trigger: int, reach: int) -> Machine:
+def countdown(trigger: int | tuple[int, ...], reach: int) -> Machine:
     """Marked from a trigger word until `reach` words later."""
-    rows = [[reach if c == trigger else max(0, s - 1) for c in range(6)] for s in range(reach + 1)]
+    triggers = trigger if isinstance(trigger, tuple) else (trigger,)
+    rows = [[reach if c in triggers else max(0, s - 1) for c in range(CLASSES)] for s in range(reach + 1)]
     return Machine(tuple(map(tuple, rows)), frozenset(range(1, reach + 1)))
 
 
 def latch(trigger: int) -> Machine:
     """Marked from a trigger word to the end of the clause."""
-    return Machine((tuple(1 if c == trigger else 0 for c in range(6)), (1,) * 6), frozenset({1}))
+    return Machine((tuple(1 if c == trigger else 0 for c in range(CLASSES)), (1,) * CLASSES), frozenset({1}))
 
 
 def compose(machines: tuple[Machine, ...]) -> tuple[np.ndarray, np.ndarray]:
     """The product machine: next state by (state, class), and for each state a bit per machine that is marked."""
     states = list(product(*(range(len(m.step)) for m in machines)))
     number = {s: i for i, s in enumerate(states)}
-    step = np.array([[number[tuple(m.step[x][c] for m, x in zip(machines, s, strict=True))] for c in range(6)] for s in states])
+    step = np.array([[number[tuple(m.step[x][c] for m, x in zip(machines, s, strict=True))] for c in range(CLASSES)] for s in states])
     marks = np.array([sum((x in m.on) << k for k, (m, x) in enumerate(zip(machines, s, strict=True))) for s in states])
     return step, marks
 
 
-#: Negation reaches three words, a target five; reported speech lasts to the end of its clause.
-GRAMMAR = compose((countdown(NEGATOR, 3), latch(REPORT), countdown(TARGET, 5)))
-#: Features: a count for each kind of match in each circumstance, whether any, and the heaviest clause.
-N_FEATURES = 2 * 8 + 2
+#: Negation reaches three words, a target five, an insult or intensifier three, a marker four; reported speech lasts to the end
+#: of its clause. The bits of a mark, in this order.
+GRAMMAR = compose((countdown(NEGATOR, 3), latch(REPORT), countdown(TARGET, 5), countdown((INSULT, INTENSIFIER), 3), countdown(MARKER, 4)))
+NEGATED, REPORTED, TARGETED, PRESSED, INTENDED = (1 << k for k in range(5))
+#: Features: a count for each kind of match in each of the first three circumstances, whether there is an insult, the heaviest
+#: clause, pressed insults and intended threats.
+N_FEATURES = 2 * 8 + 4
 
-_FIXED = {w: c for c, words in ((TARGET, TARGETS), (NEGATOR, NEGATORS), (REPORT, SPEECH), (THREAT, THREATS)) for w in words}
+_LISTS = ((INTENSIFIER, INTENSIFIERS), (MARKER, MARKERS), (CONSEQUENCE, CONSEQUENCES), (TARGET, TARGETS), (NEGATOR, NEGATORS), (REPORT, SPEECH), (THREAT, THREATS))
+_FIXED = {w: c for c, words in _LISTS for w in words}
+_HARM = {s[:3]: tuple(x for x in HARM_STEMS if x[:3] == s[:3]) for s in HARM_STEMS}
+#: Letters that may follow the stem of a verb of harm.
+_ENDING = 4
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 
@@ -92,45 +107,84 @@ class Lexicon:
         return best
 
 
-def clauses(text: str, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, float]]:
-    """For each clause with a match: counts by kind and circumstance (bits: negated, reported, targeted), and its weight."""
+def word_class(word: str) -> int:
+    """The class of a lower-cased word by the fixed lists and stems."""
+    c = _FIXED.get(word)
+    if c is not None:
+        return c
+    stems = _HARM.get(word[:3])
+    if stems and any(word.startswith(x) and len(word) <= len(x) + _ENDING for x in stems):
+        return HARM
+    return NEGATOR if word.endswith("n't") else OTHER
+
+
+def spelt(text: str) -> str:
+    """The text in lower case and with one kind of apostrophe."""
+    return text.lower().replace("\u2019", "'")
+
+
+def clauses(text: str, lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each clause with a match: counts by kind and circumstance (bits: negated, reported, targeted), and its weight, the
+    weight of its pressed insults and its number of intended threats."""
     step, marks = GRAMMAR
-    low = text.lower()
-    weight = {w: x for w in set(_WORD.findall(low)) if (x := lexicon.weight(w) or float(_FIXED.get(w) == THREAT))}
+    low = spelt(text)
+    kinds, weight = {}, {}
+    for w in set(_WORD.findall(low)):
+        c = word_class(w)
+        if c != THREAT and (x := lexicon.weight(w)):
+            kinds[w], weight[w] = INSULT, x
+        elif c in (THREAT, HARM, CONSEQUENCE):
+            kinds[w], weight[w] = c, 1.0
+        elif c != OTHER:
+            kinds[w] = c
     if not weight:
         return
     for clause in _CLAUSE.split(low):
         words = _WORD.findall(clause)
         if weight.keys().isdisjoint(words):
             continue
-        counts, total = np.zeros(16), 0.0
-        # A target after the match counts as well, so the clause is read in both directions and circumstances are joined.
-        classes = [THREAT if _FIXED.get(w) == THREAT else INSULT if w in weight else _FIXED.get(w, OTHER) for w in words]
-        seen = [0] * len(words)
-        state = 0
-        for i, c in enumerate(classes):
-            seen[i] |= int(marks[state])
-            state = int(step[state, c])
-        state = 0
-        for i in range(len(words) - 1, -1, -1):
-            seen[i] |= int(marks[state]) & 4
-            state = int(step[state, classes[i]])
-        for i, c in enumerate(classes):
-            if c in (INSULT, THREAT):
-                counts[(c - INSULT) * 8 + seen[i]] += weight[words[i]]
-                total += weight[words[i]] * (0.4 if seen[i] & 1 else 1) * (0.6 if seen[i] & 2 else 1) * (1.3 if seen[i] & 4 else 1)
-        yield counts, total
+        classes = [kinds.get(w, OTHER) for w in words]
+        counts, extra = np.zeros(16), np.zeros(3)
+        for i, kind, seen in matches(classes, step, marks):
+            x = weight[words[i]]
+            more = seen & (PRESSED if kind == INSULT else INTENDED)
+            counts[(kind - INSULT) * 8 + (seen & 7)] += x
+            extra[0] += x * (0.4 if seen & NEGATED else 1) * (0.6 if seen & REPORTED else 1) * (1.3 if seen & TARGETED else 1) * (1.2 if more else 1)
+            if more:
+                extra[kind] += x
+        if counts.any():
+            yield counts, extra
+
+
+def matches(classes: list[int], step: np.ndarray, marks: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(place, INSULT or THREAT, circumstances) of every match in a clause of word classes."""
+    seen, states = [], 0
+    for c in classes:
+        seen.append(int(marks[states]))
+        states = int(step[states, c])
+    # A target after the match counts as well, so the clause is read in both directions.
+    after, states = [0] * len(classes), 0
+    for i in range(len(classes) - 1, -1, -1):
+        after[i] = int(marks[states]) & TARGETED
+        states = int(step[states, classes[i]])
+    for i, c in enumerate(classes):
+        told = seen[i] & (TARGETED | INTENDED)
+        if c in (INSULT, THREAT):
+            yield i, c, seen[i] | after[i]
+        elif c == HARM and told & INTENDED or c == CONSEQUENCE and told == TARGETED | INTENDED:
+            yield i, THREAT, seen[i] | after[i]
 
 
 def features(text: str | None, lexicon: Lexicon) -> np.ndarray:
-    """Saturating sums of the clauses' counts, whether there is an insult, and the heaviest clause."""
+    """Saturating sums of the clauses' counts, whether there is an insult, the heaviest clause, pressed insults, intended threats."""
     out = np.zeros(N_FEATURES)
-    for counts, total in clauses(text or "", lexicon):
+    for counts, (total, pressed, intended) in clauses(text or "", lexicon):
         out[:16] += counts
         out[17] = max(out[17], total)
+        out[18:] += pressed, intended
     out[16] = float(out[:8].sum() > 0)
     out[:16] = np.minimum(out[:16] / 10, 1)
-    out[17] = min(out[17] / 10, 1)
+    out[17:] = np.minimum(out[17:] / 10, 1)
     return out
 
 
@@ -156,7 +210,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         for frame in bounded(frames):
             found = set()
             for text in frame["text"]:
-                words = _WORD.findall((text or "").lower())
+                words = _WORD.findall(spelt(text or ""))
                 for before, w, after in zip(["", *words], words, [*words[1:], ""]):  # noqa: B905 - the first list is longer
                     context = hash_pair(before, after)
                     found.update((f, context) for f in _forms(w))
@@ -170,7 +224,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         for frame in bounded(frames):
             met: dict[str, int] = {}
             for text in frame["text"]:
-                for f in {f for w in set(_WORD.findall((text or "").lower())) for f in _forms(w)} & wanted.value:
+                for f in {f for w in set(_WORD.findall(spelt(text or ""))) for f in _forms(w)} & wanted.value:
                     met[f] = met.get(f, 0) + 1
             yield pd.DataFrame(list(met.items()), columns=["form", "n"])
 
