@@ -48,4 +48,4 @@ def arrival_deviation(
     at = ce.locate_cells(arrivals, m, "event_lat", "event_lon", "event_depth").withColumn("phase", wave_phase("arrival_type"))
     on = [*cat.STATION_KEY, "phase"]
     f = field.select(*on, *[F.col(c).alias(d) for c, d in zip(ce.CELL, ("x", "y", "z"))], F.col("t").alias("model_s"))
-    return at.join(f, [*on, "x", "y", "z"]).withColumn("deviation_s", F.col("model_s") - F.col("travel_time"))
+    return at.join(fd.shuffled(f), [*on, "x", "y", "z"]).withColumn("deviation_s", F.col("model_s") - F.col("travel_time"))
