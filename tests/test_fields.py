@@ -19,6 +19,6 @@ def broadcast_products(df):
     return found
 
 
-@pytest.mark.parametrize("name", ["fat_ray"])
+@pytest.mark.parametrize("name", ["fat_ray", "split_welch", "split_welch_pvalue", "origin_deviation", "event_origin_spread", "travel_deviation", "cell_lookup_join", "model_arrival_deviation"])
 def test_no_field_is_broadcast(spark, sf, name):
     assert broadcast_products(entry.queries()[name](spark, sf)) == []
