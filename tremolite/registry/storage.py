@@ -178,9 +178,9 @@ def latest_version(tb):
 def append_run_log(tb):
     """A cycle on the stored fields that is logged twice, and the rows that count; of corrections and timings only their places."""
     from ..session import materialise
-    from .inversion import damped_solve, lattice_model, misfit, residuals, sums
+    from .inversion import damped_solve, lattice_model, residuals, sums
 
-    best = materialise(lo.best_cell(misfit(tb)).withColumn("weight", F.lit(1.0)), "weights")
+    best = materialise(lo.best_cells(tb.observed, tb.lattice_times, decimals=9).withColumn("weight", F.lit(1.0)), "weights")
     s, right = sums(tb)
     s = materialise(s, "sums")
     cycle = tg.Step(tb.lattice_times, best, materialise(residuals(tb), "residuals"), s, right, materialise(damped_solve(tb), "delta"))
