@@ -30,28 +30,29 @@ def _dense(places: pd.Series, values: pd.Series, tile: int) -> np.ndarray:
     return out
 
 
+def _entries(sums: dict[tuple[int, int], np.ndarray], tile: int):
+    for (t1, t2), total in sums.items():
+        a, b = np.nonzero(np.triu(total) if t1 == t2 else total)
+        yield pd.DataFrame({"c1": t1 * tile + a, "c2": t2 * tile + b, "a": total[a, b]})
+
+
 def _tile_products(tile: int):
     """Sum of weight * left^T right per pair of tiles; sums are given out when too many are open, and added up later."""
 
-    def entries(sums):
-        for (t1, t2), total in sums.items():
-            a, b = np.nonzero(np.triu(total) if t1 == t2 else total)
-            yield pd.DataFrame({"c1": t1 * tile + a, "c2": t2 * tile + b, "a": total[a, b]})
-
     def run(batches):
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             for (t1, t2), part in batch.groupby(["t1", "t2"]):
                 if (t1, t2) not in sums:
                     if len(sums) >= OPEN_TILES:
-                        yield from entries(sums)
+                        yield from _entries(sums, tile)
                         sums = {}
                     sums[t1, t2] = np.zeros((tile, tile))
                 for a in range(0, len(part), BLOCK_ROWS):
                     rows = part.iloc[a : a + BLOCK_ROWS]
                     left = _dense(rows["at1"], rows["v1"], tile) * rows["weight"].to_numpy()[:, None]
                     sums[t1, t2] += left.T @ _dense(rows["at2"], rows["v2"], tile)
-        yield from entries(sums)
+        yield from _entries(sums, tile)
 
     return run
 
@@ -79,6 +80,64 @@ def gram(rows: DataFrame, row_keys: list[str], cell: str, value: str, weight: st
     return parts.groupBy("c1", "c2").agg(F.sum("a").alias("a"))
 
 
+def _vector_products(tile: int):
+    """The same of rows that list all their cells: a row's tiles meet inside the task."""
+
+    def add(sums, cells, values):
+        sizes = np.fromiter(map(len, cells), np.int64, len(cells))
+        row, cell, value = np.repeat(np.arange(len(cells)), sizes), np.concatenate(cells), np.concatenate(values)
+        have = ~np.isnan(value)
+        order = np.lexsort((cell[have], row[have]))
+        row, cell, value = (x[have][order] for x in (row, cell, value))
+        at, number = cell % tile, row * (1 << 40) + cell // tile
+        first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(number)))
+        parts = pd.DataFrame({"row": row[first], "t": cell[first] // tile, "first": first, "size": size})
+
+        def dense(first, size):
+            out = np.zeros((len(first), tile))
+            flat = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out[np.repeat(np.arange(len(first)), size), at[flat]] = value[flat]
+            return out
+
+        met = parts.merge(parts, on="row", suffixes=("1", "2"))
+        for key, pair in met[met["t1"] <= met["t2"]].groupby(["t1", "t2"]):
+            if key not in sums:
+                if len(sums) >= OPEN_TILES:
+                    yield from _entries(sums, tile)
+                    sums.clear()
+                sums[key] = np.zeros((tile, tile))
+            left, right = (dense(pair[f"first{n}"].to_numpy(), pair[f"size{n}"].to_numpy()) for n in (1, 2))
+            sums[key] += left.T @ right
+
+    def run(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for a in range(0, len(batch), BLOCK_ROWS):
+                rows = batch.iloc[a : a + BLOCK_ROWS]
+                yield from add(sums, rows["cells"].to_list(), rows["g"].to_list())
+        yield from _entries(sums, tile)
+
+    return run
+
+
+def gram_of_vectors(vectors: DataFrame) -> DataFrame:
+    """`gram` of rows that hold their lists `cells` (each cell once) and `g`: no row of the matrix is shuffled, only sums are."""
+    parts = vectors.select("cells", "g").mapInPandas(_vector_products(TILE), "c1 long, c2 long, a double")
+    return parts.groupBy("c1", "c2").agg(F.sum("a").alias("a"))
+
+
+def right_side(vectors: DataFrame) -> DataFrame:
+    """G^T dt of rows that hold `dt` and their lists `cells` and `g`."""
+    entries = vectors.select("dt", F.explode(F.arrays_zip("cells", "g")).alias("_e"))
+    return entries.groupBy(F.col("_e.cells").alias("cell")).agg(F.sum(F.col("_e.g") * F.col("dt")).alias("b"))
+
+
+def vector_system(vectors: DataFrame, n_cells: int, damping: float):
+    """`sparse_system` of rows (dt, cells, g)."""
+    return _damped(gram_of_vectors(vectors), n_cells, damping), right_side(vectors)
+
+
 def rank_one(totals: DataFrame, value: str, factor: float) -> DataFrame:
     """Upper triangle of factor * t t^T of a vector (cell, value), which has as many entries as the full matrix.
 
@@ -128,11 +187,14 @@ def pair_right_side(s: DataFrame, r: DataFrame, n_stations: int, station: str =
     return s.join(centred, station).groupBy("cell").agg(F.sum(F.col("s") * F.col("_r")).alias("b"))
 
 
+def _damped(a: DataFrame, n_cells: int, damping: float) -> DataFrame:
+    eye = a.sparkSession.range(n_cells).select(F.col("id").alias("c1"), F.col("id").alias("c2"), F.lit(damping).alias("a"))
+    return a.unionByName(eye).groupBy("c1", "c2").agg(F.sum("a").alias("a"))
+
+
 def sparse_system(g: DataFrame, dt: DataFrame, row_keys: list[str], n_cells: int, damping: float):
     """G^T G + damping * I and G^T dt of sparse ray rows (row keys, cell, g)."""
-    a = gram(g, row_keys, "cell", "g")
-    eye = g.sparkSession.range(n_cells).select(F.col("id").alias("c1"), F.col("id").alias("c2"), F.lit(damping).alias("a"))
-    a = a.unionByName(eye).groupBy("c1", "c2").agg(F.sum("a").alias("a"))
+    a = _damped(gram(g, row_keys, "cell", "g"), n_cells, damping)
     b = g.join(dt, row_keys).groupBy("cell").agg(F.sum(F.col("g") * F.col("dt")).alias("b"))
     return a, b
 
