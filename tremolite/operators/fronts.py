@@ -12,8 +12,10 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import materialise
 from .cells import CELL
@@ -52,12 +54,16 @@ def _face(step: tuple[int, int, int], n: int) -> tuple[np.ndarray, np.ndarray]:
     return grid[tuple(here)].ravel(), grid[tuple(there)].ravel()
 
 
-def _round(n: int):
-    """Batch function settling one (source, block) row after another."""
+# Blocks that a task holds as arrays at once.
+ROWS = 128
+
+
+def _round(n: int, schema: pa.Schema):
+    """Batch function settling one (source, block) row after another; rows are opened and given out a few at a time."""
 
     def run(batches):
         faces = [(s, *_face(s, n)) for s in STEPS]
-        for batch in batches:
+        for batch in (whole.slice(a, ROWS).to_pandas() for whole in batches for a in range(0, whole.num_rows, ROWS)):
             times, news, tops = [], [], []
             for row in batch.itertuples(index=False):
                 cost = np.full(n**3, np.inf)
@@ -76,10 +82,11 @@ def _round(n: int):
                                     "at": there[better].tolist(), "t": t[here][better].tolist()})
                 # Latest arrival at an open cell: once every wave still under way is later, the block is final.
                 tops.append(float(np.max(np.where(np.isfinite(cost), t, 0.0))))
-                times.append(t.tolist())
+                times.append(t)
                 news.append(out)
-            yield pd.DataFrame({"source": batch["source"], "model": batch["model"], "bi": batch["bi"], "bj": batch["bj"],
-                                "bk": batch["bk"], "t": times, "top": tops, "out": news})
+            made = pd.DataFrame({"source": batch["source"], "model": batch["model"], "bi": batch["bi"], "bj": batch["bj"],
+                                 "bk": batch["bk"], "t": times, "top": tops, "out": news})
+            yield pa.RecordBatch.from_pandas(made, schema, preserve_index=False)
 
     return run
 
@@ -117,6 +124,7 @@ def travel_fields(
     key = ["source", "model", *BLOCK]
     types = dict(sources.dtypes)
     schema = f"source {types['source']}, model {types['model']}, bi int, bj int, bk int, t array<double>, top double, out {_NEWS.simpleString()}"
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
     news, history, settled, closed, rounds = first, None, [], None, 0
     while True:
         if max_rounds is not None and rounds >= max_rounds:
@@ -135,7 +143,7 @@ def travel_fields(
         else:
             latest = history.groupBy(*key).agg(F.max_by("t", "_round").alias("t"))
             work = work.join(latest, key, "left")
-        done = materialise(work.mapInPandas(_round(n), schema), "front")
+        done = materialise(work.mapInArrow(_round(n, arrow), schema), "front")
         stamped = done.select(*key, F.lit(rounds).alias("_round"), "t", "top")
         history = stamped if history is None else history.unionByName(stamped)
         sent = done.select("source", "model", F.explode("out").alias("o")).select(
