@@ -8,7 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.geodesy import EARTH_RADIUS_KM, col
+from ..functions.geodesy import EARTH_RADIUS_KM, col, evaluate_once
 from ..functions.scalars import epoch_micros
 
 # Fixed value: kilometres per degree used for the search rectangle around a point.
@@ -140,15 +140,28 @@ def column_bounds(grid: NodeGrid, lon, lat, radius_km: float, ix="ix") -> tuple[
 
     The great-circle condition is solved for the longitude difference, so no distance per node is needed.
     """
-    phi, phi_n = F.radians(col(lat)), F.radians(grid.lat(ix))
+    phi = F.radians(col(lat))
+    room = _room(grid, phi, F.cos(phi), radius_km, ix)
+    lo, hi = _around(grid, lon, _reach(room, F.cos(phi), radius_km))
+    return F.when(room < 0, F.lit(1)).otherwise(lo), F.when(room < 0, F.lit(0)).otherwise(hi)
+
+
+def _room(grid: NodeGrid, phi: Column, cos_phi: Column, radius_km: float, ix="ix") -> Column:
+    """Squared sine of half the longitude difference at which grid row ix leaves the disk; negative off the disk."""
+    phi_n = F.radians(grid.lat(ix))
     half = F.sin((phi_n - phi) / 2)
-    room = (math.sin(radius_km / (2 * EARTH_RADIUS_KM)) ** 2 - half * half) / (F.cos(phi) * F.cos(phi_n))
+    return (math.sin(radius_km / (2 * EARTH_RADIUS_KM)) ** 2 - half * half) / (cos_phi * F.cos(phi_n))
+
+
+def _reach(room: Column, cos_phi: Column, radius_km: float) -> Column:
     reach = F.degrees(2 * F.asin(F.sqrt(F.least(F.greatest(room, F.lit(0.0)), F.lit(1.0)))))
-    side = F.when(F.cos(phi) > 0, radius_km / (KM_PER_DEGREE * F.cos(phi))).otherwise(180.0)
-    reach = F.least(reach, side)
+    return F.least(reach, F.when(cos_phi > 0, radius_km / (KM_PER_DEGREE * cos_phi)).otherwise(180.0))
+
+
+def _around(grid: NodeGrid, lon, reach: Column) -> tuple[Column, Column]:
     lo = F.greatest(_ceil((col(lon) - reach - col(grid.lon_min)) / grid.lon_step), F.lit(0))
     hi = F.least(_floor((col(lon) + reach - col(grid.lon_min)) / grid.lon_step), F.lit(grid.n_lon - 1))
-    return F.when(room < 0, F.lit(1)).otherwise(lo), F.when(room < 0, F.lit(0)).otherwise(hi)
+    return lo, hi
 
 
 def _spread(df: DataFrame, lo: str, hi: str, out: str) -> DataFrame:
@@ -188,19 +201,28 @@ def time_nodes(events: DataFrame, grid: NodeGrid, ts: str, days: float) -> DataF
 def node_runs(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Collapse node rows into maximal runs of consecutive iy per key and ix.
 
-    A run start is a node whose left neighbour is absent, a run end one whose right neighbour is; the k-th start
-    belongs to the k-th end. One (key, ix) line holds at most the grid's number of columns.
+    Along a run the node's place on its line grows as iy does; a node that comes twice keeps its place, so nothing is made distinct
+    beforehand. One (key, ix) line holds at most the grid's number of columns.
     """
     from pyspark.sql import Window as W
 
     line = W.partitionBy(*keys, "ix").orderBy("iy")
-    marked = nodes.select(*keys, "ix", "iy").distinct().withColumn("_g", F.col("iy") - F.row_number().over(line))
+    marked = nodes.select(*keys, "ix", "iy").withColumn("_g", F.col("iy") - F.dense_rank().over(line))
     return marked.groupBy(*keys, "ix", "_g").agg(F.min("iy").alias("iy_start"), F.max("iy").alias("iy_end")).drop("_g")
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by key over the configured number of partitions, also when they are few: each is about to become many rows.
+
+    A small table is read by one task, and a partition count that Spark chooses by size would leave its rows in one.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # --- moments -----------------------------------------------------------------------------------------------------
 
-_ADDITIVE = ("n", "sx", "sy", "sxx", "syy", "sxy")
+_PRODUCTS = ("sxx", "syy", "sxy")
+_ADDITIVE = ("n", "sx", "sy", *_PRODUCTS)
 _MICRO = 1e6
 
 
@@ -226,13 +248,52 @@ def moments(p="delta_t_p", s="delta_t_s") -> list[Column]:
     ]
 
 
-def merge_moments() -> list[Column]:
+def merge_moments(additive=_ADDITIVE) -> list[Column]:
     """Aggregates that add up rows made by `moments`."""
-    return [F.sum(c).alias(c) for c in _ADDITIVE] + [
+    return [F.sum(c).alias(c) for c in additive] + [
         (F.min if c.endswith("min") else F.max)(c).alias(c) for c in ("p_min", "p_max", "s_min", "s_max")
     ]
 
 
+_HALF = 31
+
+
+def _products(name: str, a: Column, b: Column) -> list[Column]:
+    """Sum of a * b as three whole sums, worth 2^62, 2^31 and 1: exact, and far cheaper than decimals.
+
+    The low part of a product is below 2^31, so 2^32 rows fit; the others fit unless times of many days are the rule, and
+    raise an error where they don't.
+    """
+    high, low = lambda c: F.shiftright(c, _HALF), lambda c: c.bitwiseAND(F.lit((1 << _HALF) - 1))
+    small = low(a) * low(b)
+    parts = high(a) * high(b), high(small) + high(a) * low(b) + low(a) * high(b), low(small)
+    return [F.sum(c).alias(f"{name}_{n}") for n, c in zip((2, 1, 0), parts)]
+
+
+def part_moments(p="delta_t_p", s="delta_t_s") -> list[Column]:
+    """`moments` with the sums of products in parts; `whole_products` puts them together after all merging."""
+    x, y = (F.round(col(c) * _MICRO).cast("long") for c in (p, s))
+    return [
+        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
+        *_products("sxx", x, x), *_products("syy", y, y), *_products("sxy", x, y),
+        F.min(p).alias("p_min"), F.max(p).alias("p_max"), F.min(s).alias("s_min"), F.max(s).alias("s_max"),
+    ]
+
+
+def merge_parts() -> list[Column]:
+    """Aggregates that add up rows made by `part_moments`."""
+    return merge_moments(("n", "sx", "sy", *[f"{name}_{n}" for name in _PRODUCTS for n in (2, 1, 0)]))
+
+
+def whole_products(m: DataFrame) -> DataFrame:
+    """Rows of `part_moments` as rows of `moments`."""
+    part = lambda name, n: F.col(f"{name}_{n}").cast("decimal(19,0)")
+    base = F.lit(1 << _HALF).cast("decimal(10,0)")
+    whole = lambda name: (part(name, 2) * base + part(name, 1)) * base + part(name, 0)
+    made = m.withColumns({name: whole(name).cast("decimal(38,0)") for name in _PRODUCTS})
+    return made.drop(*[f"{name}_{n}" for name in _PRODUCTS for n in (0, 1, 2)])
+
+
 def centred(products: str, a: str, b: str) -> Column:
     """Sum of products about the means, in square seconds: n sum(ab) - sum(a) sum(b) without rounding, then one division."""
     whole = lambda c: F.col(c).cast("decimal(19,0)")
@@ -240,6 +301,22 @@ def centred(products: str, a: str, b: str) -> Column:
     return exact.cast("double") / F.col("n") / (_MICRO * _MICRO)
 
 
+def shared_rows(pairs: DataFrame, grid: NodeGrid, r_events_km: float, r_stations_km: float) -> DataFrame:
+    """Per pair the node runs (ix, iy_start, iy_end) that lie in both the quake's and the station's disk."""
+    e_lo, e_hi = row_bounds(grid, "e_lat", r_events_km)
+    s_lo, s_hi = row_bounds(grid, "s_lat", r_stations_km)
+    phi = {f"_{w}p": F.radians(F.col(f"{w}_lat")) for w in "es"}
+    near = pairs.withColumns({"_lo": F.greatest(e_lo, s_lo), "_hi": F.least(e_hi, s_hi)} | phi).withColumns({f"_{w}c": F.cos(f"_{w}p") for w in "es"})
+    rows = _spread(near, "_lo", "_hi", "ix")
+    radius = {"e": r_events_km, "s": r_stations_km}
+    # Sines and roots once per row: the filters on what is made of them would repeat them.
+    rows = evaluate_once(rows, {f"_{w}r": _room(grid, F.col(f"_{w}p"), F.col(f"_{w}c"), radius[w]) for w in "es"})
+    rows = evaluate_once(rows.filter("_er >= 0 and _sr >= 0"), {f"_{w}d": _reach(F.col(f"_{w}r"), F.col(f"_{w}c"), radius[w]) for w in "es"})
+    ev, st = (_around(grid, f"{w}_lon", F.col(f"_{w}d")) for w in "es")
+    runs = rows.withColumns({"iy_start": F.greatest(ev[0], st[0]), "iy_end": F.least(ev[1], st[1])})
+    return runs.filter(F.col("iy_start") <= F.col("iy_end")).drop(*[f"_{w}{c}" for w in "es" for c in "pcrd"])
+
+
 def spread_to_nodes(
     pairs: DataFrame,
     grid: NodeGrid,
@@ -255,25 +332,16 @@ def spread_to_nodes(
     opened into nodes, so from there on the row count is bounded by the grid and not by the number of pairs.
     """
     keys = keys or []
-    e_lo, e_hi = row_bounds(grid, "e_lat", r_events_km)
-    s_lo, s_hi = row_bounds(grid, "s_lat", r_stations_km)
     t_lo, t_hi = time_bounds(grid, "event_dttm", r_time_days)
-    bounded = pairs.withColumns(
-        {"_lo": F.greatest(e_lo, s_lo), "_hi": F.least(e_hi, s_hi), "it_start": t_lo, "it_end": t_hi}
-    ).filter(F.col("it_start") <= F.col("it_end"))
-    rows = _spread(bounded, "_lo", "_hi", "ix")
-    ev = column_bounds(grid, "e_lon", "e_lat", r_events_km)
-    st = column_bounds(grid, "s_lon", "s_lat", r_stations_km)
-    runs = rows.withColumns({"iy_start": F.greatest(ev[0], st[0]), "iy_end": F.least(ev[1], st[1])}).filter(
-        F.col("iy_start") <= F.col("iy_end")
-    )
-    per_run = runs.groupBy(*keys, "ix", "iy_start", "iy_end", "it_start", "it_end").agg(*moments())
+    bounded = pairs.withColumns({"it_start": t_lo, "it_end": t_hi}).filter(F.col("it_start") <= F.col("it_end"))
+    runs = shared_rows(bounded, grid, r_events_km, r_stations_km)
+    per_run = runs.groupBy(*keys, "ix", "iy_start", "iy_end", "it_start", "it_end").agg(*part_moments())
     per_place = (
         _spread(per_run, "iy_start", "iy_end", "iy")
         .groupBy(*keys, "ix", "iy", "it_start", "it_end")
-        .agg(*merge_moments())
+        .agg(*merge_parts())
     )
-    return _spread(per_place, "it_start", "it_end", "it").groupBy(*keys, "ix", "iy", "it").agg(*merge_moments())
+    return whole_products(_spread(per_place, "it_start", "it_end", "it").groupBy(*keys, "ix", "iy", "it").agg(*merge_parts()))
 
 
 def node_stats(m: DataFrame) -> DataFrame:

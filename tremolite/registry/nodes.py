@@ -121,7 +121,8 @@ def radius_join_nodes(tb):
     "stations",
 )
 def node_runs(tb):
-    nodes = nd.nodes_in_radius(tb.stations, GRID, "lon", "lat", 200.0)
+    stations = nd.dealt(tb.stations, cat.STATION_KEY)
+    nodes = nd.nodes_in_radius(stations, GRID, "lon", "lat", 200.0)
     return nd.node_runs(nodes, ["station_nm", "network_nm"])
 
 
@@ -138,18 +139,15 @@ def node_runs(tb):
 def node_intersect(tb):
     """Nodes shared by the quake's and the station's disk, counted per recorded pair."""
     pairs = tb.arrivals.select("event_id", *cat.STATION_KEY).distinct()
-    en = nd.disk_rows(tb.quakes, GRID, "lon", "lat", 70.0).select(
-        "event_id", "ix", F.col("iy_start").alias("_a"), F.col("iy_end").alias("_b")
-    )
-    sn = nd.disk_rows(tb.stations, GRID, "lon", "lat", 200.0).select(*cat.STATION_KEY, "ix", "iy_start", "iy_end")
-    both = pairs.join(en, "event_id").join(sn, [*cat.STATION_KEY, "ix"])
-    lo, hi = F.greatest("_a", "iy_start"), F.least("_b", "iy_end")
-    rows = both.withColumns({"_lo": lo, "_hi": hi}).filter(F.col("_lo") <= F.col("_hi"))
-    width = (F.col("_hi") - F.col("_lo") + 1).cast("long")
+    s = tb.stations.dropna(subset=["lon", "lat"]).select(*cat.STATION_KEY, F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
+    q = tb.quakes.dropna(subset=["lon", "lat"]).select("event_id", F.col("lon").alias("e_lon"), F.col("lat").alias("e_lat"))
+    # The quake comes last: rows by quake stay where they are when a pair's grid rows are opened and counted.
+    rows = nd.shared_rows(pairs.join(s, cat.STATION_KEY).join(q, "event_id"), GRID, 70.0, 200.0)
+    width = (F.col("iy_end") - F.col("iy_start") + 1).cast("long")
     return rows.groupBy("event_id", *cat.STATION_KEY).agg(
         F.sum(width).alias("n_nodes"),
         F.sum(width * F.col("ix")).alias("sum_ix"),
-        F.sum((width * (F.col("_lo") + F.col("_hi")) / 2).cast("long")).alias("sum_iy"),
+        F.sum((width * (F.col("iy_start") + F.col("iy_end")) / 2).cast("long")).alias("sum_iy"),
     )
 
 
