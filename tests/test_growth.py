@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tremolite import registry
 from tremolite.operators import fronts as fr, nodes as nd
@@ -58,3 +59,38 @@ def test_blocks_are_opened_a_few_at_a_time(monkeypatch):
     made = list(fr._round(2, schema)([whole]))
     assert [b.num_rows for b in made] == [2, 2, 1]
     assert all(np.allclose(t, [0, 1, 1, 2, 1, 2, 2, 3]) for b in made for t in b.column("t").to_pylist())
+
+
+def test_paths_across_blocks_equal_paths_in_one(spark, monkeypatch):
+    """Rays with a cell in common, one off the field, and blocks of any size."""
+    monkeypatch.setattr(fr, "PATH_CELLS", 5)
+    cells = [(0, i, j, k, 1.0 + (i * 5 + j * 3 + k) % 7) for i in range(7) for j in range(4) for k in range(3) if (i, j, k) != (3, 1, 1)]
+    t = spark.createDataFrame(cells, "model int, i int, j int, k int, c double")
+    sources = spark.createDataFrame([(1, 0, 0, 0, 0), (2, 0, 6, 3, 2)], "source int, model int, i int, j int, k int")
+    fields = fr.travel_fields(t, sources, F.col("c"), block=4).persist()
+    times = {(r.source, r.i, r.j, r.k): r.t for r in fields.collect()}
+    ends = [(s, 0, x, i, j, k) for x, (i, j, k) in enumerate([(6, 3, 2), (6, 3, 2), (0, 3, 0), (6, 0, 1), (3, 1, 1), (9, 9, 9)]) for s in (1, 2)]
+    rays = spark.createDataFrame(ends, "source int, model int, ray int, i int, j int, k int")
+    want = set()
+    for s, _, x, *c in ends:
+        step, c = 0, tuple(c)
+        while True:
+            want.add((s, x, step, *c))
+            near = [(times[s, *n], n) for n in (tuple(a + b for a, b in zip(c, d)) for d in fr.STEPS) if (s, *n) in times]
+            if (s, *c) not in times or not near or min(near)[0] >= times[s, *c]:
+                break
+            c, step = min(near)[1], step + 1
+    for block in (2, 3, 16):
+        got = [(r.source, r.ray, r.step, r.i, r.j, r.k) for r in fr.trace_back(rays, fields, block).collect()]
+        assert set(got) == want and len(got) == len(want)
+    fields.unpersist()
+
+
+def test_one_box_takes_one_round(spark, monkeypatch):
+    """Fields that fit into a block are followed at once: one table of paths, none per doubling."""
+    stored = []
+    keep = fr.materialise
+    monkeypatch.setattr(fr, "materialise", lambda df, label: stored.append(label) or keep(df, label))
+    fields = spark.createDataFrame([(1, 0, i, 0, 0, float(i)) for i in range(12)], "source int, model int, i int, j int, k int, t double")
+    rays = spark.createDataFrame([(1, 0, 7, 11, 0, 0)], "source int, model int, ray int, i int, j int, k int")
+    assert fr.trace_back(rays, fields).count() == 12 and stored == ["paths"]

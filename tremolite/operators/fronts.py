@@ -183,43 +183,113 @@ def travel_fields(
     )
 
 
-def predecessors(fields: DataFrame) -> DataFrame:
-    """For each source and cell the neighbour the wave came from (earliest, smallest cell on a tie)."""
-    at = F.explode(F.array(*[F.struct(*[F.lit(s).alias(n) for s, n in zip(step, ("di", "dj", "dk"))]) for step in STEPS]))
-    # Every cell offers itself to its neighbours; one aggregate picks the earliest offer.
-    offers = fields.select("source", "model", *CELL, "t", at.alias("_s")).select(
-        "source", "model", *[(F.col(c) + F.col(f"_s.d{c}")).alias(c) for c in CELL], F.struct("t", *CELL).alias("_from")
-    )
-    best = offers.groupBy("source", "model", *CELL).agg(F.min("_from").alias("_from"))
-    own = fields.select("source", "model", *CELL, F.col("t").alias("_t"))
-    return own.join(best, ["source", "model", *CELL]).filter(F.col("_from.t") < F.col("_t")).select(
-        "source", "model", *CELL, *[F.col(f"_from.{c}").alias(f"p{c}") for c in CELL]
-    )
+# Cells of paths that a task gives out at once.
+PATH_CELLS = 200_000
+
+
+def _walk(side: int):
+    """Batch function following all paths of one (source, block) row after another, up to the source or the first cell beyond the block."""
+    m = side + 2
+    place = np.arange(m**3).reshape(m, m, m)
+    inner = (slice(1, -1),) * 3
+    # The smallest cell comes first, so it wins a tie.
+    order = sorted(STEPS)
+    shift = np.array([(i * m + j) * m + k for i, j, k in order])
+    beyond = np.ones((m, m, m), dtype=bool)
+    beyond[inner] = False
+    beyond = beyond.ravel()
+
+    def paths(row):
+        t = np.full(m**3, np.inf)
+        t[np.asarray(row.at)] = row.t
+        t = t.reshape(m, m, m)
+        near = np.stack([t[tuple(slice(1 + d, m - 1 + d) for d in s)] for s in order])
+        first = near.argmin(axis=0)
+        ahead = (near.min(axis=0) < t[inner]) & np.isfinite(t[inner])
+        jump = np.full(m**3, -1)
+        jump[place[inner][ahead]] = (place[inner] + shift[first])[ahead]
+        start = np.asarray(row.entry)
+        at, steps = jump[start], []
+        while (at >= 0).any():
+            steps.append(at)
+            at = np.where(at >= 0, jump[at], -1)
+        onward = np.array(steps, dtype=np.int64).reshape(len(steps), len(start)).T
+        sizes = (onward >= 0).sum(axis=1)
+        some = sizes > 0
+        return start[some], onward[onward >= 0], sizes[some]
 
+    def cells(row, flat):
+        ij, k = np.divmod(flat, m)
+        i, j = np.divmod(ij, m)
+        return [(x - 1 + b * side).astype(np.int32) for x, b in zip((i, j, k), (row.bi, row.bj, row.bk))]
 
-def trace_back(rays: DataFrame, fields: DataFrame, max_doublings: int = 40) -> DataFrame:
+    def given(held, types):
+        joined = lambda n: np.concatenate([h[n] for h in held])
+        start, path = ([np.concatenate([h[n][x] for h in held]) for x in range(3)] for n in (2, 4))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(joined(5))]).astype(np.int32))
+        listed = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(x) for x in path], names=CELL))
+        keys = [pa.array(joined(n), types[n]) for n in (0, 1)]
+        return pa.RecordBatch.from_arrays([*keys, *[pa.array(x) for x in start], listed, pa.array(joined(3))], names=["source", "model", *CELL, "path", "goes_on"])
+
+    def run(batches):
+        for whole in batches:
+            held, total = [], 0
+            types = [whole.schema.field(n).type for n in ("source", "model")]
+            for part in (whole.slice(a, ROWS).to_pandas() for a in range(0, whole.num_rows, ROWS)):
+                for row in part.itertuples(index=False):
+                    start, flat, sizes = paths(row)
+                    if not len(start):
+                        continue
+                    keys = [np.full(len(start), x) for x in (row.source, row.model)]
+                    held.append((*keys, cells(row, start), beyond[flat[np.cumsum(sizes) - 1]], cells(row, flat), sizes))
+                    total += len(flat)
+                    if total > PATH_CELLS:
+                        yield given(held, types)
+                        held, total = [], 0
+            if held:
+                yield given(held, types)
+
+    return run
+
+
+def trace_back(rays: DataFrame, fields: DataFrame, block: int = 16) -> DataFrame:
     """Cells of each ray from its end cell back to the source: (ray columns, step, i, j, k).
 
-    `rays` has source, model, i, j, k. Paths are unrolled by doubling: round m knows the cell 2^m steps on, so a path
-    of length L takes about log2 L joins for all rays together.
+    `rays` has source, model, i, j, k. A cell's predecessor is the neighbour the wave came from (earliest, smallest cell on a tie). A field is packed
+    once into blocks with one layer of neighbours; a round follows the paths from all cells where rays enter a block, each once for all its
+    rays, to the first cell beyond it. So a path of any length takes as many rounds as it crosses blocks, and cells without a ray cost nothing.
     """
     ids = [c for c in rays.columns if c not in CELL]
-    here = ["source", "model", *CELL]
-    jump = materialise(predecessors(fields), "jump")
-    paths = rays.select(*ids, F.lit(0).cast("long").alias("step"), *CELL)
-    for m in range(max_doublings):
-        onward = paths.join(jump, here).select(
-            *ids, (F.col("step") + (1 << m)).alias("step"), *[F.col(f"p{c}").alias(c) for c in CELL]
-        )
-        paths = materialise(paths.unionByName(onward), "paths")
-        far = jump.select("source", "model", *[F.col(f"p{c}").alias(c) for c in CELL], *[F.col(c).alias(f"_{c}") for c in CELL])
-        jump = materialise(
-            far.join(jump, here).select("source", "model", *[F.col(f"_{c}").alias(c) for c in CELL], *[f"p{c}" for c in CELL]),
-            "jump",
-        )
-        if jump.isEmpty():
-            return paths
-    raise RuntimeError("paths longer than the doubling limit")
+    here, key, m = ["source", "model", *CELL], ["source", "model", *BLOCK], block + 2
+    own = {o: F.floor(F.col(c) / block).cast("int") for c, o in zip(CELL, BLOCK)}
+    local = ((F.col("i") - F.col("bi") * block + 1) * m + F.col("j") - F.col("bj") * block + 1) * m + F.col("k") - F.col("bk") * block + 1
+    front = rays.select(*ids, F.lit(0).cast("long").alias("step"), *CELL)
+    ends = fields.agg(*[f(c).alias(f"{n}_{c}") for c in CELL for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if ends["lo_i"] is None:
+        return front
+    low, high = ({o: ends[f"{n}_{c}"] // block for c, o in zip(CELL, BLOCK)} for n in ("lo", "hi"))
+    beside = lambda step: F.struct(*[F.lit(d).alias(o) for d, o in zip(step, BLOCK)])
+    faces = [F.when(F.pmod(F.col(c), F.lit(block)) == at, beside([d if o == c else 0 for o in CELL])) for c in CELL for d, at in ((-1, 0), (1, block - 1))]
+    sent = fields.select(*here, "t", F.explode(F.array_compact(F.array(beside((0, 0, 0)), *faces))).alias("_to"))
+    sent = sent.select(*here, "t", *[(own[o] + F.col(f"_to.{o}")).alias(o) for o in BLOCK])
+    for o in BLOCK:
+        sent = sent.filter(F.col(o).between(low[o], high[o]))
+    packed = sent.groupBy(*key).agg(F.collect_list(F.struct(local.cast("int").alias("at"), "t")).alias("_c")).select(*key, F.col("_c.at").alias("at"), F.col("_c.t").alias("t"))
+    if low != high:
+        packed = materialise(packed, "packed")
+    types = dict(fields.dtypes)
+    schema = f"source {types['source']}, model {types['model']}, i int, j int, k int, path array<struct<i:int,j:int,k:int>>, goes_on boolean"
+    done = front
+    while True:
+        entered = front.select(*here).distinct().withColumns(own).groupBy(*key).agg(F.collect_list(local.cast("int")).alias("entry"))
+        found = entered.join(packed, key).mapInArrow(_walk(block), schema)
+        met = materialise(front.join(found, here).select(*ids, "step", "path", "goes_on"), "paths")
+        steps = met.select(*ids, "step", F.posexplode("path").alias("_pos", "_c"))
+        done = done.unionByName(steps.select(*ids, (F.col("step") + 1 + F.col("_pos")).alias("step"), *[F.col(f"_c.{c}").alias(c) for c in CELL]))
+        last = F.element_at("path", -1)
+        front = met.filter("goes_on").select(*ids, (F.col("step") + F.size("path")).alias("step"), *[last[c].alias(c) for c in CELL])
+        if low == high or front.isEmpty():
+            return done
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
