@@ -77,18 +77,17 @@ def step(model: DataFrame, observed: DataFrame, stations: DataFrame, s: Settings
     )
     ray = cell_number(shape=s.fine_shape)
     per_ray = res.groupBy("station_id", *ce.CELL).agg(F.sum("weight").alias("weight")).withColumn("ray", ray)
-    rays = per_ray.select(F.col("station_id").alias("source"), F.lit(0).alias("model"), "ray", *ce.CELL)
+    rays = per_ray.select(F.col("station_id").alias("source"), F.lit(0).alias("model"), "weight", "ray", *ce.CELL)
     paths = fr.trace_back(rays, fields)
     # A lattice path pays one cell side in every cell it enters, which is all but the station's own.
-    entered = paths.join(
-        fields.filter("t > 0").select("source", "model", *ce.CELL), ["source", "model", *ce.CELL], "left_semi"
-    )
+    own = fields.filter("t <= 0").select("source", "model", *ce.CELL)
+    entered = paths.join(own, ["source", "model", *ce.CELL], "left_anti")
     coarse = [F.floor(F.col(c) / s.subdivision).cast("int").alias(c) for c in ce.CELL]
-    numbered = entered.select(F.col("source").alias("station_id"), "ray", *coarse).withColumn(
+    numbered = entered.select(F.col("source").alias("station_id"), "weight", *coarse).withColumn(
         "cell", cell_number(shape=(s.n_x, s.n_y, s.n_z))
     )
-    lengths = numbered.groupBy("station_id", "ray", "cell").agg((F.count(F.lit(1)) * s.fine_side).alias("length"))
-    sums = materialise(inv.station_sums(per_ray.select("station_id", "ray", "weight"), lengths), "sums")
+    # The weight goes along the path, so lengths need not be stored per ray and met with weights again.
+    sums = materialise(numbered.groupBy("station_id", "cell").agg((F.sum("weight") * s.fine_side).alias("s")), "sums")
     right = res.groupBy("station_id").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
     n_stations = sums.select("station_id").unionByName(right.select("station_id")).distinct().count()
     trace = pair_trace(sums, n_stations).first()[0] or 0.0
