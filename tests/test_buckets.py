@@ -37,3 +37,38 @@ def test_whole_misfits_do_not_depend_on_the_order_of_stations(spark):
     turned = lambda df: df.selectExpr(*[c if c != "station_id" else "5 - station_id as station_id" for c in df.columns])
     run = lambda a, b: sorted(bk.misfits(a, b, bk.box_of(b), sums, "event_id int, s long", "station_id", "event_id", micros=True).collect())
     assert run(o, f) == run(turned(o), turned(f))
+
+
+def test_stations_of_equal_times_are_sent_once(spark):
+    """Thirty stations at three places make three sites, and give the rows that they give one by one."""
+    o, f = setting(spark, (4, 3, 2), 3, 9, 5)
+    many = lambda df: df.selectExpr(*[c if c != "station_id" else "station_id + 3*n as station_id" for c in df.columns])
+    f = many(f.crossJoin(spark.range(10).selectExpr("cast(id as int) as n")))
+    o = many(o.selectExpr("*", "event_id % 10 as n"))
+    at = bk.sites(f, bk.box_of(f), "station_id").collect()
+    assert len(at) == 3 and sorted(s for x in at for s in x["stations"]) == list(range(30))
+    want, got = rows(lo.best_cell(lo.pairwise_misfit(o, f)), "misfit"), rows(lo.best_cells(o, f), "misfit")
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in want.items())
+
+
+@pytest.mark.parametrize("held,at_once,batch", [(0, 8192, 10000), (500, 3, 10000), (1 << 20, 4, 2), (0, 1, 7)])
+def test_rows_do_not_depend_on_what_a_task_holds(spark, monkeypatch, held, at_once, batch):
+    """Times in a file, quakes of more observations than are taken at once, and quakes cut by the end of a batch."""
+    o, f = setting(spark, (5, 4, 3), 6, 12, 7, rough=1.0, missing=0.2)
+    want = rows(lo.cell_weights(o, f, 0.3, decimals=9, top_n=4), "misfit", "weight")
+    monkeypatch.setattr(bk, "HELD", held)
+    monkeypatch.setattr(bk, "ROWS", at_once)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = rows(lo.cell_weights(o, f, 0.3, decimals=9, top_n=4), "misfit", "weight")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() and len(got) > 20
+    assert all(got[k] == pytest.approx(v, rel=1e-9, abs=1e-12) for k, v in want.items())
+
+
+def test_a_bucket_is_not_held_whole(spark):
+    """Quakes are given out while their bucket still arrives, and weights are scaled where they are made."""
+    o, f = setting(spark, (5, 4, 3), 6, 12, 7)
+    plan = lo.locate_events(o, f, 0.5, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "CoGroup" not in plan and "Window" not in plan
