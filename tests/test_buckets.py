@@ -72,3 +72,30 @@ def test_a_bucket_is_not_held_whole(spark):
     o, f = setting(spark, (5, 4, 3), 6, 12, 7)
     plan = lo.locate_events(o, f, 0.5, 3)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "CoGroup" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("kind", [dict(), dict(rough=1.0, missing=0.2)])
+def test_residuals_are_made_where_the_best_cell_is_found(spark, monkeypatch, kind):
+    o, f = setting(spark, (5, 4, 3), 6, 12, 7, **kind)
+    # An observation without a time, and one by a station without a field, which takes its quake out.
+    o = o.unionByName(spark.createDataFrame([(3, 5, None), (4, 99, 1.0)], o.schema)).dropDuplicates(["event_id", "station_id"])
+    plain = lo.residuals_at(lo.best_cells(o, f, decimals=9).drop("misfit"), o, f)
+    key = ["event_id", "i", "j", "k", "station_id"]
+    listed = lambda df, *cols: {tuple(x[c] for c in key): tuple(x[c] for c in cols) for x in df.collect()}
+    want, made = listed(plain, "r"), lo.best_residuals(o, f, decimals=9)
+    got = listed(made, "r")
+    assert got.keys() == want.keys() and len(got) > 30
+    for k, (v,) in want.items():
+        assert got[k] == ((None,) if v is None else (pytest.approx(v, rel=1e-9, abs=1e-12),))
+    assert "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    firsts, about = listed(lo.basis_differences(plain, ["event_id"]), "station_0", "d"), listed(lo.best_residuals(o, f, 9, "mean"), "r")
+    got = listed(lo.best_residuals(o, f, 9, "first"), "station_0", "d")
+    assert got.keys() == firsts.keys()
+    for k, (s, d) in firsts.items():
+        assert got[k][0] == s and got[k][1] == (None if d is None else pytest.approx(d, rel=1e-9, abs=1e-12))
+        mine = [v for e, (v,) in want.items() if e[0] == k[0] and v is not None]
+        assert want[k][0] is None or about[k][0] == pytest.approx(want[k][0] - sum(mine) / len(mine), abs=1e-12)
+    monkeypatch.setattr(lo, "WHOLE", 1)
+    for way in (None, "mean", "first"):
+        long = listed(lo.best_residuals(o, f, 9, way), "r")
+        assert long.keys() == want.keys()
