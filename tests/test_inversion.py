@@ -161,6 +161,54 @@ def test_conjugate_gradients_equal_direct_solution(system):
     assert {r.cell: r.x for r in x.collect()} == pytest.approx(dict(enumerate(want)), rel=1e-6)
 
 
+def test_rounds_of_the_solver_store_and_shuffle_no_rows(spark, system, monkeypatch):
+    """Rows are stored once; beyond the cells that a driver keeps the rounds are joins, with the same solution."""
+    sums, right, a, b = system
+    stored, keep = [], inv.materialise
+    monkeypatch.setattr(inv, "materialise", lambda df, label: stored.append(label) or keep(df, label))
+    solve = lambda: inv.damped_solve(sums, inv.pair_right_side(sums, right, 6), ["station_id"], "cell", "s", 0.3, pairs_of=6)
+    want = pytest.approx(dict(enumerate(np.linalg.solve(a + 0.3 * np.eye(9), b))), rel=1e-6)
+    assert {r.cell: r.x for r in solve().collect()} == want and stored == ["rows", "right"]
+    with pytest.raises(RuntimeError):
+        inv.damped_solve(sums, inv.pair_right_side(sums, right, 6), ["station_id"], "cell", "s", 0.3, pairs_of=6, max_rounds=2)
+    monkeypatch.setattr(inv, "SENT_CELLS", 8)
+    assert {r.cell: r.x for r in solve().collect()} == want and len(stored) > 6
+
+
+def test_solver_with_gaps_in_cells_and_rows(spark):
+    """A cell without a right side, one without rows, a missing value and an entry that comes twice."""
+    g = spark.createDataFrame([(0, 10**12, 1.0), (0, 10**12, 0.5), (0, 7, -2.0), (1, 3, 3.0), (1, 7, 1.0), (2, 3, None)], "ray int, cell long, g double")
+    right = spark.createDataFrame([(7, 2.0), (3, -1.0), (99, 4.0)], "cell long, b double")
+    m = np.array([[0, -2.0, 1.5, 0], [3.0, 1.0, 0, 0]])
+    want = np.linalg.solve(m.T @ m + 0.2 * np.eye(4), [-1.0, 2.0, 0, 4.0])
+    got = {r.cell: r.x for r in inv.damped_solve(g, right, ["ray"], "cell", "g", 0.2).collect()}
+    assert got == pytest.approx(dict(zip((3, 7, 10**12, 99), want)), rel=1e-6)
+
+
+def test_sums_of_a_station_are_stored_once(spark, system, monkeypatch):
+    sums, right, a, _ = system
+    stored, keep = [], inv.materialise
+    monkeypatch.setattr(inv, "materialise", lambda df, label: stored.append(label) or keep(df, label))
+    made, _ = inv.pair_system(sums, right, 6, 9, 0.0)
+    assert stored == ["vectors", "totals", "tiles"]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "station_id" not in plan
+    assert all(r.a == pytest.approx(a[r.c1, r.c2]) for r in made.collect())
+
+
+def test_pieces_of_rays_carry_their_weight_and_are_not_shuffled(spark, tb):
+    from tremolite.registry import inversion as ri
+
+    s, right = ri.sums(tb)
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")]
+    want = {}
+    for x in ri.segments(tb)[0].join(ri.lengths(tb), ["station_id", "ray"]).collect():
+        at = x.station_id, (x.i * 5 + x.j) * 5 + x.k
+        want[at] = want.get(at, 0.0) + x.weight * x.length
+    assert {(x.station_id, x.cell): x.s for x in s.collect()} == pytest.approx(want)
+
+
 def test_sparse_system(spark):
     rows = [(0, 0, 1.0), (0, 0, 0.5), (0, 2, -2.0), (1, 1, 3.0), (1, 2, 1.0)]
     g = spark.createDataFrame(rows, "ray int, cell long, g double")

@@ -8,10 +8,12 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialise
+from .cells import SENT_CELLS
 
 # Cells of a tile: a row's vector is cut into tiles, and products are formed tile by tile.
 TILE = 256
@@ -156,28 +158,36 @@ def rank_one(totals: DataFrame, value: str, factor: float) -> DataFrame:
     return met.mapInPandas(_tile_products(TILE), "c1 long, c2 long, a double")
 
 
-def station_sums(weights: DataFrame, lengths: DataFrame, station: str = "station_id") -> DataFrame:
-    """S(station, cell) = sum over quakes of weight * length.
+def station_sums(pieces: DataFrame, station: str = "station_id") -> DataFrame:
+    """S(station, cell) = sum over rays of weight * length.
 
-    `weights` (station, ray, weight) is summed per ray first: quakes sharing a ray cost one row.
+    A piece carries its ray's weight, summed over the quakes that share the ray, so lengths are not joined with weights.
     """
-    per_ray = weights.groupBy(station, "ray").agg(F.sum("weight").alias("_w"))
-    return lengths.join(per_ray, [station, "ray"]).groupBy(station, "cell").agg(
-        F.sum(F.col("_w") * F.col("length")).alias("s")
-    )
+    return pieces.groupBy(station, "cell").agg(F.sum(F.col("weight") * F.col("length")).alias("s"))
+
+
+def packed(rows: DataFrame, row_keys: list[str], cell: str, value: str) -> DataFrame:
+    """Sparse rows (row keys, cell, value) as lists `cells` and `g`, one row per row of the matrix."""
+    entries = F.collect_list(F.struct(F.col(cell).alias("cell"), F.col(value).cast("double").alias("g"))).alias("_e")
+    return rows.groupBy(*row_keys).agg(entries).select(*row_keys, F.col("_e.cell").alias("cells"), F.col("_e.g").alias("g"))
 
 
 def pair_system(s: DataFrame, r: DataFrame, n_stations: int, n_cells: int, lambda_reg: float, station: str = "station_id"):
     """Normal matrix and right side of all station-pair differences, with the diagonal raised by lambda * trace / n.
 
-    Uses A = n sum(S_i^T S_i) - (sum S)^T (sum S) and the like for b; no pairs are formed.
+    Uses A = n sum(S_i^T S_i) - (sum S)^T (sum S) and the like for b; no pairs are formed. A station's sums are stored once, as lists, and
+    their products are summed inside the tasks.
     """
-    a = gram(s.withColumn("w", F.lit(float(n_stations))), [station], "cell", "s", "w")
-    a = a.unionByName(rank_one(s.groupBy("cell").agg(F.sum("s").alias("s")), "s", -1.0)).groupBy("c1", "c2").agg(F.sum("a").alias("a"))
-    trace = a.filter("c1 = c2").agg(F.sum("a").alias("_tr"))
+    one_each = s.groupBy(station, "cell").agg(F.sum("s").alias("s"))
+    vectors = materialise(packed(one_each, [station], "cell", "s"), "vectors")
+    entries = vectors.select(station, F.explode(F.arrays_zip("cells", "g")).alias("_e")).select(station, F.col("_e.cells").alias("cell"), F.col("_e.g").alias("s"))
+    totals = materialise(entries.groupBy("cell").agg(F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("q")), "totals")
+    a = gram_of_vectors(vectors).withColumn("a", n_stations * F.col("a"))
+    a = a.unionByName(rank_one(totals, "s", -1.0)).groupBy("c1", "c2").agg(F.sum("a").alias("a"))
+    trace = totals.agg(F.sum(n_stations * F.col("q") - F.col("s") * F.col("s")).alias("_tr"))
     raised = F.col("a") + F.when(F.col("c1") == F.col("c2"), lambda_reg * F.col("_tr") / n_cells).otherwise(0.0)
     a = a.join(F.broadcast(trace), F.lit(True)).select("c1", "c2", raised.alias("a"))
-    return a, pair_right_side(s, r, n_stations, station)
+    return a, pair_right_side(entries, r, n_stations, station)
 
 
 def pair_right_side(s: DataFrame, r: DataFrame, n_stations: int, station: str = "station_id") -> DataFrame:
@@ -199,16 +209,82 @@ def sparse_system(g: DataFrame, dt: DataFrame, row_keys: list[str], n_cells: int
     return a, b
 
 
+def _products(numbers: np.ndarray, p: np.ndarray):
+    """Batch function: sum over packed rows of g (g . p) per cell, and the sum of all g . p under the number -1."""
+
+    def run(batches):
+        total, all_q = np.zeros(len(p)), 0.0
+        for batch in batches:
+            lists = batch.column("cells")
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            at = np.searchsorted(numbers, lists.flatten().to_numpy(zero_copy_only=False))
+            g = np.nan_to_num(batch.column("g").flatten().to_numpy(zero_copy_only=False), nan=0.0)
+            q = np.bincount(row, g * p[at], batch.num_rows)
+            total += np.bincount(at, g * q[row], len(p))
+            all_q += q.sum()
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1].astype(np.int64)), pa.array(np.r_[total[some], all_q])], names=["at", "v"])
+
+    return run
+
+
 def damped_solve(
     rows: DataFrame, right: DataFrame, row_keys: list[str], cell: str, value: str, damping: float,
     pairs_of: int | None = None, tolerance: float = 1e-10, max_rounds: int | None = None,
 ) -> DataFrame:
-    """Solve (M + damping I) x = b by conjugate gradients, M x being two joins and sums over the sparse rows.
+    """Solve (M + damping I) x = b by conjugate gradients; rows of cells that are whole numbers.
 
-    M is G^T G, or with `pairs_of` = n rows the pair form n G^T G - (1^T G)^T (1^T G). The matrix is never formed; only a
-    few sums per round reach the driver. `right` has (cell, b). With `max_rounds`, raises if the tolerance is not met by then. The uniform damping
-    already groups the eigenvalues; scaling by the diagonal was tried and needed more rounds.
+    M is G^T G, or with `pairs_of` = n rows the pair form n G^T G - (1^T G)^T (1^T G). The matrix is never formed. `right` has (cell, b). With
+    `max_rounds`, raises if the tolerance is not met by then. The uniform damping already groups the eigenvalues; scaling by the diagonal was tried
+    and needed more rounds. Rows are stored once, as lists; a round reads them once and shuffles one partial vector per task. Vectors of up
+    to `SENT_CELLS` cells are kept by the driver and sent to the tasks; beyond that a round is made of joins.
     """
+    vectors = materialise(packed(rows, row_keys, cell, value), "rows")
+    listed = vectors.select(F.explode("cells").alias("cell")).distinct()
+    known = materialise(listed.join(right, "cell", "full").select("cell", F.coalesce("b", F.lit(0.0)).cast("double").alias("b")), "right")
+    if known.count() > SENT_CELLS:
+        entries = vectors.select(*row_keys, F.explode(F.arrays_zip("cells", "g")).alias("_e"))
+        entries = entries.select(*row_keys, F.col("_e.cells").alias("cell"), F.col("_e.g").alias("g"))
+        x = _solve_by_joins(entries, known, row_keys, "cell", "g", damping, pairs_of, tolerance, max_rounds)
+        return x.withColumnRenamed("cell", cell)
+    b = known.orderBy("cell").toPandas()
+    numbers, r = b["cell"].to_numpy(np.int64), b["b"].to_numpy(np.float64).copy()
+
+    def times(p: np.ndarray) -> tuple[np.ndarray, float]:
+        made = vectors.select("cells", "g").mapInArrow(_products(numbers, p), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+        out, at = np.zeros(len(p) + 1), made["at"].to_numpy(np.int64)
+        out[at] = made["v"].to_numpy(np.float64)
+        return out[:-1], out[-1]
+
+    if pairs_of:
+        entries = vectors.select(F.explode(F.arrays_zip("cells", "g")).alias("_e"))
+        sums = entries.groupBy(F.col("_e.cells").alias("cell")).agg(F.sum("_e.g").alias("s")).toPandas()
+        ones = np.zeros(len(r))
+        ones[np.searchsorted(numbers, sums["cell"].to_numpy(np.int64))] = np.nan_to_num(sums["s"].to_numpy(np.float64))
+    x, p, rr = np.zeros(len(r)), r.copy(), float(r @ r)
+    goal = rr * tolerance * tolerance
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
+        if not rr or rr <= goal:
+            break
+        mp, all_q = times(p)
+        ap = (pairs_of * mp - all_q * ones if pairs_of else mp) + damping * p
+        step = rr / float(p @ ap)
+        x, r = x + step * p, r - step * ap
+        rr, before = float(r @ r), rr
+        p = r + (rr / before) * p
+        if rr <= goal:
+            break
+    else:
+        raise RuntimeError(f"no solution within {max_rounds} rounds (residual {math.sqrt(rr)})")
+    solved = known.sparkSession.createDataFrame(pd.DataFrame({"cell": numbers, "x": x}), "cell long, x double")
+    return solved.select(F.col("cell").cast(dict(rows.dtypes)[cell]).alias(cell), "x")
+
+
+def _solve_by_joins(
+    rows: DataFrame, right: DataFrame, row_keys: list[str], cell: str, value: str, damping: float,
+    pairs_of: int | None = None, tolerance: float = 1e-10, max_rounds: int | None = None,
+) -> DataFrame:
+    """`damped_solve` for many cells: M x is two joins and sums over the sparse rows, and only a few sums per round reach the driver."""
     g = materialise(rows.select(*row_keys, F.col(cell).alias("cell"), F.col(value).alias("g")), "rows")
     known = g.select("cell").distinct().join(right, "cell", "full").select("cell", F.coalesce("b", F.lit(0.0)).alias("r"))
     state = materialise(known.select("cell", F.lit(0.0).alias("x"), "r", F.col("r").alias("p")), "cg")
