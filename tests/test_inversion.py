@@ -266,6 +266,29 @@ def test_model_recovery_improves(spark):
     assert total(after) < 0.7 * total(start)
 
 
+def test_a_cycle_stores_no_residuals(spark, monkeypatch):
+    """With one cell per quake residuals are summed per ray as they are made, in blocks no larger than the grid; joins give the same correction."""
+    from tremolite.plans import tomography as tg
+
+    n = F.col("id")
+    model = spark.range(18).select(F.floor(n / 6).cast("int").alias("i"), (F.floor(n / 2) % 3).cast("int").alias("j"), (n % 2).cast("int").alias("k"))
+    model = model.withColumn("vp", F.lit(1000.0) + (F.col("i") * 7 + F.col("j") * 5 + F.col("k")) % 5 * 60)
+    stations = spark.createDataFrame([(s, float(x), float(y), 0.0) for s, (x, y) in enumerate([(50, 50), (250, 50), (50, 250), (150, 150)])], "station_id long, x double, y double, z double")
+    s = tg.Settings(100.0, 3, 3, 2, lambda_reg=0.05)
+    seen = tg.station_fields(model, stations, s).select(
+        (F.col("i") * 9 + F.col("j") * 3 + F.col("k")).cast("long").alias("event_id"), F.col("source").alias("station_id"), (F.col("t") * 1.1 + F.col("source") * 0.01).alias("t_obs")
+    ).persist()
+    stored, keep = [], tg.materialise
+    monkeypatch.setattr(tg, "materialise", lambda df, label: stored.append(label) or keep(df, label))
+    assert tg.block_side(s) == 3
+    done = tg.step(model, seen, stations, s)
+    assert stored == ["fields", "rays", "sums"]
+    assert done.residuals.count() == seen.count() and done.weights.count() == 18
+    got = {r.cell: r.x for r in done.correction.collect()}
+    monkeypatch.setattr(lo, "WHOLE", 1)
+    assert got == pytest.approx({r.cell: r.x for r in tg.step(model, seen, stations, s).correction.collect()}, rel=1e-5, abs=1e-12) and any(got.values())
+
+
 def test_misfit_needs_every_station_and_a_time(spark):
     """A cell that one station only knows, and an observation without a time, must not win."""
     observed = spark.createDataFrame([(1, s, t) for s, t in ((1, 10.0), (2, 11.0), (3, 12.1), (4, None))], "event_id long, station_id long, t_obs double")

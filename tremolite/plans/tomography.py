@@ -47,7 +47,12 @@ def station_fields(model: DataFrame, stations: DataFrame, s: Settings) -> DataFr
     at = ce.metric_to_cell(stations, {"i": ("x", n[0]), "j": ("y", n[1]), "k": ("z", n[2])}, s.fine_side)
     sources = at.filter(F.col("error").isNull()).select(F.col("station_id").alias("source"), F.lit(0).alias("model"), *ce.CELL)
     cost = F.when(F.col("vp") > 0, s.fine_side / F.nullif(F.col("vp"), F.lit(0.0)))
-    return fr.travel_fields(fine, sources, cost)
+    return fr.travel_fields(fine, sources, cost, block=block_side(s))
+
+
+def block_side(s: Settings) -> int:
+    """Side of the blocks of fields and paths: no larger than the grid, since every cell of a block is stored."""
+    return min(16, max(s.fine_shape))
 
 
 @dataclass
@@ -69,26 +74,33 @@ def step(model: DataFrame, observed: DataFrame, stations: DataFrame, s: Settings
     """
     fields = materialise(station_fields(model, stations, s), "fields")
     times = fields.select(F.col("source").alias("station_id"), *ce.CELL, "t")
-    weights = materialise(lo.locate_events(observed, times, s.temperature, s.top_n), "weights")
-    res = lo.residuals_at(weights.select("event_id", *ce.CELL, "weight"), observed, times)
-    mean = res.groupBy("event_id", *ce.CELL).agg(F.avg("r").alias("_m"))
-    res = materialise(
-        res.join(mean, ["event_id", *ce.CELL]).withColumn("r", F.col("r") - F.col("_m")).drop("_m"), "residuals"
-    )
+    weights = lo.locate_events(observed, times, s.temperature, s.top_n)
+    if s.top_n > 1:
+        weights = materialise(weights, "weights")
+        res = lo.residuals_at(weights.select("event_id", *ce.CELL, "weight"), observed, times)
+        mean = res.groupBy("event_id", *ce.CELL).agg(F.avg("r").alias("_m"))
+        res = materialise(
+            res.join(mean, ["event_id", *ce.CELL]).withColumn("r", F.col("r") - F.col("_m")).drop("_m"), "residuals"
+        )
+    else:
+        # Made where the quake is located, and summed at once: residuals are not stored.
+        res = lo.best_residuals(observed, times, about="mean").withColumn("weight", F.lit(float(s.top_n == 1)))
     ray = cell_number(shape=s.fine_shape)
-    per_ray = res.groupBy("station_id", *ce.CELL).agg(F.sum("weight").alias("weight")).withColumn("ray", ray)
-    rays = per_ray.select(F.col("station_id").alias("source"), F.lit(0).alias("model"), "weight", "ray", *ce.CELL)
-    paths = fr.trace_back(rays, fields)
-    # A lattice path pays one cell side in every cell it enters, which is all but the station's own.
-    own = fields.filter("t <= 0").select("source", "model", *ce.CELL)
-    entered = paths.join(own, ["source", "model", *ce.CELL], "left_anti")
+    per_ray = materialise(
+        res.groupBy("station_id", *ce.CELL).agg(F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("r")).alias("r")), "rays"
+    )
+    # A lattice path pays one cell side in every cell it enters, which is all but the station's own; these go along with its rays.
+    own = fields.filter("t <= 0").groupBy("source", "model").agg(F.collect_set(F.struct(*ce.CELL)).alias("own"))
+    rays = per_ray.select(F.col("station_id").alias("source"), F.lit(0).alias("model"), "weight", ray.alias("ray"), *ce.CELL)
+    paths = fr.trace_back(rays.join(own, ["source", "model"], "left"), fields, block_side(s))
+    entered = paths.filter(~F.coalesce(F.array_contains("own", F.struct(*ce.CELL)), F.lit(False)))
     coarse = [F.floor(F.col(c) / s.subdivision).cast("int").alias(c) for c in ce.CELL]
     numbered = entered.select(F.col("source").alias("station_id"), "weight", *coarse).withColumn(
         "cell", cell_number(shape=(s.n_x, s.n_y, s.n_z))
     )
     # The weight goes along the path, so lengths need not be stored per ray and met with weights again.
     sums = materialise(numbered.groupBy("station_id", "cell").agg((F.sum("weight") * s.fine_side).alias("s")), "sums")
-    right = res.groupBy("station_id").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
+    right = per_ray.groupBy("station_id").agg(F.sum("r").alias("r"))
     n_stations = sums.select("station_id").unionByName(right.select("station_id")).distinct().count()
     trace = pair_trace(sums, n_stations).first()[0] or 0.0
     damping = s.lambda_reg * trace / (s.n_x * s.n_y * s.n_z)
