@@ -289,6 +289,17 @@ def test_a_cycle_stores_no_residuals(spark, monkeypatch):
     assert got == pytest.approx({r.cell: r.x for r in tg.step(model, seen, stations, s).correction.collect()}, rel=1e-5, abs=1e-12) and any(got.values())
 
 
+def test_the_log_of_a_cycle_locates_no_more_than_it_writes(spark, tb, monkeypatch):
+    from tremolite import registry
+    from tremolite.registry import inversion as ri
+
+    calls, keep = [], ri.residuals
+    monkeypatch.setattr(ri, "residuals", lambda t: calls.append(1) or keep(t))
+    registry.load()
+    assert registry.QUERIES["append_run_log"](spark, tb.sf_dir).groupBy("table").count().count() == 6
+    assert len(calls) == 2
+
+
 def test_misfit_needs_every_station_and_a_time(spark):
     """A cell that one station only knows, and an observation without a time, must not win."""
     observed = spark.createDataFrame([(1, s, t) for s, t in ((1, 10.0), (2, 11.0), (3, 12.1), (4, None))], "event_id long, station_id long, t_obs double")
