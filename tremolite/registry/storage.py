@@ -181,9 +181,10 @@ def append_run_log(tb):
     from .inversion import lattice_model, residuals, solved, sums
 
     best = materialise(lo.best_cells(tb.observed, tb.lattice_times, decimals=9).withColumn("weight", F.lit(1.0)), "weights")
-    s, right = sums(tb)
+    rows = materialise(residuals(tb), "residuals")
+    s, right = sums(tb, rows)
     s, right = materialise(s, "sums"), materialise(right, "right")
-    cycle = tg.Step(tb.lattice_times, best, materialise(residuals(tb), "residuals"), s, right, materialise(solved(s, right), "delta"))
+    cycle = tg.Step(tb.lattice_times, best, rows, s, right, materialise(solved(s, right), "delta"))
     log = rl.RunLog(tb.spark, scratch_path(tb.spark, "run"), "run_1")
     log.meta({"cycles": 1, "lambda_reg": 0.1}, {"coarse_cell_size": 500.0})
     broken = tg.Step(cycle.fields, best.limit(5), cycle.residuals.limit(7), s.limit(3), right, cycle.correction.limit(2))
